@@ -83,8 +83,8 @@ class Model:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, c: float, rounds: int, seed: int = 5):
     """Weights and bias of the linear hinge-loss model, by dual coordinate descent over rows in random order."""
     w, bias = np.zeros(len(ratios)), 0.0
-    x = [ratios[r] / np.sqrt(len(r)) for r in rows]
-    square = np.array([v @ v + 1 for v in x])
+    x = [(ratios[r] / np.sqrt(len(r))).astype(np.float32) for r in rows]
+    square = np.array([float(v @ v) + 1 for v in x])
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(seed)
     limit = np.where(y > 0, c * len(y) / max(1, (y > 0).sum()) / 2, c * len(y) / max(1, (y < 0).sum()) / 2)
     for _ in range(rounds):
@@ -130,7 +130,7 @@ def sample_labels(labels: DataFrame, name: str, rows: int, folds: int = 5, where
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 12000, c: float = 1.0, rounds: int = 12) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 6000, c: float = 1.0, rounds: int = 12) -> Model:
     """Fit on docs(doc_id, text) and their labels(doc_id, name 0/1) outside the held-out fold.
 
     Rows that repeat a doc_id all count. Without any labelled row every score is 0.5.
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 12000,
         return Model(np.zeros(size), 0.0, 0.0, 0.0)
     sample = sample.sort_values("doc_id", kind="stable")
     label = (sample["label"].to_numpy() > 0).astype(int)
-    grams_of = [np.asarray(x, np.int64) for x in sample["grams"]]
+    grams_of = sample.pop("grams").tolist()
     counts = np.zeros((2, size))
     for found, y in zip(grams_of, label, strict=True):
         counts[y, found] += 1
