@@ -135,13 +135,16 @@ def factor_model(daily: DataFrame, factors: DataFrame, names: Sequence[str], day
     scaled = df.select("date", "ret", *(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)))
     inputs = [f"f{i}" for i in range(len(names))]
     scaled = scaled.withColumns({c: F.col(c) * days for c in ["ret", *inputs]})
+    schema = "name string, coef double, std_err double, t double, p double"
+    if scaled.isEmpty():
+        return spark.createDataFrame([], schema), scaled.select("date", F.col("ret").alias("alpha"), F.col("ret").alias("cum_alpha"))
     ready = VectorAssembler(inputCols=inputs, outputCol="x").transform(scaled)
     model = LinearRegression(featuresCol="x", labelCol="ret", solver="normal", regParam=0.0).fit(ready)
     s = model.summary
     coef = [*map(float, model.coefficients), float(model.intercept)]
     t, p = list(map(float, s.tValues)), list(map(float, s.pValues))
     rows = [(n, c, c / tv if tv else None, tv, pv) for n, c, tv, pv in zip([*names, "alpha"], coef, t, p, strict=True)]
-    table = spark.createDataFrame(rows, "name string, coef double, std_err double, t double, p double")
+    table = spark.createDataFrame(rows, schema)
     fit = sum((F.lit(b) * F.col(c) for b, c in zip(coef, inputs, strict=False)), F.lit(0.0))
     alphas = scaled.select("date", ((F.col("ret") - fit) / days).alias("alpha"))
     return table, alphas.withColumn("cum_alpha", F.sum("alpha").over(running([F.lit(0)])))  # a row a day

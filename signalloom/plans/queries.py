@@ -24,6 +24,11 @@ SIG = "security_id date_sig date_avail signal:r"
 FACTORS = ["size", "value", "growth", "leverage", "volatility", "momentum"]
 
 
+def _config(**how) -> bt.Config:
+    """The smallest tables have too few names a week for more than one a side."""
+    return bt.Config(**{"mincos": 1} | how)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; for local sessions without one, below the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -429,7 +434,7 @@ add(
 
 def _run(s, d, config=None, signal=None) -> bt.Result:
     p = P(s, d)
-    return bt.run(p.signal if signal is None else signal, p.ret, p.risk, p.dates, config or bt.Config())
+    return bt.run(p.signal if signal is None else signal, p.ret, p.risk, p.dates, config or _config())
 
 
 def _held(s, d):
@@ -456,7 +461,7 @@ add(
        ANTI JOIN (SELECT security_id, n - 1 AS n FROM held) x ON h.security_id = x.security_id AND h.n = x.n""",
     BT,
 )
-YEARS = bt.Config(byvars=("overall", "year"))
+YEARS = _config(byvars=("overall", "year"))
 BT_YEARS = Q.backtest(byvars=("overall", "year"))
 add(
     "panel_range_join",
@@ -476,7 +481,7 @@ add("left_join_fill_zero", f"{GK} date ret:r resret:r tc:r", lambda s, d: _run(s
 add(
     "join_risk_attributes",
     f"{KEY} signal:r industry_id cap mcap:r adv:r",
-    lambda s, d: bt.prepared(P(s, d).signal, P(s, d).ret, P(s, d).risk, P(s, d).dates, bt.Config()),
+    lambda s, d: bt.prepared(P(s, d).signal, P(s, d).ret, P(s, d).risk, P(s, d).dates, _config()),
     "FROM prepared",
     Q.prepared(),
 )
@@ -659,7 +664,7 @@ add("capyr_label", f"{KEY} capyr", lambda s, d: portfolio.slices(P(s, d).risk, [
 # --- portfolios and their statistics -----------------------------------------------------------------------------
 
 STATS = "num_date " + " ".join(f"{n}_{m}:r" for n in ("ret", "resret", "retnet") for m in ("ann", "std", "sharpe", "pos")) + " maxdd:r"
-SLICED = bt.Config(byvars=("overall", "year", "cap", "capyr", "industry_id"))
+SLICED = _config(byvars=("overall", "year", "cap", "capyr", "industry_id"))
 BT_SLICED = Q.backtest(byvars=SLICED.byvars)
 GAINS = f"{GK} date ret:r resret:r"
 add("names_per_side", f"{GK} date n_long n_short n_min",
@@ -672,13 +677,13 @@ add("turnover_avg", f"{GK} turnover:r numcos_l:r numcos_s:r", lambda s, d: _run(
 add("summary_combine", f"{GK} {STATS} turnover:r numcos_l:r numcos_s:r", lambda s, d: _run(s, d, SLICED).summary, "FROM summary", BT_SLICED)
 add("group_slices", f"{GK} num_date ret_sharpe:r turnover:r", lambda s, d: _run(s, d, SLICED).summary, "FROM summary", BT_SLICED)
 add("daily_stats", "date ret:r ret_net:r resret:r cumret:r cumretnet:r drawdown:r turnover:r", lambda s, d: _run(s, d).daily, "FROM daily", BT)
-LONG = bt.Config(byvars=("overall", "year"), long_only=True)
+LONG = _config(byvars=("overall", "year"), long_only=True)
 add("benchmark_stats", f"{GK} num_date ret_ann:r ret_std:r ret_sharpe:r maxdd:r", lambda s, d: _run(s, d, LONG).summary, "FROM summary",
     Q.backtest(byvars=LONG.byvars, long_only=True))
 
 
 def _exposed(s, d):
-    return _run(s, d, bt.Config(byvars=("overall", "year"), factors=["value", "size"])).summary
+    return _run(s, d, _config(byvars=("overall", "year"), factors=["value", "size"])).summary
 
 
 add("factor_exposure_avg", f"{GK} value:r size:r", _exposed,
@@ -689,8 +694,8 @@ add("factor_exposure_avg", f"{GK} value:r size:r", _exposed,
 
 
 def _profile(s, d, how="equal"):
-    df = bt.prepared(P(s, d).signal, P(s, d).ret, P(s, d).risk, P(s, d).dates, bt.Config(factors=["value"]))
-    return performance.fractile_profile(portfolio.fractiles(df, ["signal_name", "date"], 5), ["signal_name", "date"], ["value"], 3, how)
+    df = bt.prepared(P(s, d).signal, P(s, d).ret, P(s, d).risk, P(s, d).dates, _config(factors=["value"]))
+    return performance.fractile_profile(portfolio.fractiles(df, ["signal_name", "date"], 5), ["signal_name", "date"], ["value"], 1, how)
 
 
 def profile_sql(how: str = "equal") -> str:
@@ -702,12 +707,12 @@ def profile_sql(how: str = "equal") -> str:
           SELECT signal_name, date, fractile, count(*) AS numcos, sum(w * ret) AS ret, sum(w * resret) AS resret, sum(w * value) AS value FROM (
             SELECT *, {w} / sum({w}) OVER (PARTITION BY signal_name, date, fractile) AS w FROM (
               SELECT *, CAST(ceil({Q.average_rank('signal', 'signal_name, date')} * 5 / count(*) OVER (PARTITION BY signal_name, date)) AS BIGINT) AS fractile
-              FROM prepared)) GROUP BY ALL))) WHERE enough >= 3 GROUP BY ALL"""
+              FROM prepared)) GROUP BY ALL))) WHERE enough >= 1 GROUP BY ALL"""
 
 
 for _how, _name in (("equal", "fractile_profile"), ("value", "fractile_profile_value"), ("volume", "fractile_profile_volume")):
     add(_name, "signal_name fractile ret:r resret:r numcos:r value:r", lambda s, d, h=_how: _profile(s, d, h), profile_sql(_how), Q.prepared())
-CAPS = bt.Config(byvars=("cap",))
+CAPS = _config(byvars=("cap",))
 add("pivot_cap_cumret", "date LargeCap:r MediumCap:r SmallCap:r", lambda s, d: performance.cap_columns(_run(s, d, CAPS).daily),
     "SELECT date, " + ", ".join(f'max(cumret) FILTER (grp = \'{c}\') AS "{c}"' for c in ("LargeCap", "MediumCap", "SmallCap")) + " FROM daily GROUP BY date",
     Q.backtest(byvars=("cap",)))
@@ -745,7 +750,7 @@ add("turnover_panel", "date n turnover:r", lambda s, d: _run(s, d).daily, "FROM
 
 
 def _prepared(s, d, factors=("value",)):
-    return bt.prepared(P(s, d).signal, P(s, d).ret, P(s, d).risk, P(s, d).dates, bt.Config(factors=list(factors)))
+    return bt.prepared(P(s, d).signal, P(s, d).ret, P(s, d).risk, P(s, d).dates, _config(factors=list(factors)))
 
 
 RD = "PARTITION BY signal_name, date"
@@ -869,7 +874,7 @@ add("all_baselines", f"signal_name {SIG}", lambda s, d: baselines.all_baselines(
 
 # --- the suite ---------------------------------------------------------------------------------------------------
 
-GRID = bt.Config(lags=(0, 1, 2), resid=("off", "industry"), byvars=("overall", "year", "cap"))
+GRID = _config(lags=(0, 1, 2), resid=("off", "industry"), byvars=("overall", "year", "cap"))
 BT_GRID = Q.backtest(GRID.lags, GRID.resid, GRID.byvars, "(SELECT * FROM signal UNION ALL SELECT * FROM price)")
 
 
@@ -884,7 +889,7 @@ def _summary(s, d):
 HEAD = "sharpe:r ann_ret:r max_dd:r turnover:r"
 SUITE = "SELECT * FROM results WHERE byvar = 'overall'"
 BEST = f"SELECT * FROM ({SUITE}) QUALIFY row_number() OVER (PARTITION BY signal_name ORDER BY sharpe DESC NULLS LAST, config) = 1"
-add("run_backtest", f"{GK} {STATS} turnover:r", lambda s, d: _run(s, d, bt.Config(byvars=("overall", "year", "cap"))).summary, "FROM summary",
+add("run_backtest", f"{GK} {STATS} turnover:r", lambda s, d: _run(s, d, _config(byvars=("overall", "year", "cap"))).summary, "FROM summary",
     Q.backtest(byvars=("overall", "year", "cap")))
 add("run_grid", f"{GK} {HEAD}", _grid, "FROM results", BT_GRID)
 add("suite_summary", f"signal_name config type {HEAD}", _summary, SUITE, BT_GRID)

@@ -125,7 +125,7 @@ def backtest(
     resid: Sequence[str] = ("off",),
     byvars: Sequence[str] = ("overall",),
     signal: str = "signal",
-    mincos: int = 3,
+    mincos: int = 1,
     long_only: bool = False,
 ) -> str:
     """Common table expressions down to weights, names, changes, traded, daily and summary."""
