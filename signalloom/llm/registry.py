@@ -54,9 +54,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-file")
-    coded = tokenfile.encode_tokens(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID
-    )
+    docs = tokenfile.in_ranges(table(spark, sf_dir, "documents"))
+    coded = tokenfile.encode_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
     tokenfile.write_tokens(coded, path)
     return tokenfile.read_tokens(spark, path)
 

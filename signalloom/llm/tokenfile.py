@@ -10,6 +10,7 @@ it has seen; the tokenizers library encodes all others.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
@@ -24,7 +25,8 @@ from signalloom.llm.common import by_size, materialize, only, shuffle_partitions
 
 CACHED_WORDS = 400_000
 LONG_WORD = 64
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
+ENCODED_AT_ONCE = 4096
 SEPARATORS = str.maketrans(dict.fromkeys("\t\n\r", " "))
 
 
@@ -41,8 +43,11 @@ class WordCachedTokenizer:
         split = [(t or "").translate(SEPARATORS).split(" ") for t in texts]
         known = self.cache
         fresh = list({w for words in split for w in words if w not in known})
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        new = {w: tuple(x.ids) for w, x in zip(fresh, coded, strict=True)}
+        new: dict[str, tuple[int, ...]] = {}
+        for at in range(0, len(fresh), ENCODED_AT_ONCE):
+            part = fresh[at : at + ENCODED_AT_ONCE]
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            new.update((w, tuple(x.ids)) for w, x in zip(part, coded, strict=True))
         out = []
         for words in split:
             ids: list[int] = []
@@ -58,6 +63,7 @@ class WordCachedTokenizer:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordCachedTokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core already
     return WordCachedTokenizer(path)
 
 
@@ -75,6 +81,12 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """docs dealt by ranges of doc_id. The texts are dealt, before they are encoded: finding the ranges reads all
+    rows once more, and would encode them twice."""
+    return only(docs, "doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id")
+
+
 def write_tokens(
     tokens: DataFrame,
     path: str,
@@ -82,8 +94,7 @@ def write_tokens(
     page_bytes: int = 256 << 10,
     dictionary_bytes: int = 1 << 20,
 ) -> None:
-    """Write (doc_id, token_ids, n_tokens) in ascending doc_id order over all files, nulls first."""
-    spread = tokens.repartitionByRange(shuffle_partitions(tokens.sparkSession), "doc_id")
+    """Write (doc_id, token_ids, n_tokens) of documents dealt by in_ranges in ascending doc_id order, nulls first."""
     options = {
         "parquet.writer.version": "v2",
         "parquet.block.size": row_group_bytes,
@@ -92,7 +103,7 @@ def write_tokens(
         "parquet.dictionary.page.size": dictionary_bytes,
         "compression": "zstd",
     }
-    spread.sortWithinPartitions("doc_id").write.options(**options).parquet(path)
+    tokens.sortWithinPartitions("doc_id").write.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
