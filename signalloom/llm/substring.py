@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.common import materialize, only
 
-VOCABULARY = 1 << 19
+VOCABULARY = 3 << 18
 ROWS_OUT = 1 << 18
 
 
@@ -52,6 +53,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@lru_cache(maxsize=16)
 def _factors(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
 
@@ -77,8 +79,14 @@ class Runs:
         hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
         self.windows = _rolling(hashes, window)
         seeds = _rolling(hashes, seed)
-        first = np.lib.stride_tricks.sliding_window_view(seeds, window - seed + 1).argmin(axis=1)
-        at = first + np.arange(len(first))
+        # the smallest seed of each window, the first of equals: its place stands in the bits below its hash
+        each = window - seed + 1
+        bits = np.uint64(each.bit_length())
+        size, kept = len(seeds) - each + 1, seeds >> bits << bits
+        low = kept[:size].copy()
+        for j in range(1, each):
+            np.minimum(low, kept[j : j + size] | np.uint64(j), out=low)
+        at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) + np.arange(size)
         self.start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         self.end = np.r_[self.start[1:], len(at)]
         self.seed = seeds[at[self.start]]
