@@ -43,14 +43,10 @@ def windows(text: str | None) -> Iterator[bytes]:
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    parameters = zstandard.ZstdCompressionParameters(
-        window_log=12,
-        hash_log=13,
-        chain_log=14,
-        search_log=4,
-        min_match=3,
-        target_length=16,
-        strategy=zstandard.STRATEGY_BTOPT,
+    parameters = zstandard.ZstdCompressionParameters.from_level(
+        16,
+        source_size=WINDOW,
+        dict_size=len(dictionary),
         write_content_size=False,
         write_checksum=False,
         write_dict_id=False,
