@@ -59,9 +59,14 @@ def positions(df: DataFrame, config: Config) -> DataFrame:
 
 
 def run(
-    signal: DataFrame, ret: DataFrame, risk: DataFrame, dates: DataFrame, config: Config | None = None, keep=lambda df: df
+    signal: DataFrame, ret: DataFrame, risk: DataFrame, dates: DataFrame, config: Config | None = None, keep=DataFrame.persist
 ) -> Result:
-    """Everything of a backtest as lazy frames; keep may persist or write the weights, which several parts share."""
+    """Everything of a backtest as lazy frames.
+
+    Several parts read the weights and the daily series, so keep holds these: it persists them, to memory and disk,
+    until the caller lets go of result.weights and result.daily; pass a function that writes and rereads to keep them
+    otherwise.
+    """
     config = config or Config()
     df = positions(prepared(signal, ret, risk, dates, config), config)
     weights = portfolio.weigh(df, [*KEYS, "date"], config.weight)
@@ -87,7 +92,7 @@ def run(
     gains = performance.daily_portfolio(held, [*KEYS, "date"], ["ret", "resret", *config.factors])
     bounds = performance.date_bounds(names, KEYS)
     daily = performance.on_panel(bounds, dates, KEYS, gains, turnover, costs, names)
-    daily = performance.cumulate(performance.net_returns(daily), KEYS)
+    daily = keep(performance.cumulate(performance.net_returns(daily), KEYS))
     return Result(weights, names, daily, performance.summary(daily, KEYS, config.factors))
 
 

@@ -879,7 +879,7 @@ BT_GRID = Q.backtest(GRID.lags, GRID.resid, GRID.byvars, "(SELECT * FROM signal
 
 
 def _grid(s, d):
-    return bt.results(_run(s, d, GRID, P(s, d).signal.unionByName(P(s, d).price_signal)).summary)
+    return bt.results(_run(s, d, GRID, P(s, d).signal.unionByName(P(s, d).price_signal)).summary).persist()  # a row a group
 
 
 def _summary(s, d):
