@@ -148,7 +148,7 @@ SCORE_WEIGHTS = {
 
 def composite_score(facts: DataFrame) -> DataFrame:
     """(signal_name, score 0 to 100, grade A to F); a part that cannot be judged is perfect, a missing sharpe is 0."""
-    percent = lambda x: F.least(F.greatest(x * 100, F.lit(0.0)), F.lit(100.0))
+    percent = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x * 100, F.lit(0.0)), F.lit(100.0)))
     lag0 = F.when(F.col("lag0") > 0, F.col("lag0"))
     cap = F.when((F.col("small") > 0) & (F.col("large") > 0), percent(ratio("large", "small"))).when(
         (F.col("small") > 0) & (F.col("large") <= 0), 0.0
