@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, decontaminate, quality, simhash, substring
+from signalloom.llm import bpe, decontaminate, quality, resemblance, substring
 from signalloom.llm.common import materialize, table
 
 QUALITY_LEAST = 0.3
-SHINGLE_WORDS, RADIUS = 5, 3
+SHINGLE_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
 REPEAT_WORDS = 50
 BENCHMARK_WORDS = 13
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs, SHINGLE_WORDS, RADIUS)
+    return resemblance.drop_near_duplicates(docs, SHINGLE_WORDS, RADIUS, SIMILARITY)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,22 +34,30 @@ HASHES_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE = 1 << 20
 
 
-def fingerprint(text: str | None, shingle_words: int) -> int:
-    """The signed 64-bit fingerprint; null and texts without words have 0."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """The XXH64 hashes of a text's shingles in their order; null and texts without words have none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     size = min(shingle_words, len(words))
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    n = len(words) - size + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - size + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of shingle hashes; 0 without any."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, n, HASHES_AT_ONCE):
         part = hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle_words: int) -> int:
+    """The signed 64-bit fingerprint; null and texts without words have 0."""
+    return fingerprint_of(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """(doc_id, fp) for every row of docs."""
 
