@@ -4,8 +4,9 @@ Inner products become Euclidean distances by one more component that lifts all v
 fitted on a bounded sample, chosen by hash: 2-means splits at the median give leaves of equal size, whose means are the
 centroids. Every row is then indexed. A vector goes to its nearest list, and a boundary vector also to lists nearly as
 near, unless the two centroids are nearer to each other than to it. Centroids are found by a search of an in-memory
-neighbour graph. A query reads the lists whose distance is within a ratio of the nearest one's, and always enough of
-them to hold k candidates.
+neighbour graph. A query reads the lists whose distance is within a ratio of the nearest one's, always enough of them to
+hold k candidates, and at least as many as it takes to find the wanted share of the true neighbours: a sample of queries
+is compared with all rows, which tells in how many of the nearest lists their neighbours are.
 
 Equal vectors are searched once and expanded at the end, where only the k + 1 smallest ids of each can matter. Lists
 and their queries are cut into blocks of bounded size, so no task holds a whole crowded list.
@@ -68,6 +69,10 @@ class CentroidGraph:
         """For each point the ``width`` nearest centroids found, nearest first, and their distances."""
         b, n = len(points), len(self.centroids)
         width = min(width, n)
+        if 8 * width >= n:  # so wide that comparing with all is less work
+            d = (points**2).sum(axis=1)[:, None] + self.square - 2 * points @ self.centroids.T
+            order = np.argsort(d, axis=1, kind="stable")[:, :width]
+            return order, np.sqrt(np.maximum(np.take_along_axis(d, order, axis=1), 0))
         own, rows = (points**2).sum(axis=1), np.arange(b)[:, None]
         seen = np.zeros((b, n), bool)
         dist = np.full((b, n), np.inf)
@@ -122,6 +127,52 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _true_neighbours(reps: DataFrame, q: np.ndarray, k: int) -> DataFrame:
+    """(query, rep): for each row of q the k rows of reps(rep, vec) with the largest inner products but its own vector."""
+
+    def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, rep = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), BATCH):
+                v, ids = _stack(batch["vec"].iloc[at : at + BATCH]), batch["rep"].to_numpy()[at : at + BATCH]
+                new = q @ v.T
+                own = [(v == x).all(axis=1) for x in q]
+                score = np.c_[score, np.where(own, -np.inf, new)]
+                rep = np.c_[rep, np.repeat(ids[None], len(q), axis=0)]
+                if score.shape[1] > k:
+                    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, rep = np.take_along_axis(score, top, axis=1), np.take_along_axis(rep, top, axis=1)
+        which, nth = np.nonzero(np.isfinite(score))
+        yield pd.DataFrame({"query": which, "rep": rep[which, nth], "score": score[which, nth]})
+
+    found = reps.select("rep", "vec").mapInPandas(best, "query long, rep long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("query", "rep")
+
+
+def _lists_needed(graph: CentroidGraph, q: np.ndarray, places: pd.DataFrame, least: int, recall: float) -> tuple[int, int]:
+    """(lists, width): how many of the nearest lists, in a search of that width, hold ``recall`` of the true neighbours.
+
+    places has (query, rep, list) for every list of every true neighbour. The mean recall of the queries has to be two
+    standard errors over the wanted one; if it never is, all lists are read.
+    """
+    n = len(graph.centroids)
+    width = min(max(least, 1), n)
+    while True:
+        ids, _ = graph.search(q, width)
+        place = np.full((len(q), n), n)
+        place[np.arange(len(q))[:, None], ids] = np.arange(width)
+        first = places.assign(at=place[places["query"], places["list"]]).groupby(["query", "rep"])["at"].min()
+        steps = np.arange(1, width + 1)
+        share = np.stack([np.searchsorted(np.sort(x), steps) / len(x) for _, x in first.groupby("query")])
+        sure = share.mean(axis=0) - 2 * share.std(axis=0) / np.sqrt(len(share)) >= recall
+        if sure.any():
+            return int(steps[sure.argmax()]), width
+        if width == n:
+            return n, n
+        width = min(2 * width, n)
+
+
 def nearest(
     rows: DataFrame,
     queries: DataFrame,
@@ -133,6 +184,8 @@ def nearest(
     probe_ratio: float = 1.25,
     probes: int = 64,
     block_rows: int = 4096,
+    recall: float = 0.9,
+    trial_queries: int = 256,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of rows for each query, by inner product in double precision.
 
@@ -141,7 +194,8 @@ def nearest(
     count once; if one vec_id has several vectors, each is a candidate and each makes a query. Fewer than k candidates
     all come. Empty tables give an empty result; other columns are ignored. The sample is the ``sample_rows`` distinct
     vectors with the smallest hashes; there is a list for every ``list_rows`` distinct vectors, at most one for every
-    eight of the sample.
+    eight of the sample. The lists read have ``recall`` of the true neighbours of ``trial_queries`` distinct queries, those
+    with the smallest hashes, which are compared with all rows.
     """
 
     def ready(df: DataFrame) -> DataFrame:
@@ -187,19 +241,30 @@ def nearest(
     for at, rows_in, home in counts:
         size[at], homes[at] = rows_in, home
 
+    trial = asked.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(trial_queries).toPandas()["vec"]
+    needed, width = 0, max(probes, 1)
+    if len(trial) and len(homes) > 1:
+        trial = _stack(trial)
+        true = _true_neighbours(reps, trial, k)
+        places = true.join(postings.select("rep", "list"), "rep").toPandas()  # k * replicas a trial query at most
+        if len(places):
+            trial *= np.sqrt(top / (trial**2).sum(axis=1))[:, None]
+            needed, width = _lists_needed(graph, np.c_[trial, np.zeros(len(trial))], places, width, recall)
+
     def probe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
                 q = _stack(part["vec"])
                 q *= np.sqrt(top / (q**2).sum(axis=1))[:, None]
-                ids, d = graph.search(np.c_[q, np.zeros(len(q))], max(probes, 1))
+                ids, d = graph.search(np.c_[q, np.zeros(len(q))], width)
                 enough = np.cumsum(homes[ids], axis=1) - homes[ids] < k + 1
                 if len(ids[0]) < len(homes):  # a crowd of empty lists is around: read all
                     short = homes[ids].sum(axis=1) < k + 1
                 else:
                     short = np.zeros(len(q), bool)
-                take = (d <= probe_ratio * d[:, :1]) | enough
+                place = np.arange(len(ids[0]))
+                take = ((d <= probe_ratio * d[:, :1]) & (place < max(probes, 1))) | enough | (place < needed)
                 which, nth = np.nonzero(take & ~short[:, None])
                 lists = ids[which, nth]
                 for i in np.flatnonzero(short):
