@@ -1,8 +1,9 @@
 """URL filtering by association rules.
 
 A URL is a set of tokens: the suffixes of its host, the parts of its path and the names of its query. FP-growth mines
-the token combinations that go with a label, and rules are kept by their support and confidence. A general rule makes
-its special cases with no higher confidence superfluous. Rules are applied by an inverted index: a rule is filed under
+the token combinations that go with a label, and rules are kept by their support and by their confidence among all URLs,
+those without a label included, where it must be beyond the base rate. A general rule makes its special cases with no
+higher confidence superfluous. Rules are applied by an inverted index: a rule is filed under
 one of its tokens, the rarest, so a URL meets only rules that share it, and fires if the URL has all others too.
 """
 
@@ -40,7 +41,7 @@ def suffixes(host: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """The distinct tokens of a URL; long ones are left out."""
+    """The distinct tokens of a URL; a digest stands for one of over 80 characters."""
     path = F.filter(F.split(path_of(url), r"[/.\-_]+"), lambda x: x != "")
     names = F.filter(F.split(query_of(url), "&"), lambda x: x != "")
     found = F.concat(
@@ -48,7 +49,8 @@ def tokens(url: Column) -> Column:
         F.transform(path, lambda x: F.concat(F.lit("path:"), x)),
         F.transform(names, lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1))),
     )
-    return F.array_distinct(F.filter(found, lambda x: F.char_length(x) <= 80))
+    digest = lambda x: F.concat(F.substring_index(x, ":", 1), F.lit(":#"), F.sha2(x, 256))
+    return F.array_distinct(F.transform(found, lambda x: F.when(F.char_length(x) > 80, digest(x)).otherwise(x)))
 
 
 def match_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -78,14 +80,32 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return placed.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
+def _filed(rules: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, has, antecedent) of the rules that fire on urls(url, has), met by their rarest token."""
+    often = rules.select(F.explode("antecedent").alias("token")).distinct()
+    said = urls.select(F.explode("has").alias("token")).join(often, "token").groupBy("token").count()
+    filed = rules.select("antecedent", F.explode("antecedent").alias("token")).join(said, "token")
+    filed = filed.groupBy("antecedent").agg(F.min(F.struct("count", "token")).alias("rarest"))
+    filed = filed.select("antecedent", F.col("rarest.token").alias("token"))
+    met = urls.select("url", "has", F.explode("has").alias("token")).join(filed, "token")
+    return met.where(F.size(F.array_except("antecedent", "has")) == 0).select("url", "has", "antecedent")
+
+
 def mine(
-    labelled: DataFrame, support: float = 0.01, confidence: float = 0.9, least_rows: int = 5, longest: int = 4
+    labelled: DataFrame,
+    support: float = 0.01,
+    confidence: float = 0.9,
+    least_rows: int = 5,
+    background: DataFrame | None = None,
+    sigmas: float = 2.0,
 ) -> DataFrame:
     """(antecedent array, confidence, support) of rules that say block; labelled has (url, label 'block'/'allow').
 
     A combination must occur in a share ``support`` of the labelled rows, and in ``least_rows`` at least, and be
     blocked in a share ``confidence`` of its rows. The counts of combinations come from FP-growth over all labelled
-    rows; tokens rarer than the support drop out first, which bounds their number. An empty table gives no rules.
+    rows; tokens rarer than the support drop out first, which bounds their number. The rows of ``background(url)`` have
+    no label and count as not blocked: the confidence is that among both tables, and its lower bound (Wilson, with
+    ``sigmas``) must lie above the share of blocked rows in both. An empty table gives no rules.
     """
     spark = labelled.sparkSession
     marked = labelled.select(F.array_append(tokens(F.col("url")), F.concat(F.lit("label:"), "label")).alias("items"))
@@ -95,9 +115,22 @@ def mine(
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_rows / n)), minConfidence=confidence).fit(marked)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(f"label:{BLOCK}")))
-    rules = rules.where((F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("label:")))
+    rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("label:")))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = materialize(rules, "rules")
+    if background is not None:
+        base = labelled.where(F.col("label") == BLOCK).count() / (n + background.count())
+        urls = background.select("url", tokens(F.col("url")).alias("has"))
+        also = _filed(rules, urls).groupBy("antecedent").agg(F.count("*").alias("also"))
+        blocked = F.round(F.col("support") * n)
+        every = F.round(blocked / F.col("confidence")) + F.coalesce("also", F.lit(0))
+        p, z = F.col("confidence"), sigmas
+        bound = (p + z * z / (2 * F.col("every")) - z * F.sqrt(p * (1 - p) / F.col("every") + z * z / (4 * F.col("every") ** 2))) / (
+            1 + z * z / F.col("every")
+        )
+        rules = rules.join(also, "antecedent", "left").withColumn("every", every).withColumn("confidence", blocked / F.col("every"))
+        rules = rules.where((p >= confidence) & (bound > base)).select("antecedent", "confidence", "support")
+        rules = materialize(rules, "rules")
     # one token fewer at a time: a rule goes if a part of it is as sure
     parts = rules.select(
         "antecedent", "confidence", F.explode("antecedent").alias("without")
@@ -114,29 +147,22 @@ def apply_rules(pages: DataFrame, rules: DataFrame, confidence: float = 0.9) ->
     token is split by Spark.
     """
     urls = only(pages, "url").where("url is not null").distinct().select("url", tokens(F.col("url")).alias("has"))
-    rules = rules.where(F.col("confidence") >= confidence).select("antecedent")
-    often = rules.select(F.explode("antecedent").alias("token")).distinct()
-    said = urls.select(F.explode("has").alias("token")).join(often, "token").groupBy("token").count()
-    filed = rules.select("antecedent", F.explode("antecedent").alias("token")).join(said, "token")
-    filed = filed.groupBy("antecedent").agg(F.min(F.struct("count", "token")).alias("rarest"))
-    filed = filed.select("antecedent", F.col("rarest.token").alias("token"))
-    met = urls.select("url", "has", F.explode("has").alias("token")).join(filed, "token")
-    met = met.where(F.size(F.array_except("antecedent", "has")) == 0)
+    met = _filed(rules.where(F.col("confidence") >= confidence).select("antecedent"), urls)
     return met.select("url").distinct().select("url", F.lit(BLOCK).alias("mined"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], support: float = 0.01, confidence: float = 0.9) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages(page_id, url).
 
-    The list's longest fitting rule decides. Its verdicts are also the labels from which combinations are mined, and
-    these decide the other pages: block if a mined rule fires, else allow. A null url, and one without ://, has an
+    The list's longest fitting rule decides. Its verdicts are also the labels from which combinations are mined, with the
+    other pages as background, so a token that many of these have blocks none of them. The mined rules decide the other pages: block if a mined rule fires, else allow. A null url, and one without ://, has an
     empty host and path and is allowed unless a rule fits. Repeated rows and null page_ids are kept, an empty table
     gives an empty result, other columns are ignored.
     """
     listed = materialize(match_rules(pages, rules), "listed")
     known = listed.where("verdict is not null").select("url", F.col("verdict").alias("label"))
-    mined = mine(known, support, confidence)
     open_ = listed.where("verdict is null")
+    mined = mine(known, support, confidence, background=open_)
     blocked = apply_rules(open_, mined, confidence)
     rest = open_.drop("verdict").join(blocked, "url", "left")
     rest = rest.withColumn("verdict", F.coalesce("mined", F.lit(ALLOW))).drop("mined")
