@@ -7,7 +7,8 @@ logistic curve, fitted on labelled texts left out of the training, calibrates th
 largest, the mean, the runner-up) to a score.
 
 The model is fitted on at most ``toxic_rows`` and ``ordinary_rows`` labelled rows, those whose doc_ids have the smallest
-hashes, and the dictionaries on at most ``sample_chars`` characters of them.
+hashes, and the dictionaries on about ``sample_chars`` characters of them at most: no text is left out, but the longest
+ones are represented by pieces spread over them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 WINDOW, STRIDE = 128, 120
 ORDINARY_BYTES, TOXIC_BYTES = 2048, 1024
+PIECE_CHARS = 1024
 
 
 def windows(text: str | None) -> Iterator[bytes]:
@@ -149,6 +151,25 @@ def _measure(texts: DataFrame, model: Model, *names: str) -> DataFrame:
     return texts.select(*names, of("text").alias("found")).select(*names, "found.*")
 
 
+def _within(rows: DataFrame, chars: int) -> DataFrame:
+    """rows with texts of at most ``chars`` characters together; those over a common length are cut to pieces of it."""
+    size = F.char_length("text").cast("long")
+    sizes = rows.groupBy(size.alias("size")).count().orderBy("size").toPandas()  # a row for a length
+    left, texts, most = chars, int(sizes["count"].sum()), None
+    for length, count in sizes.itertuples(index=False):
+        if length * texts > left:
+            most = max(left // texts, WINDOW)
+            break
+        left, texts = left - length * count, texts - count
+    if most is None:
+        return rows
+    piece = min(PIECE_CHARS, most)
+    pieces = most // piece
+    at = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.floor(i * (size - piece) / max(pieces - 1, 1)))
+    cut = F.array_join(F.transform(at, lambda i: F.substring("text", i.cast("int") + 1, F.lit(piece))), "\n")
+    return rows.withColumn("text", F.when(size > most, cut).otherwise(F.col("text")))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -169,11 +190,8 @@ def fit(
     rows = rows.join(F.broadcast(known), "doc_id")  # toxic_rows + ordinary_rows at most
     rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))), "labelled")
     texts: dict[bool, list[str]] = {True: [], False: []}
-    left = sample_chars
-    for label, text in rows.where("part < 2").orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text").toLocalIterator():
-        left -= len(text)
-        if left < 0:
-            break
+    shown = _within(rows.where("part < 2"), sample_chars).orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text")
+    for label, text in shown.toLocalIterator():
         texts[label > 0].append(text)
     blank = np.zeros(3), np.ones(3), np.zeros(3), 0.0
     if not texts[True] or not texts[False]:
