@@ -27,13 +27,18 @@ SAMPLE_ROWS, OFTEN, MOST_OFTEN = 10_000, 4, 200_000
 PIVOT_ROUNDS, CROSS_PER_ROW = 4, 8
 
 
-def _often(docs: DataFrame, shingle_words: int) -> np.ndarray:
-    """Hashes of shingles that several documents of a sample have, at most ``MOST_OFTEN``, sorted."""
-
+def _said(shingle_words: int):
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, shingle_words)).view(np.int64) for t in texts])
 
+    return of
+
+
+def _often(docs: DataFrame, shingle_words: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a sample have, at most ``MOST_OFTEN``, sorted."""
+
+    of = _said(shingle_words)
     sample = only(docs, "text").where("text is not null").orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS).distinct()
     said = sample.select(F.explode(of("text")).alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     found = said.orderBy(F.desc("count"), "h").limit(MOST_OFTEN).select("h").toPandas()["h"]
@@ -41,32 +46,35 @@ def _often(docs: DataFrame, shingle_words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """(doc_id, fp, node, said, prefix) for every row of docs; node is a hash of the shingle set ``said``."""
+    """(doc_id, text, fp, node, n, prefix) for every row of docs; node is a hash of the set of its n shingles.
+
+    The text takes less room than the set, which only candidates need.
+    """
     often = docs.sparkSession.sparkContext.broadcast(_often(docs, shingle_words))  # at most 1.6 MB
 
-    def one(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
         hashes, late = shingle_hashes(text, shingle_words), often.value
         said = np.unique(hashes)
         n, place = len(said), np.searchsorted(late, said)
         common = late[np.minimum(place, len(late) - 1)] == said if len(late) else np.zeros(n, bool)
         prefix = said[np.argsort(common, kind="stable")][: n - math.ceil(least * n - 1e-9) + 1]
         node = xxhash.xxh3_64_intdigest(said.tobytes()) - (1 << 63)
-        return fingerprint_of(hashes), node, said.view(np.int64), prefix.view(np.int64)
+        return fingerprint_of(hashes), node, n, prefix.view(np.int64)
 
-    @F.pandas_udf("struct<fp long, node long, said array<long>, prefix array<long>>")
+    @F.pandas_udf("struct<fp long, node long, n int, prefix array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["fp", "node", "said", "prefix"])
+        return pd.DataFrame([one(t) for t in texts], columns=["fp", "node", "n", "prefix"])
 
-    return only(docs, "doc_id", "text").select("doc_id", of("text").alias("s")).select("doc_id", "s.*")
+    return only(docs, "doc_id", "text").select("doc_id", "text", of("text").alias("s")).select("doc_id", "text", "s.*")
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+def _similar(pairs: DataFrame, prints: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """The distinct pairs (a, b) of nodes whose sets are as similar as ``least``."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = materialize(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = prints.select("node", "said").join(named, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    sets = prints.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(sets.select("node", _said(shingle_words)("text").alias("said")), "sets")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("said").alias("x")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
@@ -91,9 +99,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3, le
     linked = linked.select("a", "b").unionByName(
         nodes.join(lead, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     )
-    edges = _similar(linked, prints, least)
+    edges = _similar(linked, prints, shingle_words, least)
 
-    sets = prints.select("node", F.size("said").alias("n"), "prefix").dropDuplicates(["node"])
+    sets = prints.select("node", "n", "prefix").dropDuplicates(["node"])
     held = materialize(sets.select("node", "n", F.explode("prefix").alias("h")), "prefixes")
     shared = held.groupBy("h").count().where("count > 1").select("h")
     held = materialize(held.join(shared, "h"), "buckets")
@@ -119,7 +127,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3, le
         turn = F.xxhash64("h", "node", F.lit(_))
         pivot = mixed.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), turn).alias("p"))
         tried = mixed.join(pivot, "h").where((F.col("root") != F.col("p.root")) & close("n", "p.n"))
-        edges = edges.unionByName(_similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b")), prints, least))
+        edges = edges.unionByName(_similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b")), prints, shingle_words, least))
     else:
         mixed = placed()
 
@@ -127,7 +135,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3, le
     across = parts.withColumnRenamed("root", "ra").join(parts.withColumnRenamed("root", "rb"), "h").where("ra < rb")
     side = lambda e: mixed.select("h", F.col("root").alias(f"r{e}"), F.col("node").alias(e), F.col("n").alias(f"n{e}"))
     across = across.join(side("a"), ["h", "ra"]).join(side("b"), ["h", "rb"]).where(close("na", "nb"))
-    edges = edges.unionByName(_similar(across.select("a", "b"), prints, least))
+    edges = edges.unionByName(_similar(across.select("a", "b"), prints, shingle_words, least))
 
     roots = connected_components(edges)
     member = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
