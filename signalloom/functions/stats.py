@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,25 @@ def share_positive(x: str | Column) -> Column:
 
 def no_nan(x: str | Column) -> Column:
     return F.when(~F.isnan(col(x)), col(x))
+
+
+def two_sided_p(t: Column, freedom: Column) -> Column:
+    """The p-value of a t-statistic: twice the upper tail of Student's distribution, by its finite series."""
+
+    @F.pandas_udf("double")
+    def tail(ts: pd.Series, ns: pd.Series) -> pd.Series:
+        out = []
+        for x, n in zip(ts, ns, strict=True):
+            if pd.isna(x) or pd.isna(n) or n < 1:
+                out.append(None)
+                continue
+            n, angle = int(n), math.atan(abs(x) / math.sqrt(n))
+            term = total = float(n > 1)
+            for k in range(2 + n % 2, n - 1, 2):
+                term *= math.cos(angle) ** 2 * (k - 1) / k
+                total += term
+            inside = 2 / math.pi * (angle + math.sin(angle) * math.cos(angle) * total) if n % 2 else math.sin(angle) * total
+            out.append(min(max(1 - inside, 0.0), 1.0))
+        return pd.Series(out, dtype="float64")
+
+    return tail(t, freedom)

@@ -12,9 +12,13 @@ from signalloom.operators.cost import running
 from signalloom.operators.joins import panel_days
 
 
+#: Sums of weighted returns are rounded to so many decimals: what cancels out is 0 in whatever order it is summed.
+DECIMALS = 12
+
+
 def daily_portfolio(weights: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("ret", "resret")) -> DataFrame:
     """(keys, sums of weight times each column)"""
-    return weights.groupBy(*keys).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns))
+    return weights.groupBy(*keys).agg(*(F.round(F.sum(F.col("weight") * F.col(c)), DECIMALS).alias(c) for c in columns))
 
 
 def date_bounds(names: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -33,7 +37,7 @@ def on_panel(bounds: DataFrame, dates: DataFrame, keys: Sequence[str], *parts: D
 
 def net_returns(daily: DataFrame) -> DataFrame:
     tc = F.coalesce("tc", F.lit(0.0))
-    return daily.withColumns({"ret_net": F.col("ret") - tc, "resret_net": F.col("resret") - tc})
+    return daily.withColumns({f"{c}_net": F.round(F.col(c) - tc, DECIMALS) for c in ("ret", "resret")})
 
 
 def cumulate(daily: DataFrame, keys: Sequence[str]) -> DataFrame:

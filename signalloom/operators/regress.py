@@ -1,31 +1,42 @@
 """Residuals and regressions.
 
 Regressions per day go through sums of products, which Spark combines before the shuffle; only a day's small normal
-equations are solved in Python, one row a day.
+equations are solved in Python, a batch of days at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalloom.functions.stats import two_sided_p
 from signalloom.operators.cost import running
 
+#: Residuals are rounded to so many decimals: ties that a subtraction would split by the order of summation stay ties.
+DECIMALS = 9
+
 
 def demean(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
 
 
+def _whole(*columns: str) -> Column:
+    """Whether none of the columns is null."""
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+
+
 def resid_industry(df: DataFrame, day: Sequence[str], y: str = "signal", industry: str = "industry_id") -> DataFrame:
-    """Residual on industry dummies: the distance from the industry's mean of the day."""
-    return demean(df, [*day, industry], [y])
+    """Residual on industry dummies: the distance from the industry's mean of the day; null without an industry."""
+    df = df.withColumn(y, F.when(_whole(industry), F.col(y)))
+    return demean(df, [*day, industry], [y]).withColumn(y, F.round(y, DECIMALS))
 
 
 def ols_residual(df: DataFrame, day: Sequence[str], y: str, xs: Sequence[str], ridge: float = 1e-10) -> DataFrame:
@@ -34,64 +45,70 @@ def ols_residual(df: DataFrame, day: Sequence[str], y: str, xs: Sequence[str], r
     sums = [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"__g{i}_{j}") for i, j in pairs]
     sums += [F.sum(F.col(x) * F.col(y)).alias(f"__r{i}") for i, x in enumerate(xs)]
     gram = df.groupBy(*day).agg(*sums)
+    betas = [f"__b{i}" for i in range(len(xs))]
 
     def solve(frames):
         for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                row = dict(zip(pdf.columns, row, strict=True))
-                g = np.zeros((len(xs), len(xs)))
-                for i, j in pairs:
-                    g[i, j] = g[j, i] = row[f"__g{i}_{j}"]
-                r = np.array([row[f"__r{i}"] for i in range(len(xs))], dtype=float)
-                try:
-                    beta = np.linalg.solve(g + ridge * np.eye(len(xs)), r)
-                except np.linalg.LinAlgError:
-                    beta = np.full(len(xs), np.nan)
-                out.append([row[k] for k in day] + [None if np.isnan(b) else float(b) for b in beta])
-            yield pd.DataFrame(out, columns=[*day, *(f"__b{i}" for i in range(len(xs)))])
+            g, r = np.zeros((len(pdf), len(xs), len(xs))), np.zeros((len(pdf), len(xs), 1))
+            for i, j in pairs:
+                g[:, i, j] = g[:, j, i] = pdf[f"__g{i}_{j}"].to_numpy(float)
+            for i in range(len(xs)):
+                r[:, i, 0] = pdf[f"__r{i}"].to_numpy(float)
+            g += ridge * np.eye(len(xs))
+            try:
+                beta = np.linalg.solve(g, r)
+            except np.linalg.LinAlgError:  # some day is singular: that one has no fit
+                beta = np.stack([np.linalg.solve(a, b) if np.linalg.det(a) else np.full_like(b, np.nan) for a, b in zip(g, r, strict=True)])
+            yield pdf[list(day)].assign(**{b: beta[:, i, 0] for i, b in enumerate(betas)})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in day), *(f"__b{i} double" for i in range(len(xs)))])
-    betas = gram.mapInPandas(solve, schema)  # a row a day
-    fit = sum((F.col(f"__b{i}") * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
-    out = df.join(F.broadcast(betas), list(day)).withColumn(y, F.col(y) - fit)
-    return out.drop(*(f"__b{i}" for i in range(len(xs))))
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in day), *(f"{b} double" for b in betas)])
+    solved = gram.mapInPandas(solve, schema).select(*day, *(F.when(~F.isnan(b), F.col(b)).alias(b) for b in betas))
+    fit = sum((F.col(b) * F.col(x) for b, x in zip(betas, xs, strict=True)), F.lit(0.0))
+    return df.join(solved, list(day)).withColumn(y, F.round(F.col(y) - fit, DECIMALS)).drop(*betas)
+
+
+def _regressed(df: DataFrame, day: Sequence[str], within: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
+    own, whole = [f"__{x}" for x in xs], _whole(y, *within, *xs)
+    df = df.withColumns({f"__{x}": F.when(whole, F.col(x)) for x in xs} | {y: F.when(whole, F.col(y))})
+    return ols_residual(demean(df, [*day, *within], [y, *own]), day, y, own).drop(*own)
 
 
 def resid_factor(df: DataFrame, day: Sequence[str], xs: Sequence[str], y: str = "signal") -> DataFrame:
-    """Residual on factors and an intercept; the factors keep their values."""
-    own = df.withColumns({f"__{x}": F.col(x) for x in xs})
-    own = demean(own, day, [y, *(f"__{x}" for x in xs)])
-    return ols_residual(own, day, y, [f"__{x}" for x in xs]).drop(*(f"__{x}" for x in xs))
+    """Residual on factors and an intercept; the factors keep their values. Rows with nulls take no part."""
+    return _regressed(df, day, [], xs, y)
 
 
 def resid_all(df: DataFrame, day: Sequence[str], xs: Sequence[str], y: str = "signal", industry: str = "industry_id") -> DataFrame:
     """Residual on factors and industry dummies: all are demeaned by industry, then regressed without intercept."""
-    own = df.withColumns({f"__{x}": F.col(x) for x in xs})
-    own = demean(own, [*day, industry], [y, *(f"__{x}" for x in xs)])
-    return ols_residual(own, day, y, [f"__{x}" for x in xs]).drop(*(f"__{x}" for x in xs))
+    return _regressed(df, day, [industry], xs, y)
 
 
 def residualize(df: DataFrame, day: Sequence[str], styles: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """A row for each style (off, industry, factor, all) in column resid; rows with nulls leave all but off."""
-    needed = df.dropna(subset=["signal", "industry_id", *xs])
+    """A row for each style (off, industry, factor, all) in column resid; rows with nulls leave all but off.
+
+    The residuals are columns of one pass over df; the rows are multiplied after that.
+    """
     how = {
-        "off": lambda: df,
-        "industry": lambda: resid_industry(needed, day),
-        "factor": lambda: resid_factor(needed, day, xs),
-        "all": lambda: resid_all(needed, day, xs),
+        "industry": lambda df, y: resid_industry(df, day, y),
+        "factor": lambda df, y: resid_factor(df, day, xs, y),
+        "all": lambda df, y: resid_all(df, day, xs, y),
     }
-    out = None
-    for style in styles:
-        part = how[style]().withColumn("resid", F.lit(style))
-        out = part if out is None else out.unionByName(part)
-    return out
+    value = {style: "signal" if style == "off" else f"__of_{style}" for style in styles}
+    whole = _whole("signal", "industry_id", *xs)
+    df = df.withColumns({c: F.when(whole, F.col("signal")) for s, c in value.items() if s != "off"})
+    for style, column in value.items():
+        if style != "off":
+            df = how[style](df, column)
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("resid"), F.col(c).alias("signal")) for s, c in value.items())))
+    rest = [c for c in df.columns if c not in ("signal", "resid", *value.values())]
+    df = df.select(*rest, each.alias("__each")).select(*rest, "__each.*")
+    return df.where((F.col("resid") == "off") | F.col("signal").isNotNull())
 
 
 def market_beta(daily: DataFrame, market: DataFrame, keys: Sequence[str], days: int = 252) -> DataFrame:
-    """alpha (annual), beta, r2 and their t-values of ret on market_ret, by keys."""
-    df = daily.join(F.broadcast(market), "date")  # a row a day
+    """alpha (annual), beta, r2, and the t- and p-values of alpha and beta, of ret on market_ret, by keys."""
+    df = daily.join(market, "date")
     n, b = F.count("*"), F.regr_slope("ret", "market_ret")
     sxx, syy, sxy = F.regr_sxx("ret", "market_ret"), F.regr_syy("ret", "market_ret"), F.regr_sxy("ret", "market_ret")
     out = df.groupBy(*keys).agg(
@@ -114,22 +131,34 @@ def market_beta(daily: DataFrame, market: DataFrame, keys: Sequence[str], days:
         "r2",
         F.try_divide("__a", se_a).alias("t_alpha"),
         F.try_divide("beta", se_b).alias("t_beta"),
-    )
+    ).withColumns({f"p_{c}": two_sided_p(F.col(f"t_{c}"), F.col("n") - 2) for c in ("alpha", "beta")})
 
 
+#: The factors of each model; the last has all columns of the library but the market and the riskless rate.
 FACTOR_SETS = {
     "capm": ["mkt-rf"],
     "ff3": ["mkt-rf", "smb", "hml"],
     "ff5": ["mkt-rf", "smb", "hml", "rmw", "cma"],
     "ff7": ["mkt-rf", "smb", "hml", "rmw", "cma", "mom", "st_rev"],
 }
+ALL_BUT_MARKET = "ff7_industry"
+
+
+def factors_in(model: str | Sequence[str], library: DataFrame) -> list[str]:
+    """The columns of a named model, or the names themselves."""
+    if not isinstance(model, str):
+        return list(model)
+    if model == ALL_BUT_MARKET:
+        return [c for c in library.columns if c not in ("date", "mkt-rf", "rf")]
+    return FACTOR_SETS[model]
 
 
-def factor_model(daily: DataFrame, factors: DataFrame, names: Sequence[str], days: int = 252) -> tuple[DataFrame, DataFrame]:
-    """(coefficient table, daily alphas) of annualised returns on annualised factors, chosen by name.
+def factor_model(daily: DataFrame, factors: DataFrame, model: str | Sequence[str], days: int = 252) -> tuple[DataFrame, DataFrame]:
+    """(coefficient table, daily alphas) of annualised returns on annualised factors, a named model or a list of them.
 
     The fit is Spark ML's normal equations; std_err = coef / t where t is known.
     """
+    names = factors_in(model, factors)
     spark = daily.sparkSession
     df = daily.join(factors, "date").dropna(subset=["ret", *names])
     scaled = df.select("date", "ret", *(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)))

@@ -51,6 +51,11 @@ def validate(signal: DataFrame) -> tuple[bool, list[str]]:
     return not errors, errors
 
 
+def known(signal: DataFrame) -> DataFrame:
+    """The rows with a signal: neither null nor NaN, which would rank above all others."""
+    return signal.where(F.col("signal").isNotNull() & ~F.isnan(F.col("signal").cast("double")))
+
+
 def _on_day(df: DataFrame, dates: DataFrame, day: str, n: str) -> DataFrame:
     return df.join(F.broadcast(dates.select(F.col("date").alias(day), F.col("n").alias(n))), day)
 
@@ -113,9 +118,11 @@ def align_calendar_days(signal: DataFrame, dates: DataFrame, hour: int | Column
 
 def prepare(signal: DataFrame, dates: DataFrame, lags: Sequence[int] = (0,), hour: int | Column = 8, check: bool = True) -> DataFrame:
     """Validate, drop missing signals, align. Raises ValueError on a broken contract."""
+    if "signal" in signal.columns:
+        signal = known(signal)
     if check:
-        good, errors = validate(signal.where("signal is not null and not isnan(cast(signal as double))"))
+        good, errors = validate(signal)
         if not good:
             raise ValueError("; ".join(errors))
     signal = signal.withColumn("security_id", F.col("security_id").cast("int"))
-    return align(signal.where("signal is not null"), dates, hour, lags)
+    return align(signal, dates, hour, lags)

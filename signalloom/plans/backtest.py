@@ -40,11 +40,12 @@ class Result:
 
 def prepared(signal: DataFrame, ret: DataFrame, risk: DataFrame, dates: DataFrame, config: Config) -> DataFrame:
     """Aligned rows with returns and attributes, one for each lag and residualisation, told apart by config."""
-    df = tc.align(signal.where("signal is not null"), dates, 8, config.lags)
-    df = joins.returns_on(df, ret, "date_openret" if config.from_open else "date_ret", config.from_open)
     wanted = [c for c in dict.fromkeys(["industry_id", "cap", "mcap", "adv", *config.factors]) if c in risk.columns]
     asof = risk.select("security_id", F.col("date").alias("date_risk"), *wanted)
-    df = joins.asof_backward(df, asof, ["security_id"], "date_sig", "date_risk", wanted, config.tolerance)
+    # attributes are those of the signal's day, whatever the lag: they are joined before the lags multiply the rows
+    df = joins.asof_backward(tc.known(signal), asof, ["security_id"], "date_sig", "date_risk", wanted, config.tolerance)
+    df = tc.align(df, dates, 8, config.lags)
+    df = joins.returns_on(df, ret, "date_openret" if config.from_open else "date_ret", config.from_open)
     if list(config.resid) == ["off"]:
         df = df.withColumn("resid", F.lit("off"))
     else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalloom.plans.held import hold_once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,8 +21,15 @@ class WeeklyPanel:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        items = table(spark, sf_dir, "lineitem")
-        self.base = items.groupBy(
+        self.base = hold_once((spark.sparkContext.applicationId, sf_dir, "weekly"), self._base)
+        self.suppliers = table(spark, sf_dir, "supplier").select(
+            F.col("s_suppkey").cast("int").alias("security_id"), "s_nationkey", "s_acctbal"
+        )
+        self.nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+
+    def _base(self) -> DataFrame:
+        items = table(self.spark, self.dir, "lineitem")
+        return items.groupBy(
             F.col("l_suppkey").cast("int").alias("security_id"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")
         ).agg(
             F.count("*").alias("k"),
@@ -29,10 +38,6 @@ class WeeklyPanel:
             F.sum(F.round("l_quantity").cast("long")).alias("qty"),
             cents("l_extendedprice").alias("px"),
         )
-        self.suppliers = table(spark, sf_dir, "supplier").select(
-            F.col("s_suppkey").cast("int").alias("security_id"), "s_nationkey", "s_acctbal"
-        )
-        self.nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
 
     @property
     def risk(self) -> DataFrame:
@@ -111,9 +116,13 @@ class DailyPanel:
     """Users by day, with signals that become available on the next calendar day."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        events = table(spark, sf_dir, "events")
+        self.spark, self.dir = spark, sf_dir
+        self.base = hold_once((spark.sparkContext.applicationId, sf_dir, "daily"), self._base)
+
+    def _base(self) -> DataFrame:
+        events = table(self.spark, self.dir, "events")
         click = F.sum((F.col("event_type") == "click").cast("long"))
-        self.base = events.groupBy(F.col("user_id").cast("int").alias("security_id"), F.to_date("ts").alias("date")).agg(
+        return events.groupBy(F.col("user_id").cast("int").alias("security_id"), F.to_date("ts").alias("date")).agg(
             F.count("*").alias("k"), cents("value").alias("cents"), click.alias("clicks"), F.min("ts").alias("first_ts")
         )
 

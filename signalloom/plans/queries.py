@@ -14,6 +14,7 @@ from signalloom.operators import trading_calendar as tc
 from signalloom.plans import backtest as bt
 from signalloom.plans import sql as Q
 from signalloom.plans.fixtures import DailyPanel, WeeklyPanel
+from signalloom.plans.held import hold
 from signalloom.registry import add
 from signalloom.sources import tables
 
@@ -96,7 +97,6 @@ def _snapshot(spark, d):
     return tables.build_snapshot(p.ret, p.risk, p.dates, scratch(spark, "snapshot"))
 
 
-add("build_snapshot", "component rows securities first_day last_day fingerprint", _snapshot)
 
 
 def _update(spark, d):
@@ -122,55 +122,87 @@ add(
     lambda s, d: tables.manifest(ret=P(s, d).ret, risk=P(s, d).risk),
     f"SELECT 'ret' AS component, {MANIFEST} FROM ret UNION ALL SELECT 'risk', {MANIFEST} FROM risk",
 )
-
-RUN_TIME = "2024-01-0{} 00:00:00"
-
+#: The manifest's fingerprints are of a hash that only Spark has, so its twin has the other columns.
+add(
+    "build_snapshot",
+    "component rows securities first_day last_day",
+    _snapshot,
+    " UNION ALL ".join(f"SELECT '{name}' AS component, {MANIFEST} FROM {table}" for name, table in (("ret", "ret"), ("risk", "risk"), ("master", "ret JOIN (SELECT security_id, date FROM risk) USING (security_id, date)"), ("factors", "risk"))),
+)
 
 def _runs(spark, d) -> str:
-    """A run for each region, of the market's yearly and daily returns."""
+    """A run for each region, of its yearly and weekly returns, started on the day of its first return."""
     p, path = P(spark, d), scratch(spark, "runs")
-    market = p.market.withColumn("config", F.lit("lag0_residoff")).withColumn("type", F.lit("signal"))
-    yearly = market.groupBy("config", "type", F.concat(F.lit("y"), F.year("date").cast("string")).alias("metric"))
-    metrics = yearly.agg(F.sum("market_ret").alias("value"))
-    for i in range(1, 4):
-        part = metrics.withColumn("value", F.col("value") * i)
-        tables.write_run(path, f"run{i}", RUN_TIME.format(i), {"signal": f"s{i}"}, part, market)
+    by_region = p.base.join(p.suppliers, "security_id").join(F.broadcast(p.nations), "s_nationkey")  # 25 nations
+    run_id = F.concat(F.lit("run"), F.col("n_regionkey").cast("string")).alias("run_id")
+    kind = [run_id, F.lit("lag0_residoff").alias("config"), F.lit("signal").alias("type")]
+    value = F.sum("dsc") / (F.sum("k") * 100) - 0.05
+    daily = hold(by_region.groupBy(*kind, "date").agg(value.alias("ret")))
+    metrics = by_region.groupBy(*kind, F.concat(F.lit("y"), F.year("date").cast("string")).alias("metric")).agg(value.alias("value"))
+    nation = F.col("s_nationkey").cast("string")
+    breakdowns = by_region.groupBy(run_id, F.lit("nation").alias("byvar"), nation.alias("grp"), F.lit("ret").alias("metric")).agg(value.alias("value"))
+    baselines_ = by_region.groupBy(run_id, F.lit("tax").alias("baseline")).agg((F.sum("tx") / F.sum("k")).alias("sharpe"))
+    correlations = daily.join(p.market, "date").groupBy("run_id", F.lit("market").alias("baseline"))
+    correlations = correlations.agg(F.corr("ret", "market_ret").alias("signal_corr"), F.corr("ret", "market_ret").alias("pnl_corr"))
+    runs = daily.groupBy("run_id").agg(F.min("date").cast("string").alias("start_time"), F.create_map(F.lit("days"), F.count("*").cast("string")).alias("tags"))
+    tables.write_runs(path, runs, metrics, daily, baselines_, correlations, breakdowns)
     return path
 
 
-YEARLY = "SELECT 'y' || year(date) AS metric, sum(market_ret) AS value FROM market GROUP BY 1"
+R_SUP = "(SELECT *, 'run' || n_regionkey AS run_id FROM p_sup)"
+R_DAILY = f"SELECT run_id, date, sum(dsc) / (sum(k) * 100) - 0.05e0 AS ret FROM {R_SUP} GROUP BY ALL"
+R_RUNS = f"SELECT run_id, CAST(min(date) AS VARCHAR) AS start_time, count(*) AS days FROM ({R_DAILY}) GROUP BY ALL"
+
+
+def _stored_runs(s, d):
+    path = _runs(s, d)
+    read = lambda t: s.read.parquet(f"{path}/{t}")
+    out = read("runs").select("run_id", "start_time")
+    for t, n in (("run_metrics", "metrics"), ("run_daily", "days"), ("run_breakdowns", "breakdowns")):
+        out = out.join(read(t).groupBy("run_id").agg(F.count("*").alias(n)), "run_id")
+    return out.join(read("run_baselines"), "run_id").join(read("run_correlations").select("run_id", "pnl_corr"), "run_id")
+
+
 add(
     "write_run",
-    "run_id metrics days",
-    lambda s, d: (lambda path: s.read.parquet(f"{path}/run_metrics").groupBy("run_id").agg(F.count("*").alias("metrics")).join(
-        s.read.parquet(f"{path}/run_daily").groupBy("run_id").agg(F.count("*").alias("days")), "run_id"
-    ))(_runs(s, d)),
-    f"""SELECT 'run' || i AS run_id, (SELECT count(*) FROM ({YEARLY})) AS metrics, (SELECT count(*) FROM market) AS days
-        FROM (VALUES (1), (2), (3)) t(i)""",
+    "run_id start_time metrics days breakdowns sharpe:r pnl_corr:r",
+    _stored_runs,
+    f"""SELECT r.run_id, r.start_time, m.metrics, r.days, m.breakdowns, m.sharpe, c.pnl_corr FROM ({R_RUNS}) r
+        JOIN (SELECT run_id, count(DISTINCT year(date)) AS metrics, count(DISTINCT s_nationkey) AS breakdowns, sum(tx) / sum(k) AS sharpe
+              FROM {R_SUP} GROUP BY 1) m USING (run_id)
+        JOIN (SELECT run_id, corr(ret, market_ret) AS pnl_corr FROM ({R_DAILY}) JOIN market USING (date) GROUP BY 1) c USING (run_id)""",
 )
 add(
     "run_history",
     "run_id start_time",
-    lambda s, d: tables.run_history(s.read.parquet(f"{_runs(s, d)}/runs"), 2),
-    "SELECT 'run' || i AS run_id, '2024-01-0' || i || ' 00:00:00' AS start_time FROM (VALUES (2), (3)) t(i) WHERE (SELECT count(*) FROM market) > 0",
+    lambda s, d: tables.run_history(s.read.parquet(f"{_runs(s, d)}/runs"), 3),
+    f"SELECT run_id, start_time FROM ({R_RUNS}) ORDER BY start_time DESC, run_id LIMIT 3",
 )
 
 
 def _delete(spark, d):
-    runs = spark.read.parquet(f"{_runs(spark, d)}/runs").select("run_id")
-    gone = runs.where("run_id <> 'run2'").unionByName(runs.limit(1).select(F.lit("run9").alias("run_id")))
-    status = tables.delete_runs(runs, gone)
-    return status.unionByName(tables.without_runs(runs, gone).select("run_id", F.lit("kept").alias("status")))
+    """The runs with the most and the fewest days go, and one that is not there."""
+    path = _runs(spark, d)
+    runs = spark.read.parquet(f"{path}/runs").withColumn("days", F.col("tags")["days"].cast("int"))
+    ends = runs.agg(F.max_by("run_id", F.struct("days", "run_id")).alias("a"), F.min_by("run_id", F.struct("days", "run_id")).alias("b")).first()
+    status = tables.delete_runs(spark, path, [ends["a"], ends["b"], "none"])
+    return status.unionByName(spark.read.parquet(f"{path}/runs").select("run_id", F.lit("kept").alias("status")))
 
 
 add(
     "delete_runs",
     "run_id status",
     _delete,
-    """SELECT * FROM (VALUES ('run1', 'deleted'), ('run3', 'deleted'), ('run9', 'failed'), ('run2', 'kept')) t(run_id, status)
-       WHERE (SELECT count(*) FROM market) > 0""",
+    f"""SELECT run_id, CASE WHEN 1 IN (first, last) THEN 'deleted' ELSE 'kept' END AS status FROM (
+          SELECT run_id, row_number() OVER (ORDER BY days, run_id) AS first, row_number() OVER (ORDER BY days DESC, run_id DESC) AS last FROM ({R_RUNS}))
+        UNION ALL SELECT 'none', 'failed'""",
+)
+add(
+    "read_run",
+    "metric value:r",
+    lambda s, d: tables.read_run(s, _runs(s, d), "run2")[1],
+    f"SELECT 'y' || year(date) AS metric, sum(dsc) / (sum(k) * 100) - 0.05e0 AS value FROM {R_SUP} WHERE run_id = 'run2' GROUP BY 1",
 )
-add("read_run", "metric value:r", lambda s, d: tables.read_run(s, _runs(s, d), "run2")[1], f"SELECT metric, 2 * value AS value FROM ({YEARLY})")
 REVERSAL = """SELECT 'reversal_5d' AS signal_name, security_id, date AS date_sig, CAST(date + 1 AS DATE) AS date_avail, -r AS signal FROM (
   SELECT security_id, date, CASE WHEN count(ret) OVER w = 5 THEN product(1 + ret) OVER w - 1 END AS r FROM ret
   WINDOW w AS (PARTITION BY security_id ORDER BY date ROWS 4 PRECEDING)) WHERE r IS NOT NULL"""
@@ -391,11 +423,11 @@ add(
 
 
 def _late_risk(s, d, days=7):
-    risk = P(s, d).risk.where("security_id % 5 <> 0 or month(date) <> 3")
-    return risk.select("security_id", F.date_add("date", days).alias("date_risk"), "value", "cap")
+    """Attributes a week late; the weeks that suppliers miss make exact, stale and too old matches."""
+    return P(s, d).risk.select("security_id", F.date_add("date", days).alias("date_risk"), "value", "cap")
 
 
-LATE = "SELECT security_id, CAST(date + 7 AS DATE) AS date_risk, value, cap FROM risk WHERE security_id % 5 <> 0 OR month(date) <> 3"
+LATE = "SELECT security_id, CAST(date + 7 AS DATE) AS date_risk, value, cap FROM risk"
 
 
 def asof(tolerance: str) -> str:
@@ -434,7 +466,7 @@ add(
 
 def _run(s, d, config=None, signal=None) -> bt.Result:
     p = P(s, d)
-    return bt.run(p.signal if signal is None else signal, p.ret, p.risk, p.dates, config or _config())
+    return bt.run(p.signal if signal is None else signal, p.ret, p.risk, p.dates, config or _config(), keep=hold)
 
 
 def _held(s, d):
@@ -716,10 +748,10 @@ CAPS = _config(byvars=("cap",))
 add("pivot_cap_cumret", "date LargeCap:r MediumCap:r SmallCap:r", lambda s, d: performance.cap_columns(_run(s, d, CAPS).daily),
     "SELECT date, " + ", ".join(f'max(cumret) FILTER (grp = \'{c}\') AS "{c}"' for c in ("LargeCap", "MediumCap", "SmallCap")) + " FROM daily GROUP BY date",
     Q.backtest(byvars=("cap",)))
-add("coverage", "per_day:r percent:r days securities", lambda s, d: performance.coverage(P(s, d).signal.where("security_id % 3 = 0"), P(s, d).risk),
+add("coverage", "per_day:r percent:r days securities", lambda s, d: performance.coverage(P(s, d).signal, P(s, d).risk),
     """SELECT avg(k) AS per_day, avg(k) / (SELECT count(DISTINCT security_id) FROM risk) * 100 AS percent, count(*) AS days,
-       (SELECT count(DISTINCT security_id) FROM signal WHERE security_id % 3 = 0) AS securities
-       FROM (SELECT date_sig, count(DISTINCT security_id) AS k FROM signal WHERE security_id % 3 = 0 GROUP BY 1)""")
+       (SELECT count(DISTINCT security_id) FROM signal) AS securities
+       FROM (SELECT date_sig, count(DISTINCT security_id) AS k FROM signal GROUP BY 1)""")
 add("coverage_series", "date_sig rows securities average:r", lambda s, d: performance.coverage_series(P(s, d).signal),
     """SELECT *, avg(securities) OVER () AS average FROM (
        SELECT date_sig, count(*) AS rows, count(DISTINCT security_id) AS securities FROM signal GROUP BY 1)""")
@@ -755,29 +787,79 @@ def _prepared(s, d, factors=("value",)):
 
 RD = "PARTITION BY signal_name, date"
 add("resid_industry", f"{KEY} signal:r", lambda s, d: regress.resid_industry(_prepared(s, d), ["signal_name", "date"]),
-    f"SELECT security_id, date, signal - avg(signal) OVER ({RD}, industry_id) AS signal FROM prepared", Q.prepared())
+    f"SELECT security_id, date, round(signal - avg(signal) OVER ({RD}, industry_id), 9) AS signal FROM prepared", Q.prepared())
 
 
 def one_factor(keys: str) -> str:
     y, x = f"signal - avg(signal) OVER ({keys})", f"value - avg(value) OVER ({keys})"
-    return f"""SELECT security_id, date, y - (sum(x * y) OVER ({RD})) / (sum(x * x) OVER ({RD}) + 1e-10) * x AS signal
+    return f"""SELECT security_id, date, round(y - (sum(x * y) OVER ({RD})) / (sum(x * x) OVER ({RD}) + 1e-10) * x, 9) AS signal
       FROM (SELECT *, {y} AS y, {x} AS x FROM prepared)"""
 
 
 add("resid_factor", f"{KEY} signal:r", lambda s, d: regress.resid_factor(_prepared(s, d), ["signal_name", "date"], ["value"]), one_factor(RD), Q.prepared())
 add("resid_all", f"{KEY} signal:r", lambda s, d: regress.resid_all(_prepared(s, d), ["signal_name", "date"], ["value"]), one_factor(f"{RD}, industry_id"), Q.prepared())
-add("resid_pipeline", f"resid {KEY} signal:r",
-    lambda s, d: regress.residualize(_prepared(s, d, FACTORS), ["signal_name", "date"], ["off", "industry", "factor", "all"], FACTORS))
-MB = f"SELECT {Q.G}, count(*) AS n, regr_intercept(ret, market_ret) * 252 AS alpha, regr_slope(ret, market_ret) AS beta, regr_r2(ret, market_ret) AS r2 FROM daily JOIN market USING (date) GROUP BY ALL"
-add("market_beta", f"{GK} n alpha:r beta:r r2:r", lambda s, d: regress.market_beta(_run(s, d, YEARS).daily, P(s, d).market, G), MB, BT_YEARS)
+REGRESSORS = ["size", "value", "growth", "leverage", "volatility"]
 
 
-def _factor_model(s, d):
-    return regress.factor_model(_run(s, d).daily.select("date", "ret"), _factor_tables(s, d), ["mkt-rf", "smb", "hml"])
+def many_factors(keys: str, style: str) -> str:
+    """Least squares by orthogonalising one regressor after the other, which is what all of them at once give."""
+    centred = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {keys}) AS {n}" for c, n in [("signal", "y"), *((x, f"x{i}") for i, x in enumerate(REGRESSORS))])
+    sql = f"SELECT security_id, date, signal_name, {centred} FROM with_factors"
+    for i in range(len(REGRESSORS)):
+        rest = ["y", *(f"x{j}" for j in range(i + 1, len(REGRESSORS)))]
+        less = ", ".join(f"{c} - (sum({c} * x{i}) OVER ({RD})) / nullif(sum(x{i} * x{i}) OVER ({RD}), 0) * x{i} AS {c}" for c in rest)
+        sql = f"SELECT security_id, date, signal_name, {less} FROM ({sql})"
+    return f"SELECT '{style}' AS resid, security_id, date, round(y, 9) AS signal FROM ({sql})"
+
+
+add("resid_pipeline", f"resid {KEY} signal:r",
+    lambda s, d: regress.residualize(_prepared(s, d, REGRESSORS), ["signal_name", "date"], ["off", "industry", "factor", "all"], REGRESSORS),
+    f"""SELECT 'off' AS resid, security_id, date, signal FROM with_factors
+        UNION ALL SELECT 'industry', security_id, date, round(signal - avg(signal) OVER ({RD}, industry_id), 9) FROM with_factors
+        UNION ALL {many_factors('signal_name, date', 'factor')} UNION ALL {many_factors('signal_name, date, industry_id', 'all')}""",
+    f"{Q.prepared()}, with_factors AS (SELECT p.signal_name, p.security_id, p.date, p.signal, p.industry_id, {', '.join('k.' + x for x in REGRESSORS)} "
+    "FROM prepared p JOIN risk k ON k.security_id = p.security_id AND k.date = p.date_sig)")
+MB = f"SELECT {Q.G}, count(*) AS n, regr_intercept(ret, market_ret) * 252 AS alpha, regr_slope(ret, market_ret) AS beta, regr_r2(ret, market_ret) AS r2, regr_intercept(ret, market_ret) / sqrt(s2 * (1.0e0 / count(*) + pow(avg(market_ret), 2) / regr_sxx(ret, market_ret))) AS t_alpha, regr_slope(ret, market_ret) / sqrt(s2 / regr_sxx(ret, market_ret)) AS t_beta FROM daily JOIN market USING (date) GROUP BY ALL"
+MB = MB.replace("s2", "((regr_syy(ret, market_ret) - pow(regr_sxy(ret, market_ret), 2) / regr_sxx(ret, market_ret)) / (count(*) - 2))")
+add("market_beta", f"{GK} n alpha:r beta:r r2:r t_alpha:r t_beta:r", lambda s, d: regress.market_beta(_run(s, d, YEARS).daily, P(s, d).market, G), MB, BT_YEARS)
 
 
-add("factor_model_alpha", "name coef:r std_err:r t:r p:r", lambda s, d: _factor_model(s, d)[0])
-add("daily_alpha_series", "date alpha:r cum_alpha:r", lambda s, d: _factor_model(s, d)[1])
+def _factor_model(s, d):
+    return regress.factor_model(_run(s, d).daily.select("date", "ret"), _factor_tables(s, d), "ff3")
+
+
+def three_factors() -> str:
+    """Normal equations of ret on three centred factors, solved by cofactors."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    minor = lambda i, j: "({} * {} - {} * {})".format(*(g((i + a) % 3, (j + b) % 3) for a, b in ((1, 1), (2, 2), (1, 2), (2, 1))))
+    inverse = lambda i, j: f"({minor(i, j)} / det)"
+    beta = [" + ".join(f"{inverse(i, j)} * r{j}" for j in range(3)) for i in range(3)]
+    means = " + ".join(f"m{i} * m{j} * {inverse(i, j)}" for i in range(3) for j in range(3))
+    return f"""fm_rows AS (
+      SELECT date, ret * 252 AS y, "mkt-rf" * 252 AS x0, smb * 252 AS x1, hml * 252 AS x2 FROM daily JOIN ({FACTOR_SQL}) USING (date)
+    ), fm_means AS (SELECT count(*) AS n, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2 FROM fm_rows),
+    fm_sums AS (
+      SELECT any_value(n) AS n, any_value(my) AS my, {', '.join(f'any_value(m{i}) AS m{i}' for i in range(3))},
+             {', '.join(f'sum((x{i} - m{i}) * (x{j} - m{j})) AS g{i}{j}' for i, j in pairs)},
+             {', '.join(f'sum((x{i} - m{i}) * (y - my)) AS r{i}' for i in range(3))}, sum((y - my) * (y - my)) AS yy
+      FROM fm_rows, fm_means
+    ), fm_det AS (SELECT *, {' + '.join(f'{g(0, j)} * {minor(0, j)}' for j in range(3))} AS det FROM fm_sums),
+    fm_beta AS (SELECT *, {', '.join(f'{b} AS b{i}' for i, b in enumerate(beta))} FROM fm_det),
+    fm_fit AS (
+      SELECT *, my - b0 * m0 - b1 * m1 - b2 * m2 AS a, (yy - b0 * r0 - b1 * r1 - b2 * r2) / (n - 4) AS s2 FROM fm_beta
+    ), fm AS (
+      {' UNION ALL '.join(f"SELECT '{name}' AS name, b{i} AS coef, sqrt(s2 * {inverse(i, i)}) AS std_err FROM fm_fit" for i, name in enumerate(("mkt-rf", "smb", "hml")))}
+      UNION ALL SELECT 'alpha', a, sqrt(s2 * (1.0e0 / n + {means})) FROM fm_fit
+    )"""
+
+
+FM = f"{BT}, {three_factors()}"
+add("factor_model_alpha", "name coef:r std_err:r t:r", lambda s, d: _factor_model(s, d)[0], "SELECT *, coef / std_err AS t FROM fm", FM)
+add("factor_model_pvalues", "name p:r", lambda s, d: _factor_model(s, d)[0])
+add("daily_alpha_series", "date alpha:r cum_alpha:r", lambda s, d: _factor_model(s, d)[1],
+    """SELECT date, alpha, sum(alpha) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum_alpha FROM (
+       SELECT date, (y - b0 * x0 - b1 * x1 - b2 * x2) / 252 AS alpha FROM fm_rows, fm_fit)""", FM)
 
 # --- information coefficients and correlations -------------------------------------------------------------------
 
@@ -879,7 +961,7 @@ BT_GRID = Q.backtest(GRID.lags, GRID.resid, GRID.byvars, "(SELECT * FROM signal
 
 
 def _grid(s, d):
-    return bt.results(_run(s, d, GRID, P(s, d).signal.unionByName(P(s, d).price_signal)).summary).persist()  # a row a group
+    return hold(bt.results(_run(s, d, GRID, P(s, d).signal.unionByName(P(s, d).price_signal)).summary))  # a row a group
 
 
 def _summary(s, d):
@@ -914,7 +996,7 @@ def of_best(kind: str) -> str:
 
 
 add("cap_breakdown", f"signal_name config grp {HEAD}", _of_best("cap"), of_best("cap"), BT_GRID)
-add("year_breakdown", f"signal_name config grp {HEAD}", lambda s, d: clean.year_groups(_of_best("year")(s, d)), of_best("year"), BT_GRID)
+add("year_breakdown", f"signal_name config grp {HEAD}", lambda s, d: clean.year_groups(_of_best("year")(s, d)), f"{of_best('year')} AND try_cast(grp AS INTEGER) BETWEEN 2000 AND 2030", BT_GRID)
 add("filter_year_groups", f"{GK} sharpe:r", lambda s, d: clean.year_groups(_grid(s, d)), "SELECT * FROM results WHERE try_cast(grp AS INTEGER) BETWEEN 2000 AND 2030", BT_GRID)
 add("resid_impact", "signal_name lag before:r after:r delta:r kept_pct:r", lambda s, d: suite.resid_impact(_summary(s, d), "industry"),
     f"""SELECT a.signal_name, a.lag, a.sharpe AS before, b.sharpe AS after, b.sharpe - a.sharpe AS delta, b.sharpe / nullif(a.sharpe, 0) * 100 AS kept_pct
@@ -996,8 +1078,23 @@ add("cumret_diff", "date diff:r", lambda s, d: suite.cumret_diff(*_two(s, d)),
     "SELECT a.date, b.cumret - a.cumret AS diff FROM daily a JOIN daily b USING (date) WHERE a.signal_name = 'quantity' AND b.signal_name = 'price'", BOTH)
 add("combined_daily", "signal_name config date ret:r cumret:r", lambda s, d: _run(s, d, GRID).daily.where("byvar = 'overall'"),
     "SELECT * FROM daily WHERE byvar = 'overall'", Q.backtest(GRID.lags, GRID.resid, GRID.byvars))
-add("byvar_name_guard", f"{KEY} grp", lambda s, d: portfolio.slices(P(s, d).risk, ["sector_id"], FACTORS),
-    "SELECT security_id, date, CAST(sector_id AS VARCHAR) AS grp FROM risk")
+
+
+def _guarded(s, d):
+    """Each column of the panel as a group variable: those that are refused, and the rows that the others group."""
+    risk, out = P(s, d).risk, None
+    for name in ("sector_id", "industry_id", "mcap", "adv", "value", "size"):
+        try:
+            part = portfolio.slices(risk, [name], FACTORS).agg(F.lit(name).alias("byvar"), F.lit("taken").alias("status"), F.count("*").alias("rows"))
+        except ValueError:
+            part = risk.agg(F.lit(name).alias("byvar"), F.lit("refused").alias("status"), F.count("*").alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+add("byvar_name_guard", "byvar status rows", _guarded,
+    """SELECT byvar, status, (SELECT count(*) FROM risk) AS rows FROM (VALUES ('sector_id', 'taken'), ('industry_id', 'taken'),
+       ('mcap', 'refused'), ('adv', 'refused'), ('value', 'refused'), ('size', 'refused')) t(byvar, status)""")
 
 # --- fingerprints ------------------------------------------------------------------------------------------------
 

@@ -102,7 +102,7 @@ def prepared(lags: Sequence[int] = (0,), resid: Sequence[str] = ("off",), signal
     parts = [
         "SELECT *, 'lag' || lag || '_residoff' AS config, sig AS signal FROM attributed",
         "SELECT *, 'lag' || lag || '_residindustry' AS config, "
-        "sig - avg(sig) OVER (PARTITION BY signal_name, lag, date, industry_id) AS signal FROM attributed",
+        "round(sig - avg(sig) OVER (PARTITION BY signal_name, lag, date, industry_id), 9) AS signal FROM attributed",
     ]
     chosen = " UNION ALL ".join(p for p, name in zip(parts, ("off", "industry"), strict=True) if name in resid)
     return f"""
@@ -165,13 +165,15 @@ traded AS (
 costs AS (
   SELECT {G}, n, sum((CASE WHEN cap = 1 THEN 2.0e0 WHEN cap = 2 THEN 5.0e0 ELSE 10.0e0 END) / 10000 * change) AS tc FROM traded GROUP BY ALL
 ),
-gains AS (SELECT {G}, date, sum(weight * ret) AS ret, sum(weight * resret) AS resret FROM held GROUP BY ALL),
+gains AS (
+  SELECT {G}, date, round(sum(weight * ret), 12) AS ret, round(sum(weight * resret), 12) AS resret FROM held GROUP BY ALL
+),
 bounds AS (SELECT {G}, min(date) AS low, max(date) AS high FROM names GROUP BY ALL),
 panel AS (SELECT b.* EXCLUDE (low, high), d.date, d.n FROM bounds b JOIN dates d ON d.date BETWEEN b.low AND b.high),
 net AS (
   SELECT p.*, coalesce(g.ret, 0) AS ret, coalesce(g.resret, 0) AS resret, coalesce(t.turnover, 0) AS turnover,
-         coalesce(c.tc, 0) AS tc, coalesce(g.ret, 0) - coalesce(c.tc, 0) AS ret_net,
-         coalesce(g.resret, 0) - coalesce(c.tc, 0) AS resret_net,
+         coalesce(c.tc, 0) AS tc, round(coalesce(g.ret, 0) - coalesce(c.tc, 0), 12) AS ret_net,
+         round(coalesce(g.resret, 0) - coalesce(c.tc, 0), 12) AS resret_net,
          coalesce(m.n_long, 0) AS n_long, coalesce(m.n_short, 0) AS n_short
   FROM panel p LEFT JOIN gains g USING ({G}, date) LEFT JOIN turnover t USING ({G}, n) LEFT JOIN costs c USING ({G}, n)
   LEFT JOIN names m USING ({G}, date)

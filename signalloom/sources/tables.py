@@ -88,13 +88,36 @@ def update_yearly(new: DataFrame, path: str, column: str = "date") -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in status], "year int, status string")
 
 
-def write_run(path: str, run_id: str, started: str, tags: dict[str, str], metrics: DataFrame, daily: DataFrame) -> None:
-    """Append a run: its tags, metrics(config, type, metric, value) and daily(config, type, date, ...) series."""
-    spark = metrics.sparkSession
-    runs = spark.createDataFrame([(run_id, started, tags)], "run_id string, start_time string, tags map<string,string>")
-    for name, df in (("runs", runs), ("run_metrics", metrics), ("run_daily", daily)):
-        df = df if "run_id" in df.columns else df.withColumn("run_id", F.lit(run_id))
-        df.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+#: What a run is made of besides its row in runs; each is a dataset partitioned by run_id.
+RUN_PARTS = ["run_metrics", "run_daily", "run_baselines", "run_correlations", "run_breakdowns"]
+
+
+def write_runs(
+    path: str,
+    runs: DataFrame,
+    metrics: DataFrame,
+    daily: DataFrame,
+    baselines: DataFrame | None = None,
+    correlations: DataFrame | None = None,
+    breakdowns: DataFrame | None = None,
+) -> None:
+    """Append runs(run_id, start_time, tags map) and what belongs to them, each with run_id.
+
+    metrics(config, type, metric, value), daily(config, type, date, ...), baselines(baseline, sharpe),
+    correlations(baseline, signal_corr, pnl_corr), breakdowns(byvar, grp, metric, value) of the best configuration. The
+    row in runs is written last, so a run that is listed is complete.
+    """
+    parts = zip(RUN_PARTS, (metrics, daily, baselines, correlations, breakdowns), strict=True)
+    for name, df in [*parts, ("runs", runs)]:
+        if df is not None:
+            df.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+
+
+def write_run(path: str, run_id: str, started: str, tags: dict[str, str], metrics: DataFrame, daily: DataFrame, **more: DataFrame) -> None:
+    """Append one run; see write_runs."""
+    runs = metrics.sparkSession.createDataFrame([(run_id, started, tags)], "run_id string, start_time string, tags map<string,string>")
+    parts = {"metrics": metrics, "daily": daily, **more}
+    write_runs(path, runs, **{name: df.withColumn("run_id", F.lit(run_id)) for name, df in parts.items() if df is not None})
 
 
 def run_history(runs: DataFrame, most: int = 100) -> DataFrame:
@@ -107,15 +130,18 @@ def read_run(spark: SparkSession, path: str, run_id: str) -> tuple[DataFrame, Da
     return tuple(spark.read.parquet(f"{path}/{t}").where(F.col("run_id") == run_id) for t in ("runs", "run_metrics", "run_daily"))
 
 
-def without_runs(runs: DataFrame, gone: DataFrame) -> DataFrame:
-    return runs.join(gone.select("run_id"), "run_id", "left_anti")
-
-
-def delete_runs(runs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(run_id, status) of the runs asked for: deleted if there was one, else failed."""
-    have = runs.select("run_id", F.lit("deleted").alias("found")).distinct()
-    out = gone.select("run_id").distinct().join(have, "run_id", "left")
-    return out.select("run_id", F.coalesce("found", F.lit("failed")).alias("status"))
+def delete_runs(spark: SparkSession, path: str, gone: Sequence[str]) -> DataFrame:
+    """Remove runs, the row in runs first; (run_id, status): deleted, or failed where there is no such run."""
+    jvm, found = spark.sparkContext._jvm, []
+    for run_id in dict.fromkeys(gone):
+        status = "failed"
+        for table in ("runs", *RUN_PARTS):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/run_id={run_id}")
+            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if run_id and fs.exists(folder) and fs.delete(folder, True) and table == "runs":
+                status = "deleted"
+        found.append((run_id, status))
+    return spark.createDataFrame(found, "run_id string, status string")
 
 
 def write_baselines(signals: DataFrame, path: str) -> None:
