@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.common import by_size, only
+from signalloom.llm.pieces import PieceIds
 
 #: The characters that count as white space, and the pattern by which byte-level BPE splits text.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,9 +37,8 @@ PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\
 #: The same split, but for the parts between white space, which are split further when they are first met.
 CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 FOREVER = 1 << 60
-CACHED_CHUNKS = 400_000
-CACHED_PAIRS = 800_000
-LONG_CHUNK = 64
+CACHED_CHUNKS = 250_000
+CACHED_PAIRS = 500_000
 BATCH_CHARS = 4 << 20
 
 
@@ -55,6 +55,8 @@ class TrieBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        if spec["normalizer"] is not None or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("not a byte-level BPE without normalisation and prefix space")
         names, model = byte_names(), spec["model"]
         vocab = {bytes(names[c] for c in token): i for token, i in model["vocab"].items()}
         self.vocab, self.longest = vocab, max(map(len, vocab))
@@ -76,7 +78,7 @@ class TrieBPE:
         self.right_edge = [self._edge(halves, i, 1) for i in range(size)]
         self.left_edge = [self._edge(halves, i, 0) for i in range(size)]
         self.fits: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces = PieceIds(CACHED_CHUNKS, {s: (i,) for s, i in special.items()})
 
     @staticmethod
     def _edge(halves: dict, token: int, side: int) -> list[tuple[int, int]]:
@@ -134,39 +136,19 @@ class TrieBPE:
             fits.clear()
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        """The encodings of chunks that are not in the cache; short ones are put there, which stays bounded."""
-        split = {c: [w.encode() for w in self.words(c)] for c in chunks}
-        coded = self.encode_words(w for ws in split.values() for w in ws)
-        new = {c: tuple(i for w in ws for i in coded[w]) for c, ws in split.items()}
-        if len(self.cache) + len(new) > CACHED_CHUNKS:
-            self.cache = {}
-        self.cache.update((c, ids) for c, ids in new.items() if len(c) <= LONG_CHUNK)
-        return new
+    def _learn(self, chunks: list[str]) -> list[list[int]]:
+        """The encodings of new chunks, all in one trie."""
+        split = [[w.encode() for w in self.words(c)] for c in chunks]
+        coded = self.encode_words(w for words in split for w in words)
+        return [coded[words[0]] if len(words) == 1 else [i for w in words for i in coded[w]] for words in split]
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """ids of whole texts; null is empty, and the strings of special tokens are those tokens.
-
-        The chunks of all the texts that are new go into one trie.
-        """
+        """ids of whole texts; null is empty, and the strings of special tokens are those tokens."""
         split = []
         for text in texts:
-            pieces = self.split_special.split(text or "") if self.split_special else [text or ""]
-            split.append([[p] if i % 2 else self.chunks(p) for i, p in enumerate(pieces)])
-        known = self.cache
-        fresh = {c for doc in split for chunks in doc[::2] for c in chunks if c not in known}
-        new = self._learn(fresh) if fresh else {}
-        out = []
-        for doc in split:
-            ids: list[int] = []
-            for i, chunks in enumerate(doc):
-                if i % 2:
-                    ids.append(self.special[chunks[0]])
-                    continue
-                for c in chunks:
-                    ids += known[c] if c in known else new[c]
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+            parts = self.split_special.split(text or "") if self.split_special else [text or ""]
+            split.append(self.chunks(parts[0]) if len(parts) == 1 else [c for i, p in enumerate(parts) for c in ([p] if i % 2 else self.chunks(p))])
+        return self.pieces.gather(split, self._learn)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")

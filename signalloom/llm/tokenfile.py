@@ -4,13 +4,16 @@ Files are range-partitioned and sorted by doc_id, so row-group and page statisti
 skip what it does not want, and reading metadata never touches the ids. Ids are stored with a dictionary while that
 is small and with delta encoding beyond it (format version 2); row groups and pages have set sizes and page indexes.
 
-Words between white space are encoded independently by this kind of tokenizer, so each worker keeps the ids of words
-it has seen; the tokenizers library encodes all others.
+A tokenizer of the known kind splits normalised text into pieces and encodes each on its own. Workers split plain texts
+(printable characters up to U+024F, which the normalisation only lower-cases) themselves and keep the ids of pieces; new
+pieces go to the library's BPE model, and all other texts, or those for another kind of tokenizer, to the whole library.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
@@ -21,50 +24,66 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from signalloom.llm.bpe import byte_names
 from signalloom.llm.common import by_size, materialize, only, shuffle_partitions
-
-CACHED_WORDS = 400_000
-LONG_WORD = 64
-BATCH_CHARS = 1 << 20
-ENCODED_AT_ONCE = 4096
-SEPARATORS = str.maketrans(dict.fromkeys("\t\n\r", " "))
-
-
-class WordCachedTokenizer:
-    """A tokenizer of the library whose pre-tokens never cross white space and that drops white space."""
+from signalloom.llm.pieces import PieceIds
+
+CACHED_PIECES = 400_000
+BATCH_CHARS = 4 << 20
+FILE_BYTES = 128 << 20
+BLOCK_ROWS = 8192
+
+#: The normalisation and the split of the known kind of tokenizer, as its file states them.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same split of plain texts, whose letters and numbers are these.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PIECES = re.compile(SPLIT.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS)).findall
+PLAIN = re.compile("[\t\n\r -~¡-ɏ]*").fullmatch
+
+
+class PieceTokenizer:
+    """A tokenizer of the library, with the ids of pieces kept where it is of the known kind."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["model"]["type"] == "BPE"
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"\Z.").search
+        self.names = {b: c for c, b in byte_names().items()}
+        self.model = self.tokenizer.model
+        self.pieces = PieceIds(CACHED_PIECES)
+
+    def _learn(self, pieces: list[str]) -> list[list[int]]:
+        said = (p if p.isascii() else p.encode().decode("latin-1").translate(self.names) for p in pieces)
+        return [[t.id for t in self.model.tokenize(p)] for p in said]
 
     def encode_batch(self, texts: Iterable[str | None], end: int) -> list[np.ndarray]:
-        split = [(t or "").translate(SEPARATORS).split(" ") for t in texts]
-        known = self.cache
-        fresh = list({w for words in split for w in words if w not in known})
-        new: dict[str, tuple[int, ...]] = {}
-        for at in range(0, len(fresh), ENCODED_AT_ONCE):
-            part = fresh[at : at + ENCODED_AT_ONCE]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            new.update((w, tuple(x.ids)) for w, x in zip(part, coded, strict=True))
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w] if w in known else new[w]
-            ids.append(end)
-            out.append(np.array(ids, dtype="<u4"))
-        if len(known) + len(new) > CACHED_WORDS:
-            self.cache = {}
-        self.cache.update((w, ids) for w, ids in new.items() if len(w) <= LONG_WORD)
-        return out
+        texts = [t or "" for t in texts]
+        plain = [self.known and PLAIN(t) is not None and self.special(t) is None for t in texts]
+        mine = iter(self.pieces.gather([PIECES(t.lower()) for t, p in zip(texts, plain, strict=True) if p], self._learn))
+        others = [t for t, p in zip(texts, plain, strict=True) if not p]
+        theirs = (np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [np.append(next(mine if p else theirs), np.uint32(end)) for p in plain]
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordCachedTokenizer:
+def load(path: str) -> PieceTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core already
-    return WordCachedTokenizer(path)
+    return PieceTokenizer(path)
 
 
 def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -81,10 +100,19 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-def in_ranges(docs: DataFrame) -> DataFrame:
-    """docs dealt by ranges of doc_id. The texts are dealt, before they are encoded: finding the ranges reads all
-    rows once more, and would encode them twice."""
-    return only(docs, "doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id")
+def in_ranges(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """docs(doc_id, text) dealt by ranges of doc_id and sorted, nulls first, with about so many bytes of text in each.
+
+    The texts are dealt before they are encoded: finding the ranges reads all rows once more, and would encode them
+    twice. Rows that share a doc_id follow each other by the hash of their text; a range may end among them, so a doc_id
+    of very many rows, null included, is spread over as many tasks as it needs.
+    """
+    docs = only(docs, "doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-total // file_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), "__tie", "__row"]
+    docs = docs.withColumns({"__tie": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    return docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__tie", "__row")
 
 
 def write_tokens(
@@ -94,7 +122,7 @@ def write_tokens(
     page_bytes: int = 256 << 10,
     dictionary_bytes: int = 1 << 20,
 ) -> None:
-    """Write (doc_id, token_ids, n_tokens) of documents dealt by in_ranges in ascending doc_id order, nulls first."""
+    """Write (doc_id, token_ids, n_tokens) of documents that in_ranges has dealt and sorted, a file for each range."""
     options = {
         "parquet.writer.version": "v2",
         "parquet.block.size": row_group_bytes,
@@ -103,15 +131,15 @@ def write_tokens(
         "parquet.dictionary.page.size": dictionary_bytes,
         "compression": "zstd",
     }
-    tokens.sortWithinPartitions("doc_id").write.options(**options).parquet(path)
+    tokens.write.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, and token_ids on demand.
 
-    start counts the ids of all documents before it. Each file sums its own documents and the few file totals are
-    added up; no task sees all rows. Documents that share a doc_id, null included, follow each other by n_tokens and
-    crc.
+    start counts the ids of all documents before it in the files, which are in ascending doc_id order. Files and blocks of
+    ``BLOCK_ROWS`` documents are summed first, then each block counts on from its sum; no task sees all rows. An empty
+    table has no rows.
     """
 
     @F.pandas_udf("long")
@@ -119,18 +147,23 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         return pd.Series([zlib.crc32(np.ascontiguousarray(x, dtype="<u4").tobytes()) for x in ids], dtype="int64")
 
     files = spark.read.schema("doc_id long, token_ids array<int>, n_tokens long").parquet(path)
-    rows = files.select("doc_id", "n_tokens", crc("token_ids").alias("ids_crc32"), F.col("_metadata.file_name").alias("file"))
-    rows = materialize(rows, "tokens")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"))
-    in_order = Window.orderBy(F.col("low").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("file", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32")
-    before = F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    placed = rows.select("*", before.alias("before")).join(F.broadcast(base), "file")
-    out = placed.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")]
+    rows = files.select("doc_id", "n_tokens", crc("token_ids").alias("ids_crc32"), *place)
+    rows = rows.withColumn("block", F.floor(F.col("at") / BLOCK_ROWS))
+    rows = materialize(rows.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")), "tokens")
+
+    def before(df: DataFrame, window) -> DataFrame:
+        total = F.sum("n_tokens").over(window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+        return df.withColumn("before", total)
+
+    blocks = rows.groupBy("part", "file", "block").agg(F.sum("n_tokens").alias("n_tokens"))
+    totals = blocks.groupBy("part", "file").agg(F.sum("n_tokens").alias("n_tokens"))
+    base = before(totals, Window.orderBy("part", "file"))  # a row a file
+    base = base.select("file", F.col("before").alias("base"))
+    blocks = before(blocks, Window.partitionBy("file").orderBy("block")).select("file", "block", F.col("before").alias("so_far"))
+    blocks = blocks.join(base, "file").select("file", "block", (F.col("base") + F.col("so_far")).alias("base"))
+    placed = before(rows, Window.partitionBy("file", "block").orderBy("at")).join(blocks, ["file", "block"])
+    out = placed.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "at")
     if not with_ids:
-        return out
-    ids = files.select("doc_id", "token_ids", crc("token_ids").alias("ids_crc32")).dropDuplicates(["doc_id", "ids_crc32"])
-    return out.join(ids, out["doc_id"].eqNullSafe(ids["doc_id"]) & (out["ids_crc32"] == ids["ids_crc32"])).select(
-        out["*"], "token_ids"
-    )
+        return out.drop("file", "at")
+    return out.join(files.select("token_ids", *place), ["file", "at"]).drop("file", "at")
