@@ -34,10 +34,14 @@ from signalloom.llm.pieces import PieceIds
 #: The characters that count as white space, and the pattern by which byte-level BPE splits text.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
-#: The same split, but for the parts between white space, which are split further when they are first met.
-CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Texts of printable characters up to U+024F, whose letters and numbers are these, and the same split of them.
+PLAIN = re.compile("[\t\n\r -~¡-ɏ]*").fullmatch
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PLAIN_WORDS = re.compile(
+    PATTERN.replace(r"\p{L}+", f"[{LETTERS}]+").replace(r"\p{N}+", f"[{NUMBERS}]+").replace(r"\p{L}\p{N}", LETTERS + NUMBERS)
+).findall
 FOREVER = 1 << 60
-CACHED_CHUNKS = 250_000
+CACHED_WORDS = 400_000
 CACHED_PAIRS = 500_000
 BATCH_CHARS = 4 << 20
 
@@ -63,7 +67,7 @@ class TrieBPE:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.words, self.chunks = regex.compile(PATTERN).findall, re.compile(CHUNKS).findall
+        self.words = regex.compile(PATTERN).findall
         size = max([*vocab.values(), *special.values()]) + 1
         self.text = [b""] * size
         for token, i in [*vocab.items(), *((s.encode(), i) for s, i in special.items())]:
@@ -78,7 +82,7 @@ class TrieBPE:
         self.right_edge = [self._edge(halves, i, 1) for i in range(size)]
         self.left_edge = [self._edge(halves, i, 0) for i in range(size)]
         self.fits: dict[int, bool] = {}
-        self.pieces = PieceIds(CACHED_CHUNKS, {s: (i,) for s, i in special.items()})
+        self.pieces = PieceIds(CACHED_WORDS, {s: (i,) for s, i in special.items()})
 
     @staticmethod
     def _edge(halves: dict, token: int, side: int) -> list[tuple[int, int]]:
@@ -136,18 +140,21 @@ class TrieBPE:
             fits.clear()
         return out
 
-    def _learn(self, chunks: list[str]) -> list[list[int]]:
-        """The encodings of new chunks, all in one trie."""
-        split = [[w.encode() for w in self.words(c)] for c in chunks]
-        coded = self.encode_words(w for words in split for w in words)
-        return [coded[words[0]] if len(words) == 1 else [i for w in words for i in coded[w]] for words in split]
+    def _learn(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The encodings of new words, all in one trie."""
+        said = [w.encode() for w in words]
+        coded = self.encode_words(said)
+        return [coded[w] for w in said]
+
+    def _split(self, text: str) -> list[str]:
+        return PLAIN_WORDS(text) if PLAIN(text) else self.words(text)
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """ids of whole texts; null is empty, and the strings of special tokens are those tokens."""
         split = []
         for text in texts:
             parts = self.split_special.split(text or "") if self.split_special else [text or ""]
-            split.append(self.chunks(parts[0]) if len(parts) == 1 else [c for i, p in enumerate(parts) for c in ([p] if i % 2 else self.chunks(p))])
+            split.append(self._split(parts[0]) if len(parts) == 1 else [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self._split(p))])
         return self.pieces.gather(split, self._learn)
 
     def decode(self, ids: np.ndarray) -> str:

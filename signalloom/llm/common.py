@@ -47,6 +47,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if a count shows that it has at most so many."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,29 +1,33 @@
-"""Near duplicates by the Jaccard similarity of word shingles, all of them and no others.
+"""Near duplicates by the Jaccard similarity of word shingles.
 
-Equal shingle sets are one node. SimHash links (see ``simhash``) are candidates and count only if the sets are as
-similar as ``least``. They reach only a few bits, so a prefix filter completes them: in any order of all shingles, two
-sets as similar share one of their first n - ceil(least * n) + 1 shingles. The order is by hash, with shingles that a
-sample of documents has often put last, which keeps buckets small; the sample changes the work, never the result.
+Equal shingle sets are one node. Candidates are SimHash links (see ``simhash``), which reach only a few bits, and nodes
+whose sketches share a shingle: a sketch is the ``SKETCH`` smallest hashes of a set, or the whole of a smaller set. Of the
+smallest hashes of two sets' union a share as large as their similarity is in both sketches, so at a similarity of 0.8
+fewer than ``SHARED`` common ones have a probability below 1e-9; such pairs, and pairs of too different sizes, are no
+candidates. All others are compared by their whole sets.
+
+Hot shingles, which more than ``HOT`` sketches have, are no buckets: a node with fewer hot ones than it must share with its
+partners meets them in other buckets. The other nodes, the heavy ones, meet each other by a prefix filter: in the order
+from the rarest shingle among them to the most frequent, two such sets share one of their first n - ceil(least * n) + 1.
 
 Pairs that are linked already need no comparison. A few rounds compare each node of a bucket with one pivot of the bucket
-before all pairs across components are compared, so a large group of near copies costs its size and not its square.
+before the pairs across components are compared, so a large group of near copies costs its size and not its square.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialize, only
+from signalloom.llm.common import few, materialize
 from signalloom.llm.graph import connected_components
 from signalloom.llm.simhash import fingerprint_of, links, shingle_hashes
 
-SAMPLE_ROWS, OFTEN, MOST_OFTEN = 10_000, 4, 200_000
+SKETCH, SHARED = 24, 6
+HOT = 200
 PIVOT_ROUNDS, CROSS_PER_ROW = 4, 8
 
 
@@ -35,51 +39,120 @@ def _said(shingle_words: int):
     return of
 
 
-def _often(docs: DataFrame, shingle_words: int) -> np.ndarray:
-    """Hashes of shingles that several documents of a sample have, at most ``MOST_OFTEN``, sorted."""
-
-    of = _said(shingle_words)
-    sample = only(docs, "text").where("text is not null").orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS).distinct()
-    said = sample.select(F.explode(of("text")).alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
-    found = said.orderBy(F.desc("count"), "h").limit(MOST_OFTEN).select("h").toPandas()["h"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
-
-
-def _signatures(docs: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """(doc_id, text, fp, node, n, prefix) for every row of docs; node is a hash of the set of its n shingles.
-
-    The text takes less room than the set, which only candidates need.
-    """
-    often = docs.sparkSession.sparkContext.broadcast(_often(docs, shingle_words))  # at most 1.6 MB
+def _signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """docs with __row, a number of the row, and __node (a hash of the shingle set), __n (its size), __fp and __sketch."""
 
     def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
-        hashes, late = shingle_hashes(text, shingle_words), often.value
+        hashes = shingle_hashes(text, shingle_words)
         said = np.unique(hashes)
-        n, place = len(said), np.searchsorted(late, said)
-        common = late[np.minimum(place, len(late) - 1)] == said if len(late) else np.zeros(n, bool)
-        prefix = said[np.argsort(common, kind="stable")][: n - math.ceil(least * n - 1e-9) + 1]
         node = xxhash.xxh3_64_intdigest(said.tobytes()) - (1 << 63)
-        return fingerprint_of(hashes), node, n, prefix.view(np.int64)
+        return fingerprint_of(hashes), node, len(said), said[:SKETCH].view(np.int64)
 
-    @F.pandas_udf("struct<fp long, node long, n int, prefix array<long>>")
+    @F.pandas_udf("struct<__fp long, __node long, __n int, __sketch array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["fp", "node", "n", "prefix"])
-
-    return only(docs, "doc_id", "text").select("doc_id", "text", of("text").alias("s")).select("doc_id", "text", "s.*")
-
-
-def _similar(pairs: DataFrame, prints: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """The distinct pairs (a, b) of nodes whose sets are as similar as ``least``."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = materialize(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = prints.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets.select("node", _said(shingle_words)("text").alias("said")), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("said").alias("x")), "a")
-    met = met.join(sets.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    alike = both / (F.size("x") + F.size("y") - both) >= least
-    return materialize(met.where(alike).select("a", "b"), "alike")
+        return pd.DataFrame([one(t) for t in texts], columns=["__fp", "__node", "__n", "__sketch"])
+
+    return docs.withColumns({"__row": F.monotonically_increasing_id(), "__s": of("text")}).select("*", "__s.*").drop("__s")
+
+
+def _least_shared(m: Column, least: float) -> Column:
+    """How many of its sketch of m hashes a node shares with each of its partners."""
+    return F.least(F.lit(SHARED), F.ceil(F.lit(least) * m - 1e-9))
+
+
+class _Search:
+    """The tables of one search: prints has a row a document, nodes a row a distinct shingle set."""
+
+    def __init__(self, docs: DataFrame, shingle_words: int, radius: int, least: float):
+        self.said, self.radius, self.least = _said(shingle_words), radius, least
+        self.prints = materialize(_signatures(docs, shingle_words), "signatures")
+        one = self.prints.groupBy(F.col("__node").alias("node")).agg(
+            F.min(F.struct(*(F.col(f"__{c}").alias(c) for c in ("row", "n", "fp", "sketch")))).alias("one")
+        )
+        self.nodes = materialize(one.select("node", "one.*"), "nodes")
+
+    def sets(self, named: DataFrame) -> DataFrame:
+        """(node, said) of the nodes in named(node): the whole shingle sets, each computed once from one row's text."""
+        rows = materialize(self.nodes.join(named, "node", "left_semi").select("node", F.col("row").alias("__row")), "rows")
+        return self.prints.select("__row", "text").join(few(rows), "__row").select("node", self.said("text").alias("said"))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) of nodes whose sets are as similar as ``least``."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        side = lambda e: self.nodes.select(F.col("node").alias(e), F.col("sketch").alias(f"s{e}"), F.col("n").alias(f"n{e}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(self.close("na", "nb"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        pairs = met.where(shared >= _least_shared(F.greatest(F.size("sa"), F.size("sb")), self.least)).select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        sets = materialize(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+        of = lambda e, s: sets.select(F.col("node").alias(e), F.col("said").alias(s))
+        both = F.size(F.array_intersect("x", "y"))
+        alike = both / (F.size("x") + F.size("y") - both) >= self.least
+        empty = F.size("x") + F.size("y") == 0
+        return materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(alike | empty).select("a", "b"), "alike")
+
+    def close(self, x: str, y: str) -> Column:
+        return F.least(x, y) >= F.lit(self.least) * F.greatest(x, y) - 1e-9
+
+    def simhash_pairs(self) -> DataFrame:
+        lead = materialize(self.nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+        of = lambda end: lead.select(F.col("fp").alias(f"fp_{end}"), F.col("lead").alias(end))
+        linked = links(lead.select("fp"), self.radius).toDF("fp_a", "fp_b").join(of("a"), "fp_a").join(of("b"), "fp_b")
+        same = self.nodes.join(lead, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        return linked.select("a", "b").unionByName(same)
+
+    def buckets(self) -> DataFrame:
+        """(h, node, n): nodes in the buckets of shingles that they share."""
+        held = self.nodes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("h"))
+        sizes = held.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+        held = materialize(held.join(sizes, "h"), "held")
+        cool = held.where(F.col("k") <= HOT).select("h", "node", "n")
+        heavy = held.where(F.col("k") > HOT).groupBy("node", "n", "m").count()
+        heavy = materialize(heavy.where(F.col("count") >= _least_shared(F.col("m"), self.least)).select("node", "n"), "heavy")
+        if heavy.isEmpty():
+            return cool
+        words = materialize(self.sets(heavy.select("node")).select("node", F.explode("said").alias("h")), "words")
+        often = words.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+        ranked = words.join(often, "h", "left").groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "h"))).alias("said")
+        )
+        n = F.size("said")
+        first = F.slice("said", 1, (n - F.ceil(F.lit(self.least) * n - 1e-9) + 1).cast("int"))
+        prefix = ranked.select("node", F.explode(first).alias("p")).where("p.k > 1").select(F.col("p.h").alias("h"), "node")
+        return cool.unionByName(prefix.join(heavy, "node").select("h", "node", "n"))
+
+    def edges(self) -> DataFrame:
+        """(a, b): links between nodes that join every group."""
+        edges = self.similar(self.simhash_pairs())
+        held = materialize(self.buckets(), "buckets")
+        rows = held.count()
+
+        def mixed() -> DataFrame:
+            """The rows of buckets that several components share, with the components."""
+            roots = connected_components(edges)
+            out = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            ends = out.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+            return materialize(out.join(ends, "h"), "mixed")
+
+        for turn in range(PIVOT_ROUNDS + 1):
+            now = mixed()
+            parts = now.groupBy("h", "root").count().groupBy("h")
+            parts = parts.agg((F.pow(F.sum("count"), 2) - F.sum(F.col("count") * F.col("count"))).alias("twice"))
+            if turn == PIVOT_ROUNDS or (parts.agg(F.sum("twice")).first()[0] or 0) / 2 <= CROSS_PER_ROW * rows:
+                break
+            order = F.xxhash64("node", F.lit(turn))
+            pivot = now.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), order).alias("p"))
+            tried = now.join(pivot, "h").where((F.col("root") != F.col("p.root")) & self.close("n", "p.n"))
+            edges = edges.unionByName(self.similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b"))))
+
+        side = lambda e: now.select("h", F.col("root").alias(f"r{e}"), F.col("node").alias(e), F.col("n").alias(f"n{e}"))
+        across = side("a").join(side("b"), "h").where("ra < rb").where(self.close("na", "nb"))
+        return edges.unionByName(self.similar(across.select("a", "b")))
+
+    def groups(self) -> DataFrame:
+        """(node, root) of every node."""
+        roots = connected_components(self.edges())
+        return materialize(self.nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "groups")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:
@@ -87,72 +160,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3, le
 
     Groups are the connected components of all pairs of rows with a Jaccard similarity of at least ``least``. Null
     texts and texts without words have the empty set and are alike. Rows with a null doc_id take part, and never name
-    a group unless all its rows have null.
+    a group unless all its rows have null. Other columns are ignored; an empty table gives an empty result.
     """
-    prints = materialize(_signatures(docs, shingle_words, least), "signatures")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"))
-    nodes = materialize(nodes, "nodes")
-
-    lead = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
-    of = lambda end: lead.select(F.col("fp").alias(f"fp_{end}"), F.col("lead").alias(end))
-    linked = links(lead.select("fp"), radius).toDF("fp_a", "fp_b").join(of("a"), "fp_a").join(of("b"), "fp_b")
-    linked = linked.select("a", "b").unionByName(
-        nodes.join(lead, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    )
-    edges = _similar(linked, prints, shingle_words, least)
-
-    sets = prints.select("node", "n", "prefix").dropDuplicates(["node"])
-    held = materialize(sets.select("node", "n", F.explode("prefix").alias("h")), "prefixes")
-    shared = held.groupBy("h").count().where("count > 1").select("h")
-    held = materialize(held.join(shared, "h"), "buckets")
-    rows = held.count()
-
-    def placed() -> DataFrame:
-        """The rows of buckets that several components share."""
-        roots = connected_components(edges)
-        out = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        out = materialize(out, "placed")
-        mixed = out.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        return materialize(out.join(mixed, "h"), "mixed")
-
-    def close(x: str, y: str):
-        return F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
-
-    for _ in range(PIVOT_ROUNDS):
-        mixed = placed()
-        parts = mixed.groupBy("h", "root").count().groupBy("h")
-        parts = parts.agg((F.pow(F.sum("count"), 2) - F.sum(F.col("count") * F.col("count"))).alias("twice"))
-        if (parts.agg(F.sum("twice")).first()[0] or 0) / 2 <= CROSS_PER_ROW * rows:
-            break
-        turn = F.xxhash64("h", "node", F.lit(_))
-        pivot = mixed.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), turn).alias("p"))
-        tried = mixed.join(pivot, "h").where((F.col("root") != F.col("p.root")) & close("n", "p.n"))
-        edges = edges.unionByName(_similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b")), prints, shingle_words, least))
-    else:
-        mixed = placed()
-
-    parts = mixed.select("h", "root").distinct()
-    across = parts.withColumnRenamed("root", "ra").join(parts.withColumnRenamed("root", "rb"), "h").where("ra < rb")
-    side = lambda e: mixed.select("h", F.col("root").alias(f"r{e}"), F.col("node").alias(e), F.col("n").alias(f"n{e}"))
-    across = across.join(side("a"), ["h", "ra"]).join(side("b"), ["h", "rb"]).where(close("na", "nb"))
-    edges = edges.unionByName(_similar(across.select("a", "b"), prints, shingle_words, least))
-
-    roots = connected_components(edges)
-    member = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
-    member = materialize(member, "members")
-    named = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(named, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+    search = _Search(docs.select(F.col("doc_id"), F.col("text")), shingle_words, radius, least)
+    rows = search.prints.select("doc_id", F.col("__node").alias("node"))
+    member = materialize(rows.join(search.groups(), "node"), "members")
+    named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return member.join(named, "root").select("doc_id", "node", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id names their group, so one document of each group stays, all columns kept.
+    """docs with one row of each group, that with the smallest doc_id (nulls last, the first of equals); all columns kept.
 
-    Rows that repeat the staying doc_id all stay, as do rows of groups without any doc_id.
+    Each row is judged by its own text, whatever rows share its doc_id. An empty table stays empty.
     """
-    groups = near_duplicates(docs, shingle_words, radius, least)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    search = _Search(docs, shingle_words, radius, least)
+    rows = search.prints.select("__row", "doc_id", F.col("__node").alias("node")).join(search.groups(), "node")
+    rows = materialize(rows.select("root", "__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("order")), "members")
+    first = rows.groupBy("root").agg(F.min_by("__row", "order").alias("first"))
+    gone = materialize(rows.join(first, "root").where(F.col("__row") != F.col("first")).select("__row"), "gone")
+    return search.prints.join(few(gone), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def brute_force(rows: list[tuple[int, str | None]], shingle_words: int, least: float) -> tuple[dict[int, int], int]:

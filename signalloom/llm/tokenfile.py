@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from signalloom.llm.bpe import byte_names
+from signalloom.llm.bpe import LETTERS, NUMBERS, PLAIN, byte_names
 from signalloom.llm.common import by_size, materialize, only, shuffle_partitions
 from signalloom.llm.pieces import PieceIds
 
@@ -46,10 +46,8 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: The same split of plain texts, whose letters and numbers are these.
-LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+#: The same split of plain texts.
 PIECES = re.compile(SPLIT.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS)).findall
-PLAIN = re.compile("[\t\n\r -~¡-ɏ]*").fullmatch
 
 
 class PieceTokenizer:

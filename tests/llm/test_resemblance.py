@@ -38,3 +38,21 @@ def test_pivot_rounds_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(resemblance, "CROSS_PER_ROW", 0)
     got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs, radius=0).collect()}
     assert got == resemblance.brute_force(rows, 5, 0.8)[0]
+
+
+def test_hot_shingles_change_nothing(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(resemblance, "HOT", 3)
+    got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs, radius=0).collect()}
+    assert got == resemblance.brute_force(rows, 5, 0.8)[0]
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    x, y = " ".join(WORDS[:40]), " ".join(WORDS[50:90])
+    rows = [(5, x, 1), (5, y, 2), (3, y, 3), (3, y, 4), (None, x, 5), (None, "alone " * 9, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = resemblance.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone " * 9), (3, y), (5, x)]
+    assert resemblance.drop_near_duplicates(docs.limit(0)).count() == 0
