@@ -5,201 +5,199 @@ doc_id. Windows repeated at one length alone are extended to twice that length:
 
 1. Seeds of half a window, rounded up. Any window holds ``window - seed + 1`` seeds and is represented by that with
    the smallest hash (the first of equals), so equal windows have equal seeds and only about two seeds in
-   ``window - seed + 2`` words need to be counted. Seeds that no second document has drop out, and with them all
-   their windows.
+   ``window - seed + 2`` words need to be counted. Seeds that do not come again drop out, and with them all their
+   windows.
 2. A surviving seed is extended to both sides, to the run of windows that it represents: between one and about two
    windows of words. Where a whole run is the same in a smaller document, it is settled.
 3. What survives, the first holders of runs that differ around a common seed, is compared window by window.
 
-All counts are partial aggregates and all joins are equi-joins whose large partitions Spark may split, so a passage
-that a third of all documents share meets no single task. A document's repeats are told by content, never by place;
-rows that share a doc_id therefore share them too.
+Doubling ends at the window: longer repeats remove nothing that their windows do not.
+
+Equality is told by hashes of 128 bits: seeds and runs have 64 each, of independent families, and single windows both. All
+counts are partial aggregates and all joins are equi-joins whose large partitions Spark may split, so a passage that a
+third of all documents share meets no single task. What is found are spans of words of a row, the row told by its doc_id
+and the hash of its text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalloom.llm import wordhash
 from signalloom.llm.common import materialize, only
 
-VOCABULARY = 3 << 18
-ROWS_OUT = 1 << 18
+BYTES_AT_ONCE = 1 << 20
+ROW = ["doc_id", "key"]
 
 
-class _WordHashes(dict):
-    """XXH64 of words, kept for words that come again."""
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > VOCABULARY:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+class Windows:
+    """The windows of a batch of texts, and the runs of neighbouring windows that have the same seed."""
 
-_HASHES = _WordHashes()
+    def __init__(self, texts: pa.Array, window: int):
+        words, self.bounds = wordhash.split(texts)
+        self.window, seed = window, (window + 1) // 2
+        self.sums = [wordhash.Sums(h, f) for f, h in enumerate(wordhash.hashes(words))]
+        none = np.empty(0, np.int64)
+        self.start = self.end = self.text = none  # of runs: the first window, the place after the last, the text
+        self.seed = none.view(np.uint64)
+        size = len(words) - window + 1
+        if size <= 0:
+            return
+        text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        inside = np.flatnonzero(text[:size] == text[window - 1 :])
+        if not len(inside):
+            return
+        seeds = self.sums[0].every(seed)
+        at = wordhash.sliding_first_least(seeds, window - seed + 1)[inside]
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (inside[1:] != inside[:-1] + 1)])
+        self.start, self.end = inside[first], inside[np.r_[first[1:], len(inside)] - 1] + 1
+        self.text, self.seed = text[self.start], seeds[at[first]]
 
+    def runs(self) -> np.ndarray:
+        return self.sums[1].runs(self.start, self.end + self.window - 1)
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+    def places(self) -> np.ndarray:
+        """The first window of each run, counted from the beginning of its text."""
+        return self.start - self.bounds[self.text]
 
 
-@lru_cache(maxsize=16)
-def _factors(n: int, seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+def _windows(batches: Iterable[pa.RecordBatch], window: int, column: int) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    for batch in batches:
+        for a, b in wordhash.slices(batch.column(column), BYTES_AT_ONCE):
+            part = batch.slice(a, b - a)
+            yield part, Windows(part.column(column), window)
 
 
-def _rolling(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every run of n words, by its word hashes and their order."""
-    factors, size = _factors(n, n), len(hashes) - n + 1
-    out = np.zeros(size, np.uint64)
-    for j in range(n):
-        out += hashes[j : j + size] * factors[j]
-    return _mix(out)
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+def _seeds(docs: DataFrame, window: int) -> DataFrame:
+    """The seed of every run."""
 
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _windows(batches, window, 0):
+            yield pa.RecordBatch.from_arrays([_signed(found.seed)], ["seed"])
 
-class Runs:
-    """The windows of a text, and the runs of neighbouring windows that have the same seed."""
-
-    def __init__(self, words: list[bytes], window: int):
-        seed = (window + 1) // 2
-        hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-        self.windows = _rolling(hashes, window)
-        seeds = _rolling(hashes, seed)
-        # the smallest seed of each window, the first of equals: its place stands in the bits below its hash
-        each = window - seed + 1
-        bits = np.uint64(each.bit_length())
-        size, kept = len(seeds) - each + 1, seeds >> bits << bits
-        low = kept[:size].copy()
-        for j in range(1, each):
-            np.minimum(low, kept[j : j + size] | np.uint64(j), out=low)
-        at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) + np.arange(size)
-        self.start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.end = np.r_[self.start[1:], len(at)]
-        self.seed = seeds[at[self.start]]
-        ends = self.windows[self.start] * np.uint64(3) + self.windows[self.end - 1] * np.uint64(0xD6E8FEB86659FD93)
-        self.run = _mix(ends + (self.end - self.start).astype(np.uint64))
+    return docs.select("text").mapInArrow(of, "seed long")
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(seed, run, doc_id), each once for a row of docs."""
+    """(seed, run, doc_id, key, start, n) of every run of n windows."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "run", "doc_id"]
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = split_words(text.as_py())
-                if len(words) < window:
-                    continue
-                runs = Runs(words, window)
-                first = np.unique(runs.run, return_index=True)[1]
-                seed, run = runs.seed[first].view(np.int64), runs.run[first].view(np.int64)
-                held.append([seed, run, np.full(len(seed), doc, np.int64)])
-                size += len(seed)
-                if size >= ROWS_OUT:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
-
-    return docs.mapInArrow(of, "seed long, run long, doc_id long")
-
-
-def marks(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, __runs) and (doc_id, __windows): hashes of those that start in documents with smaller ids too."""
-    docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = _runs(docs, window)
-    often = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    alive = materialize(found.join(often, "seed"), "seeds")
+        for part, found in _windows(batches, window, 2):
+            row = pa.array(found.text)
+            n = pa.array((found.end - found.start).astype(np.int32))
+            own = [part.column(0).take(row), part.column(1).take(row), pa.array(found.places().astype(np.int32)), n]
+            yield pa.RecordBatch.from_arrays([_signed(found.seed), _signed(found.runs()), *own], ["seed", "run", *ROW, "start", "n"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*ROW, "text").mapInArrow(of, f"seed long, run long, doc_id {kind}, key long, start int, n int")
+
+
+def _single(docs: DataFrame, window: int) -> DataFrame:
+    """(a, b, doc_id, key, start) of every window of the runs that ``open`` lists; a and b are its hashes."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _windows(batches, window, 2):
+            lists = part.column(3)
+            opened = set(zip(np.repeat(np.arange(len(part)), lists.value_lengths()).tolist(), lists.flatten().to_pylist(), strict=True))
+            keep = np.array([x in opened for x in zip(found.text.tolist(), found.places().tolist(), strict=True)], bool)
+            start, n = found.start[keep], (found.end - found.start)[keep]
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            text = np.repeat(found.text[keep], n)
+            hashes = [_signed(s.runs(at, at + window)) for s in found.sums]
+            own = [part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array((at - found.bounds[text]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*hashes, *own], ["a", "b", *ROW, "start"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*ROW, "text", "open").mapInArrow(of, f"a long, b long, doc_id {kind}, key long, start int")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text) of the rows that can have repeats."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def spans(docs: DataFrame, window: int = 13) -> DataFrame:
+    """(doc_id, key, spans array<struct<start, end>>): the words of a row in windows that smaller documents have too.
+
+    key is xxhash64 of the text; a row is in the result if it has such words.
+    """
+    docs = _keyed(docs)
+    often = _seeds(docs, window).groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    alive = materialize(_runs(docs, window).join(often, "seed"), "seeds")
 
     first = materialize(alive.groupBy("seed", "run").agg(F.min("doc_id").alias("low")), "runs")
-    later = alive.join(first, ["seed", "run"]).where("doc_id > low")
-    later = later.groupBy("doc_id").agg(F.collect_set("run").alias("__runs"))
+    placed = alive.join(first, ["seed", "run"])
+    end = (F.col("start") + F.col("n") + window - 1).alias("end")
+    later = materialize(placed.where(F.col("doc_id") > F.col("low")).select(*ROW, "start", end), "settled")
 
-    differ = first.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    held = first.join(differ, "seed").groupBy(F.col("low").alias("doc_id")).agg(F.collect_set("run").alias("open"))
+    differ = first.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    held = placed.where(F.col("doc_id") == F.col("low")).join(differ, "seed").groupBy(*ROW).agg(F.collect_set("start").alias("open"))
+    single = materialize(_single(docs.join(held, ROW), window), "windows")
+    low = single.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    again = single.join(low.drop("high"), ["a", "b"]).where(F.col("doc_id") > F.col("low"))
+    again = again.select(*ROW, "start", (F.col("start") + window).alias("end"))
 
-    @F.pandas_udf("array<long>")
-    def windows_of(texts: pd.Series, opened: pd.Series) -> pd.Series:
-        out = []
-        for text, some in zip(texts, opened, strict=True):
-            words = split_words(text)
-            if len(words) < window:  # another row of the same doc_id has the runs
-                out.append(np.empty(0, np.int64))
-                continue
-            runs = Runs(words, window)
-            keep = np.isin(runs.run, np.asarray(some, np.int64).view(np.uint64))
-            wide = np.repeat(keep, runs.end - runs.start)
-            out.append(np.unique(runs.windows[wide]).view(np.int64))
-        return pd.Series(out, dtype=object)
-
-    single = docs.join(held, "doc_id").select("doc_id", F.explode(windows_of("text", "open")).alias("win"))
-    single = materialize(single, "windows")
-    low = single.groupBy("win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    again = single.join(low.drop("high"), "win").where("doc_id > low")
-    return later, again.groupBy("doc_id").agg(F.collect_set("win").alias("__windows"))
-
-
-def kept_words(words: list[bytes], runs, windows, size: int) -> list[bytes]:
-    """The words that no repeated window covers."""
-    if len(words) < size or (runs is None and windows is None):
-        return words
-    mine = Runs(words, size)
-    hit = np.zeros(len(mine.windows), bool)
-    if runs is not None:
-        hit |= np.repeat(np.isin(mine.run, np.asarray(runs, np.int64).view(np.uint64)), mine.end - mine.start)
-    if windows is not None:
-        hit |= np.isin(mine.windows, np.asarray(windows, np.int64).view(np.uint64))
+    return later.unionByName(again).groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def kept_words(words: list[bytes], starts: list[int], ends: list[int]) -> list[bytes]:
+    """The words that no span covers."""
     covered = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(hit)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + size, -1)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, ends, -1)
     keep = np.cumsum(covered[:-1]) == 0
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
+def _with_spans(docs: DataFrame, window: int) -> DataFrame:
+    """docs with __starts and __ends of the spans of each row, null where it has none."""
+    found = spans(docs, window).select(
+        F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("spans.start").alias("__starts"), F.col("spans.end").alias("__ends")
+    )
+    same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(found, same, "left").drop("__doc", "__key")
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     kept_text is the words that stay, joined by one space. Null and empty texts have no words; texts shorter than a
-    window keep all words. A null doc_id is smaller than none and none is smaller than it: such rows keep all words.
-    Rows that share a doc_id remove nothing from each other. An empty table gives an empty result; other columns are
-    ignored.
+    window keep all words. doc_id may be of any type that orders; a null one is smaller than none and none is smaller
+    than it: such rows keep all words. Rows that share a doc_id remove nothing from each other. An empty table gives an
+    empty result; other columns are ignored.
     """
     docs = only(docs, "doc_id", "text")
     text_type = ", kept_text string" if with_text else ""
 
     @F.pandas_udf(f"struct<n_words long, n_removed long, kept_sha256 string{text_type}>")
-    def cut(texts: pd.Series, runs: pd.Series, windows: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, some, more in zip(texts, runs, windows, strict=True):
+        for text, a, b in zip(texts, starts, ends, strict=True):
             words = split_words(text)
-            kept = kept_words(words, some, more, window)
+            kept = words if a is None else kept_words(words, a, b)
             joined = b" ".join(kept)
             row = (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
             rows.append((*row, joined.decode()) if with_text else row)
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text])
 
-    runs, windows = marks(docs, window)
-    both = docs.join(runs, "doc_id", "left").join(windows, "doc_id", "left")
-    out = both.select("doc_id", "text", cut("text", "__runs", "__windows").alias("cut"))
-    return out.select("doc_id", "cut.*")
+    both = _with_spans(docs, window)
+    return both.select("doc_id", cut("text", "__starts", "__ends").alias("cut")).select("doc_id", "cut.*")
 
 
 def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -208,23 +206,17 @@ def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A text that loses words is what stays, joined by one space; other texts are unchanged. The cut is told by content,
     so rows that share a doc_id are each cut on their own.
     """
+
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, runs: pd.Series, windows: pd.Series) -> pd.Series:
-        out = []
-        for text, some, more in zip(texts, runs, windows, strict=True):
-            words = split_words(text)
-            kept = kept_words(words, some, more, window)
-            out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
-        return pd.Series(out, dtype=object)
-
-    runs, windows = marks(docs, window)
-    both = docs.join(runs, "doc_id", "left").join(windows, "doc_id", "left")
-    text = cut("text", "__runs", "__windows")
-    out = both.withColumn("__cut", text)
-    changed = F.col("__cut").eqNullSafe(F.col("text"))
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        found = zip(texts, starts, ends, strict=True)
+        return pd.Series([t if a is None else b" ".join(kept_words(split_words(t), a, b)).decode() for t, a, b in found], dtype=object)
+
+    out = _with_spans(docs, window).withColumn("__cut", cut("text", "__starts", "__ends"))
     own = {"text": F.col("__cut")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(changed, F.col("n_chars")).otherwise(F.char_length("__cut").cast(docs.schema["n_chars"].dataType))
+        new = F.char_length("__cut").cast(docs.schema["n_chars"].dataType)
+        own["n_chars"] = F.when(F.col("__starts").isNull(), F.col("n_chars")).otherwise(new)
     return out.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
