@@ -2,11 +2,11 @@
 
 Inner products become Euclidean distances by one more component that lifts all vectors to the largest norm. Lists are
 fitted on a bounded sample, chosen by hash: 2-means splits at the median give leaves of equal size, whose means are the
-centroids. Every row is then indexed. A vector goes to its nearest list, and a boundary vector also to lists nearly as
-near, unless the two centroids are nearer to each other than to it. Centroids are found by a search of an in-memory
-neighbour graph. A query reads the lists whose distance is within a ratio of the nearest one's, always enough of them to
-hold k candidates, and at least as many as it takes to find the wanted share of the true neighbours: a sample of queries
-is compared with all rows, which tells in how many of the nearest lists their neighbours are.
+centroids. Every row is then indexed. A vector goes to its nearest list, and a boundary vector also to the other lists that
+are nearly as near. Centroids are found by a search of an in-memory neighbour graph. A query reads the lists whose distance
+is within a ratio of the nearest one's, always enough of them to hold k candidates. The ratio is measured: a sample of
+queries is compared with all rows, and the smallest ratio with which they find the wanted share of their true neighbours
+is that of all queries. Vectors in clusters need few lists; vectors without any structure need a large part of them.
 
 Equal vectors are searched once and expanded at the end, where only the k + 1 smallest ids of each can matter. Lists
 and their queries are cut into blocks of bounded size, so no task holds a whole crowded list.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.common import materialize, only
 
-DIMENSION = "size(vec)"
 BATCH = 2048
+DISTANCES_AT_ONCE = 1 << 22
 
 
 def fit_centroids(sample: np.ndarray, leaves: int, seed: int = 7) -> np.ndarray:
@@ -104,17 +104,9 @@ def _lifted(vectors: np.ndarray, top: float) -> np.ndarray:
 
 
 def _lists_of_vectors(points: np.ndarray, graph: CentroidGraph, replicas: int, ratio: float) -> np.ndarray:
-    """A row for each point of its lists, -1 where it has no more."""
+    """A row for each point of its lists, nearest first: those within the ratio of the nearest one's distance, else -1."""
     ids, d = graph.search(points, replicas)
-    out = np.full(ids.shape, -1)
-    out[:, 0] = ids[:, 0]
-    for j in range(1, ids.shape[1]):
-        good = d[:, j] <= ratio * d[:, 0]
-        for i in range(j):  # a list beside one that is taken adds little
-            gap = np.sqrt(((graph.centroids[ids[:, i]] - graph.centroids[ids[:, j]]) ** 2).sum(axis=1))
-            good &= (out[:, i] < 0) | (gap > d[:, j])
-        out[good, j] = ids[good, j]
-    return out
+    return np.where(d <= ratio * d[:, :1], ids, -1)
 
 
 def usable(vec: Column) -> Column:
@@ -150,79 +142,81 @@ def _true_neighbours(reps: DataFrame, q: np.ndarray, k: int) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("query", "rep")
 
 
-def _lists_needed(graph: CentroidGraph, q: np.ndarray, places: pd.DataFrame, least: int, recall: float) -> tuple[int, int]:
-    """(lists, width): how many of the nearest lists, in a search of that width, hold ``recall`` of the true neighbours.
+def _ratio_needed(graph: CentroidGraph, q: np.ndarray, places: pd.DataFrame, recall: float) -> tuple[float, int]:
+    """(ratio, lists): the smallest distance ratio that finds ``recall`` of the true neighbours, and the most lists in it.
 
     places has (query, rep, list) for every list of every true neighbour. The mean recall of the queries has to be two
-    standard errors over the wanted one; if it never is, all lists are read.
+    standard errors over the wanted one.
     """
-    n = len(graph.centroids)
-    width = min(max(least, 1), n)
-    while True:
-        ids, _ = graph.search(q, width)
-        place = np.full((len(q), n), n)
-        place[np.arange(len(q))[:, None], ids] = np.arange(width)
-        first = places.assign(at=place[places["query"], places["list"]]).groupby(["query", "rep"])["at"].min()
-        steps = np.arange(1, width + 1)
-        share = np.stack([np.searchsorted(np.sort(x), steps) / len(x) for _, x in first.groupby("query")])
-        sure = share.mean(axis=0) - 2 * share.std(axis=0) / np.sqrt(len(share)) >= recall
-        if sure.any():
-            return int(steps[sure.argmax()]), width
-        if width == n:
-            return n, n
-        width = min(2 * width, n)
+    d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + graph.square - 2 * q @ graph.centroids.T, 0))
+    d /= np.maximum(d.min(axis=1), 1e-12)[:, None]
+    found = places.assign(at=d[places["query"], places["list"]]).groupby(["query", "rep"])["at"].min()
+    steps = np.unique(found.to_numpy())
+    steps = steps[:: max(1, len(steps) // 2048)]
+    steps = np.unique(np.append(steps, found.max()))
+    share = np.stack([np.searchsorted(np.sort(x), steps, "right") / len(x) for _, x in found.groupby("query")])
+    sure = share.mean(axis=0) - 2 * share.std(axis=0) / np.sqrt(len(share)) >= recall
+    ratio = float(steps[sure.argmax()])  # with the last step everything is found
+    return ratio, int((d <= ratio).sum(axis=1).max())
 
 
 def nearest(
     rows: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    sample_rows: int = 32768,
-    list_rows: int = 128,
+    sample_rows: int = 262_144,
+    list_rows: int = 256,
     replicas: int = 8,
-    replica_ratio: float = 1.15,
-    probe_ratio: float = 1.25,
-    probes: int = 64,
+    replica_ratio: float = 1.01,
     block_rows: int = 4096,
     recall: float = 0.9,
     trial_queries: int = 256,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of rows for each query, by inner product in double precision.
 
-    rows and queries have (vec_id long, embedding array<float or double>) of one dimension. A query's own vec_id is no
-    candidate. Equal scores rank by vec_id. Unusable vectors and rows with null vec_id take no part. Rows that repeat
-    count once; if one vec_id has several vectors, each is a candidate and each makes a query. Fewer than k candidates
-    all come. Empty tables give an empty result; other columns are ignored. The sample is the ``sample_rows`` distinct
-    vectors with the smallest hashes; there is a list for every ``list_rows`` distinct vectors, at most one for every
-    eight of the sample. The lists read have ``recall`` of the true neighbours of ``trial_queries`` distinct queries, those
-    with the smallest hashes, which are compared with all rows.
+    rows and queries have (vec_id long, embedding array<float or double>). A query's own vec_id is no candidate. Equal
+    scores rank by vec_id. Unusable vectors, rows with null vec_id, and vectors of another length than the most frequent
+    one of the rows (the shortest of equals) take no part. Rows that repeat count once; if one vec_id has several vectors,
+    each is a candidate and each makes a query. Fewer than k candidates all come. Empty tables give an empty result; other
+    columns are ignored.
+
+    There is a list for every ``list_rows`` distinct vectors, at most one for every eight of ``sample_rows``; the sample is
+    eight distinct vectors a list, those with the smallest hashes, so 32,768 lists at most, and beyond some eight million
+    vectors lists grow with the table. The distance ratio has ``recall`` of the true neighbours of ``trial_queries`` distinct
+    queries, those with the smallest hashes, which are compared with all rows.
     """
 
+    kinds = {df.schema["embedding"].dataType.simpleString() for df in (rows, queries)}
+    kind = "float" if kinds == {"array<float>"} else "double"  # floats are exact as they are and half as long
+
     def ready(df: DataFrame) -> DataFrame:
-        df = only(df, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+        df = only(df, "vec_id", "embedding").select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("vec"))
         return df.where(F.col("vec_id").isNotNull() & usable(F.col("vec"))).distinct()
 
     first = Window.partitionBy("vec").orderBy("vec_id")
-    kept = ready(rows).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
+    good = ready(rows)
+    lengths = good.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    empty = "query_id long, rank int, vec_id long, score double"
+    if lengths is None:
+        return rows.sparkSession.createDataFrame([], empty)
+    whole = F.size("vec") == lengths["length"]
+    kept = good.where(whole).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
     kept = kept.withColumn("rep", F.min("vec_id").over(Window.partitionBy("vec")))
     kept = materialize(kept, "vectors")
     reps = kept.where("nth = 1").select("rep", "vec")
     members = kept.select("rep", "vec_id")
-    empty = "query_id long, rank int, vec_id long, score double"
-    asked = ready(queries)
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    asked = ready(queries).where(whole)
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, top = reps.agg(F.count("*"), F.max(norm)).first()
-    if not n:
-        return rows.sparkSession.createDataFrame([], empty)
-
-    sample = reps.orderBy(F.xxhash64("vec"), "rep").limit(sample_rows).select("vec").toPandas()["vec"]
-    sample = _lifted(_stack(sample), top)
-    graph = CentroidGraph(fit_centroids(sample, int(max(1, min(n // list_rows, len(sample) // 8)))))
+    leaves = max(1, min(n // list_rows, sample_rows // 8))
+    sample = reps.orderBy(F.xxhash64("vec"), "rep").limit(max(8 * leaves, 2048)).select("vec").toPandas()["vec"]
+    graph = CentroidGraph(fit_centroids(_lifted(_stack(sample), top), leaves))
+    batch_rows = max(1, min(BATCH, DISTANCES_AT_ONCE // leaves))
 
     def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                part = batch.iloc[at : at + BATCH]
+            for at in range(0, len(batch), batch_rows):
+                part = batch.iloc[at : at + batch_rows]
                 lists = _lists_of_vectors(_lifted(_stack(part["vec"]), top), graph, replicas, replica_ratio)
                 which, nth = np.nonzero(lists >= 0)
                 yield pd.DataFrame(
@@ -234,7 +228,7 @@ def nearest(
                     }
                 )
 
-    postings = reps.mapInPandas(assign, "list int, home boolean, rep long, vec array<double>")
+    postings = reps.mapInPandas(assign, f"list int, home boolean, rep long, vec array<{kind}>")
     postings = materialize(postings, "postings")
     counts = postings.groupBy("list").agg(F.count("*"), F.sum(F.col("home").cast("int"))).collect()  # a row for a list
     size, homes = np.zeros(len(graph.centroids)), np.zeros(len(graph.centroids))
@@ -242,36 +236,41 @@ def nearest(
         size[at], homes[at] = rows_in, home
 
     trial = asked.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(trial_queries).toPandas()["vec"]
-    needed, width = 0, max(probes, 1)
+    ratio, width = 1.0, 1
     if len(trial) and len(homes) > 1:
         trial = _stack(trial)
         true = _true_neighbours(reps, trial, k)
         places = true.join(postings.select("rep", "list"), "rep").toPandas()  # k * replicas a trial query at most
         if len(places):
             trial *= np.sqrt(top / (trial**2).sum(axis=1))[:, None]
-            needed, width = _lists_needed(graph, np.c_[trial, np.zeros(len(trial))], places, width, recall)
+            ratio, width = _ratio_needed(graph, np.c_[trial, np.zeros(len(trial))], places, recall)
+
+    def lists_of(q: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of q, their lists): all lists within the ratio, and as many as hold k others than the query."""
+        ids, d = graph.search(q, width)
+        held = np.cumsum(homes[ids], axis=1)
+        open_ = (d[:, -1] <= ratio * d[:, 0]) | (held[:, -1] < k + 1)  # perhaps more lists are wanted than were found
+        if ids.shape[1] == len(homes):
+            open_[:] = False
+        take = ((d <= ratio * d[:, :1]) | (held - homes[ids] < k + 1)) & ~open_[:, None]
+        which, nth = np.nonzero(take)
+        yield which, ids[which, nth]
+        rest = np.flatnonzero(open_)
+        if len(rest):
+            for which, lists in lists_of(q[rest], 2 * width):
+                yield rest[which], lists
 
     def probe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                part = batch.iloc[at : at + BATCH]
+            for at in range(0, len(batch), batch_rows):
+                part = batch.iloc[at : at + batch_rows]
                 q = _stack(part["vec"])
                 q *= np.sqrt(top / (q**2).sum(axis=1))[:, None]
-                ids, d = graph.search(np.c_[q, np.zeros(len(q))], width)
-                enough = np.cumsum(homes[ids], axis=1) - homes[ids] < k + 1
-                if len(ids[0]) < len(homes):  # a crowd of empty lists is around: read all
-                    short = homes[ids].sum(axis=1) < k + 1
-                else:
-                    short = np.zeros(len(q), bool)
-                place = np.arange(len(ids[0]))
-                take = ((d <= probe_ratio * d[:, :1]) & (place < max(probes, 1))) | enough | (place < needed)
-                which, nth = np.nonzero(take & ~short[:, None])
-                lists = ids[which, nth]
-                for i in np.flatnonzero(short):
-                    which, lists = np.r_[which, np.full(len(homes), i)], np.r_[lists, np.arange(len(homes))]
-                yield pd.DataFrame(
-                    {"list": lists, "rep": part["rep"].to_numpy()[which], "vec": part["vec"].to_numpy()[which]}
-                )
+                for which, lists in lists_of(np.c_[q, np.zeros(len(q))], width):
+                    rep, vec = part["rep"].to_numpy()[which], part["vec"].to_numpy()[which]
+                    for cut in range(0, len(which), 1 << 16):
+                        own = slice(cut, cut + (1 << 16))
+                        yield pd.DataFrame({"list": lists[own], "rep": rep[own], "vec": vec[own]})
 
     # vec -> rep: the smallest id among the rows; queries that are not among the rows stand for themselves
     found = asked.join(reps.withColumnRenamed("rep", "known"), "vec", "left")
@@ -279,7 +278,7 @@ def nearest(
     found = found.withColumn("group", F.xxhash64("vec", "rep"))
     found = materialize(found, "queries")
     distinct = found.groupBy("vec").agg(F.min("group").alias("rep"))
-    probed = materialize(distinct.mapInPandas(probe, "list int, rep long, vec array<double>"), "probes")
+    probed = materialize(distinct.mapInPandas(probe, f"list int, rep long, vec array<{kind}>"), "probes")
     blocks = np.maximum(np.ceil(size / block_rows), 1).astype(int)
     asks = {x[0]: max(1, -(-x[1] // block_rows)) for x in probed.groupBy("list").count().collect()}
     plan = [(i, int(blocks[i]), int(asks.get(i, 0))) for i in range(len(blocks))]

@@ -12,6 +12,7 @@ makes their doc_ids small enough to broadcast, so no text is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from signalloom.llm.common import only
 
 BITS = 18
 LETTERS, DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,8 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 6000,
     """
 
     @F.pandas_udf("array<int>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).astype(np.int32) for t in texts])
+    def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([features(t).astype(np.int32) for t in texts])
+        _WORDS.clear()
 
     known = sample_labels(labels, name, sample_rows)
     rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")  # sample_rows at most
@@ -168,8 +171,10 @@ def _scorer(spark, model: Model):
     shared = spark.sparkContext.broadcast(model)  # 2**BITS weights
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+        _WORDS.clear()  # a later stage of the worker has its own use for the memory
 
     return of
 
