@@ -6,7 +6,7 @@ of its smoothed counts in the two classes, and a linear hinge-loss model is fitt
 coordinate descent. A logistic curve, fitted on margins of rows left out of the descent, turns margins into scores.
 
 The model is fitted on at most ``sample_rows`` labelled rows, those whose doc_ids have the smallest hashes; that bound
-makes their doc_ids small enough to broadcast, so no text is shuffled.
+makes their doc_ids small enough to broadcast, so only their texts are shuffled.
 """
 
 from __future__ import annotations
@@ -131,10 +131,20 @@ def sample_labels(labels: DataFrame, name: str, rows: int, folds: int = 5, where
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, label, text): the texts of known(doc_id, label), which has a bounded number of rows.
+
+    Of rows that share a doc_id that with the smallest hash of its text counts, so the result is bounded as well.
+    """
+    rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return one.select("doc_id", "label", "one.text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 6000, c: float = 1.0, rounds: int = 12) -> Model:
     """Fit on docs(doc_id, text) and their labels(doc_id, name 0/1) outside the held-out fold.
 
-    Rows that repeat a doc_id all count. Without any labelled row every score is 0.5.
+    Without any labelled row every score is 0.5.
     """
 
     @F.pandas_udf("array<int>")
@@ -143,8 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 6000,
             yield pd.Series([features(t).astype(np.int32) for t in texts])
         _WORDS.clear()
 
-    known = sample_labels(labels, name, sample_rows)
-    rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")  # sample_rows at most
+    rows = labelled(docs, sample_labels(labels, name, sample_rows))
     sample = rows.select("doc_id", "label", grams("text").alias("grams")).toPandas()
     size = 1 << BITS
     if sample.empty:

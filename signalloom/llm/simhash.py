@@ -215,16 +215,6 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id names their group, so one document of each group stays, all columns kept.
-
-    Rows that repeat the staying doc_id all stay, as do rows of groups without any doc_id.
-    """
-    groups = near_duplicates(docs, shingle_words, radius)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
-
-
 def brute_force(rows: Iterable[tuple[int, str | None]], shingle_words: int, radius: int) -> dict[int, int]:
     """doc_id -> component_id by comparing all pairs; for tests on small tables."""
     ids, texts = zip(*rows, strict=True)

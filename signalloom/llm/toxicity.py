@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.common import materialize, only
-from signalloom.llm.quality import sample_labels
+from signalloom.llm.quality import labelled, sample_labels
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -180,14 +180,12 @@ def fit(
 ) -> Model:
     """Fit on docs(doc_id, text) and their labels(doc_id, name 0/1) outside the held-out fold.
 
-    Two thirds of the rows train the dictionaries, the rest the curve. Rows that repeat a doc_id all count and null
-    texts are left out. Without a toxic and an ordinary row every score is 0.5.
+    Two thirds of the rows train the dictionaries, the rest the curve. Null texts are left out. Without a toxic and an ordinary row every score is 0.5.
     """
     known = sample_labels(labels, name, toxic_rows, where="label > 0").unionByName(
         sample_labels(labels, name, ordinary_rows, where="label <= 0")
     )
-    rows = only(docs, "doc_id", "text").where("text is not null")
-    rows = rows.join(F.broadcast(known), "doc_id")  # toxic_rows + ordinary_rows at most
+    rows = labelled(docs.where("text is not null"), known)  # toxic_rows + ordinary_rows at most
     rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))), "labelled")
     texts: dict[bool, list[str]] = {True: [], False: []}
     shown = _within(rows.where("part < 2"), sample_chars).orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text")

@@ -146,10 +146,12 @@ def with_referrals(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     """(page_id, url, html, refers_to): the page that a revisit refers to, null for a response.
 
     Payloads are equal if their SHA-256 and length are. Their largest page_id is found by a partial aggregate, so a
-    group of copies meets no single task; the join back may be split by Spark.
+    group of copies meets no single task; the join back may be split by Spark. Shorter payloads, which refer to none, are
+    spread by a hash of the whole row.
     """
-    pages = only(pages, "page_id", "url", "html")
-    keyed = pages.withColumn("key", F.sha2(F.col("html"), 256)).withColumn("bytes", F.octet_length("html"))
+    pages = only(pages, "page_id", "url", "html").withColumn("bytes", F.octet_length("html"))
+    spread = F.hex(F.xxhash64("page_id", "url", "html"))
+    keyed = pages.withColumn("key", F.when(F.col("bytes") >= revisit_bytes, F.sha2(F.col("html"), 256)).otherwise(spread))
     last = keyed.where(F.col("bytes") >= revisit_bytes).groupBy("key", "bytes")
     last = last.agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = keyed.join(last, ["key", "bytes"], "left")
@@ -175,24 +177,27 @@ def write_warc(
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         out, path, size, done, count = None, "", 0, [], 0
-        for batch in batches:
-            refers = batch["refers_to"].astype("Int64")
-            ids = batch["page_id"].astype("Int64")
-            for page, url, html, to in zip(ids, batch["url"], batch["html"], refers, strict=True):
-                if out is None:
-                    path, size, count = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(path)
-                page, to = (None if pd.isna(x) else int(x) for x in (page, to))
-                member = make_record(page, url, html, to, date)
-                out.write(member)
-                size, count = size + len(member), count + 1
-                if size >= archive_bytes:
-                    out.close()
-                    done.append((path, count))
-                    out = None
-        if out is not None:
-            out.close()
-            done.append((path, count))
+        try:
+            for batch in batches:
+                refers = batch["refers_to"].astype("Int64")
+                ids = batch["page_id"].astype("Int64")
+                for page, url, html, to in zip(ids, batch["url"], batch["html"], refers, strict=True):
+                    if out is None:
+                        path, size, count = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                        out = store.open_output_stream(path)
+                    page, to = (None if pd.isna(x) else int(x) for x in (page, to))
+                    member = make_record(page, url, html, to, date)
+                    out.write(member)
+                    size, count = size + len(member), count + 1
+                    if size >= archive_bytes:
+                        out.close()
+                        done.append((path, count))
+                        out = None
+            if out is not None:
+                done.append((path, count))
+        finally:
+            if out is not None:
+                out.close()
         yield pd.DataFrame(done, columns=["path", "records"])
 
     rows = with_referrals(pages, revisit_bytes)
