@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import by_size, only
+from signalloom.llm.common import by_size, only, small_batches
 from signalloom.llm.pieces import PieceIds
 
 #: The characters that count as white space, and the pattern by which byte-level BPE splits text.
@@ -42,7 +42,7 @@ PLAIN_WORDS = re.compile(
 ).findall
 FOREVER = 1 << 60
 CACHED_WORDS = 400_000
-CACHED_PAIRS = 500_000
+CACHED_PAIRS = 250_000
 BATCH_CHARS = 1 << 20
 
 
@@ -78,15 +78,13 @@ class TrieBPE:
             left, right = (vocab[bytes(names[c] for c in x)] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.rank[left, right] = rank
             halves.setdefault(vocab[self.text[left] + self.text[right]], (left, right, rank))
-        # the pieces on a token's edges, from the whole token inwards, each with the rank at which it is merged away
-        self.right_edge = [self._edge(halves, i, 1) for i in range(size)]
-        self.left_edge = [self._edge(halves, i, 0) for i in range(size)]
+        self.halves = halves
         self.fits: dict[int, bool] = {}
         self.pieces = PieceIds(CACHED_WORDS, {s: (i,) for s, i in special.items()})
 
-    @staticmethod
-    def _edge(halves: dict, token: int, side: int) -> list[tuple[int, int]]:
-        out, away = [(token, FOREVER)], FOREVER
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces on an edge of a token, from the whole token inwards, each with the rank at which it is merged away."""
+        halves, out, away = self.halves, [(token, FOREVER)], FOREVER
         while token in halves:
             away = halves[token][2]
             token = halves[token][side]
@@ -95,9 +93,9 @@ class TrieBPE:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens as they are when they stand side by side."""
-        rank = self.rank.get
-        for a, a_gone in self.right_edge[left]:
-            for b, b_gone in self.left_edge[right]:
+        rank, edge = self.rank.get, self._edge(right, 0)
+        for a, a_gone in self._edge(left, 1):
+            for b, b_gone in edge:
                 merge = rank((a, b))
                 # at equal ranks the leftmost merge is first: inside the left token before this, this before the right
                 if merge is not None and merge < a_gone and merge <= b_gone:
@@ -175,6 +173,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     Null and empty texts have no tokens. Null and repeated doc_ids are kept as they are; an empty table gives an empty
     result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     ids_type = "token_ids array<int>, " if with_ids else ""
     schema = f"struct<{ids_type}n_tokens long, ids_sha256 string, decoded_sha256 string>"
 

@@ -52,6 +52,13 @@ def few(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Send texts to Python workers at most so many at a time; ten thousand, as Spark's setting has it, may be a GB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

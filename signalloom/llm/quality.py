@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import only
+from signalloom.llm.common import only, small_batches
 
 BITS = 18
 LETTERS, DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, sample_rows: int = 6000,
 
 
 def _scorer(spark, model: Model):
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**BITS weights
 
     @F.pandas_udf("double")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import few, materialize
+from signalloom.llm.common import few, materialize, small_batches
 from signalloom.llm.graph import connected_components
 from signalloom.llm.simhash import fingerprint_of, links, shingle_hashes
 
@@ -42,6 +42,8 @@ def _said(shingle_words: int):
 def _signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     """docs with __row, a number of the row, and __node (a hash of the shingle set), __n (its size), __fp and __sketch."""
 
+    small_batches(docs.sparkSession)
+
     def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
         hashes = shingle_hashes(text, shingle_words)
         said = np.unique(hashes)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalloom.llm.common import materialize, only, shuffle_partitions
+from signalloom.llm.common import materialize, only, shuffle_partitions, small_batches
 from signalloom.llm.graph import connected_components
 
 SEED = 42
@@ -61,6 +61,8 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 def fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """(doc_id, fp) for every row of docs."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(T.LongType())
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, shingle_words) for x in texts], dtype="int64")

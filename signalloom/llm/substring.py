@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm import wordhash
-from signalloom.llm.common import materialize, only
+from signalloom.llm.common import materialize, only, small_batches
 
 BYTES_AT_ONCE = 1 << 20
 ROW = ["doc_id", "key"]
@@ -137,6 +137,7 @@ def spans(docs: DataFrame, window: int = 13) -> DataFrame:
 
     key is xxhash64 of the text; a row is in the result if it has such words.
     """
+    small_batches(docs.sparkSession)
     docs = _keyed(docs)
     often = _seeds(docs, window).groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
     alive = materialize(_runs(docs, window).join(often, "seed"), "seeds")

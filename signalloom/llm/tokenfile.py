@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from signalloom.llm.bpe import LETTERS, NUMBERS, PLAIN, byte_names
-from signalloom.llm.common import by_size, materialize, only, shuffle_partitions
+from signalloom.llm.common import by_size, materialize, only, shuffle_partitions, small_batches
 from signalloom.llm.pieces import PieceIds
 
 CACHED_PIECES = 400_000
@@ -87,6 +87,8 @@ def load(path: str) -> PieceTokenizer:
 def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, token_ids, n_tokens) of whole texts, each ended by end_id; a null text is empty."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
         tokenizer = load(tokenizer_path)

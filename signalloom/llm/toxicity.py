@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialize, only
+from signalloom.llm.common import materialize, only, small_batches
 from signalloom.llm.quality import labelled, sample_labels
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -140,6 +140,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarr
 
 
 def _measure(texts: DataFrame, model: Model, *names: str) -> DataFrame:
+    small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
     @F.pandas_udf("struct<largest double, mean double, second double, score double>")
