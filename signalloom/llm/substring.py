@@ -139,7 +139,9 @@ def spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = _keyed(docs)
+    # what a join meets is written first, so that both its sides are plain shuffles, of which Spark splits hot keys
     often = _seeds(docs, window).groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    often = materialize(often, "often")
     alive = materialize(_runs(docs, window).join(often, "seed"), "seeds")
 
     first = materialize(alive.groupBy("seed", "run").agg(F.min("doc_id").alias("low")), "runs")
@@ -148,13 +150,16 @@ def spans(docs: DataFrame, window: int = 13) -> DataFrame:
     later = materialize(placed.where(F.col("doc_id") > F.col("low")).select(*ROW, "start", end), "settled")
 
     differ = first.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    differ = materialize(differ, "differ")
     held = placed.where(F.col("doc_id") == F.col("low")).join(differ, "seed").groupBy(*ROW).agg(F.collect_set("start").alias("open"))
     single = materialize(_single(docs.join(held, ROW), window), "windows")
     low = single.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    again = single.join(low.drop("high"), ["a", "b"]).where(F.col("doc_id") > F.col("low"))
+    low = materialize(low.drop("high"), "again")
+    again = single.join(low, ["a", "b"]).where(F.col("doc_id") > F.col("low"))
     again = again.select(*ROW, "start", (F.col("start") + window).alias("end"))
 
-    return later.unionByName(again).groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = later.unionByName(again).groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return materialize(found, "spans")
 
 
 def kept_words(words: list[bytes], starts: list[int], ends: list[int]) -> list[bytes]:
