@@ -65,8 +65,18 @@ def exits(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     return before.join(weights.select("security_id", *keys, "n"), ["security_id", *keys, "n"], "left_anti")
 
 
-def forward_returns(signal: DataFrame, ret: DataFrame, days: int = 1, day: str = "date_avail") -> DataFrame:
-    """Adds forward_ret, the return so many calendar days after the signal's day."""
+def forward_returns(
+    signal: DataFrame, ret: DataFrame, days: int = 1, day: str = "date_avail", dates: DataFrame | None = None
+) -> DataFrame:
+    """Adds forward_ret, the return so many calendar days after the signal's day; with dates, so many trading days.
+
+    Signals of a day that is no trading day then drop out; the calendar has a row a day and is broadcast.
+    """
+    if dates is not None:
+        now = dates.select(F.col("date").alias(day), (F.col("n") + days).alias("n"))
+        ahead = now.join(dates.select("n", F.col("date").alias("__ahead")), "n").drop("n")
+        right = ret.select("security_id", F.col("date").alias("__ahead"), F.col("ret").alias("forward_ret"))
+        return signal.join(F.broadcast(ahead), day).join(right, ["security_id", "__ahead"]).drop("__ahead")
     right = ret.select("security_id", F.date_sub("date", days).alias(day), F.col("ret").alias("forward_ret"))
     return signal.join(right, ["security_id", day])
 

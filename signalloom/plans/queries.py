@@ -873,6 +873,10 @@ IC = f"""SELECT date_sig, {Q.correlation('x', 'y')} AS ic, count(*) AS pairs FRO
   SELECT s.*, r.ret AS forward_ret FROM e_signal s JOIN e_ret r ON r.security_id = s.security_id AND r.date = s.date_avail + 1))
   GROUP BY date_sig HAVING count(*) >= 10"""
 add("ic_daily", "date_sig ic:r pairs", _ic, IC)
+add("ic_trading_days", "date_sig ic:r pairs",
+    lambda s, d: performance.information_coefficients(joins.forward_returns(E(s, d).signal, E(s, d).ret, dates=E(s, d).dates), ["date_sig"], "signal", "forward_ret"),
+    IC.replace("JOIN e_ret r ON r.security_id = s.security_id AND r.date = s.date_avail + 1", """JOIN e_dates a ON a.date = s.date_avail
+      JOIN e_dates b ON b.n = a.n + 1 JOIN e_ret r ON r.security_id = s.security_id AND r.date = b.date"""))
 add("ic_stats", "mean:r std:r t:r hit_rate:r ir:r n", lambda s, d: performance.ic_stats(_ic(s, d)),
     f"""SELECT avg(ic) AS mean, stddev_pop(ic) AS std, coalesce(avg(ic) / nullif(stddev_pop(ic) / sqrt(count(ic)), 0), 0) AS t,
         avg(CAST(ic > 0 AS DOUBLE)) * 100 AS hit_rate, coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) AS ir, count(ic) AS n FROM ({IC})""")

@@ -5,9 +5,12 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from signalloom.functions.stats import average_rank, correlation, max_rank
 from signalloom.operators import audit, clean, cost, joins, performance, portfolio, regress, suite
 from signalloom.operators import trading_calendar as tc
+from signalloom.plans import backtest as bt
 from signalloom.sources import tables
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)  # noqa: E731  2024-01-01 is a Monday
@@ -176,3 +179,116 @@ def test_yearly_update_replaces_changed_years_only(spark, tmp_path):
     assert got == {2020: "same", 2021: "changed", 2022: "added"}
     assert {p.name for p in (tmp_path / "ret" / "year=2020").iterdir()} == before
     assert sorted(r.ret for r in tables.read_yearly(spark, path).collect()) == [1.0, 3.0, 4.0]
+
+
+def test_nan_signals_never_get_a_rank(spark):
+    rows = [(1, DAY(0), DAY(1), 1.0), (2, DAY(0), DAY(1), float("nan")), (3, DAY(0), DAY(1), None)]
+    df, dates = signal(spark, rows), calendar(spark)
+    assert [r.security_id for r in tc.prepare(df, dates).collect()] == [1]
+    ret = spark.createDataFrame([(i, DAY(2), 0.1, 0.1) for i in (1, 2, 3)], "security_id int, date date, ret double, resret double")
+    risk = spark.createDataFrame([(i, DAY(0), 1) for i in (1, 2, 3)], "security_id int, date date, cap int")
+    got = bt.prepared(df.withColumn("signal_name", F.lit("s")), ret, risk, dates, bt.Config()).collect()
+    assert [(r.security_id, r.cap) for r in got] == [(1, 1)]
+
+
+def panels(spark, days=14, names=24, seed=5):
+    """signal, ret, risk and dates of random securities on all days, with three industries and a factor."""
+    rng = np.random.default_rng(seed)
+    dates = [(DAY(i), i + 1) for i in range(days + 2)]
+    keys = [(s, d) for s in range(names) for d, _ in dates]
+    x = {k: tuple(float(v) for v in rng.normal(size=3)) for k in keys}
+    signal_ = [("s", s, d, d, x[s, d][0] + 0.5 * x[s, d][1] + s % 3) for s, d in keys]
+    ret = [(s, d, x[s, d][2], x[s, d][2] / 2) for s, d in keys]
+    risk = [(s, d, s % 3, s % 2 + 1, x[s, d][1]) for s, d in keys]
+    return (
+        spark.createDataFrame(signal_, "signal_name string, security_id int, date_sig date, date_avail date, signal double"),
+        spark.createDataFrame(ret, "security_id int, date date, ret double, resret double"),
+        spark.createDataFrame(risk, "security_id int, date date, industry_id int, cap int, value double"),
+        spark.createDataFrame(dates, "date date, n int"),
+    )
+
+
+def test_backtests_on_residuals_equal_a_plain_version(spark):
+    """Sharpe and mean return of every residualisation, from positions to the daily series, in numpy."""
+    frames = panels(spark)
+    config = bt.Config(resid=("off", "industry", "factor", "all"), factors=["value"], mincos=1)
+    result = bt.run(*frames, config)
+    got = {r.config: r for r in result.summary.collect()}
+    signal_, ret, risk, dates = (f.toPandas() for f in frames)
+    day_of = dict(zip(dates["date"], dates["n"], strict=True))
+    at = {n: d for d, n in day_of.items()}
+    df = signal_.merge(risk.rename(columns={"date": "date_sig"}), on=["security_id", "date_sig"])
+    df["date"] = [at.get(day_of[d] + 1) for d in df["date_avail"]]
+    df = df.dropna(subset=["date"]).merge(ret, on=["security_id", "date"])
+    for style in config.resid:
+        daily = []
+        for _, day in df.groupby("date"):
+            dummies = np.eye(3)[day["industry_id"]]
+            x = {"off": None, "industry": dummies, "factor": np.c_[np.ones(len(day)), day["value"]], "all": np.c_[dummies, day["value"]]}[style]
+            y = day["signal"].to_numpy()
+            y = y if x is None else y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+            p = np.ceil((np.argsort(np.argsort(y)) + 1) * 100 / len(y))
+            daily.append(day["ret"][p > 80].mean() - day["ret"][p <= 20].mean())
+        mean = np.mean(daily) * 252
+        row = got[f"lag0_resid{style}"]
+        assert row.ret_ann == pytest.approx(mean) and row.ret_sharpe == pytest.approx(mean / (np.std(daily, ddof=1) * 252**0.5))
+        assert row.num_date == len(daily)
+    result.weights.unpersist()
+    result.daily.unpersist()
+
+
+def test_residuals_of_incomplete_rows_and_ties(spark):
+    rows = [(1, 1, 0.1, 1.0), (2, 1, 0.1, 2.0), (3, 1, 0.3, 4.0), (4, 2, 0.7, None), (5, None, 0.9, 1.0), (6, 2, 0.7, 3.0)]
+    df = spark.createDataFrame(rows, "id int, industry_id int, signal double, value double").withColumn("day", F.lit(1))
+    got = {(r.resid, r.id): r.signal for r in regress.residualize(df, ["day"], ["off", "industry"], ["value"]).collect()}
+    assert {i for s, i in got if s == "off"} == {1, 2, 3, 4, 5, 6} and {i for s, i in got if s == "industry"} == {1, 2, 3, 6}
+    assert got["industry", 1] == got["industry", 2] and got["industry", 6] == 0
+
+
+def test_singular_days_have_no_fit_and_spoil_no_other(spark):
+    rows = [(1, float(i), 2.0 * i, 1.0 * i + (i == 2)) for i in range(4)] + [(2, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 2.0)]
+    df = spark.createDataFrame(rows, "day int, x double, unused double, y double")
+    got = regress.ols_residual(df, ["day"], "y", ["x"], ridge=0.0).collect()
+    assert all(r.y is None for r in got if r.day == 2) and all(r.y is not None for r in got if r.day == 1)
+
+
+@pytest.mark.parametrize("n", [3, 4, 9, 30])
+def test_p_values_equal_those_of_spark_ml(spark, n):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(n)
+    rows = [("g", DAY(i), float(a), float(0.3 * a + b)) for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "g string, date date, market_ret double, ret double")
+    got = regress.market_beta(df.drop("market_ret"), df.select("date", "market_ret"), ["g"]).first()
+    fit = LinearRegression(featuresCol="x", labelCol="ret", solver="normal").fit(VectorAssembler(inputCols=["market_ret"], outputCol="x").transform(df))
+    assert [got.t_beta, got.t_alpha] == pytest.approx(list(fit.summary.tValues))
+    assert [got.p_beta, got.p_alpha] == pytest.approx(list(fit.summary.pValues), abs=1e-9)
+
+
+def test_named_factor_models(spark):
+    library = spark.createDataFrame([], "date date, `mkt-rf` double, smb double, hml double, rf double, nodur double")
+    assert regress.factors_in("ff3", library) == ["mkt-rf", "smb", "hml"] and regress.factors_in(["smb"], library) == ["smb"]
+    assert regress.factors_in("ff7_industry", library) == ["smb", "hml", "nodur"]
+
+
+def test_runs_are_removed_with_all_their_parts(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    metrics = spark.createDataFrame([("c", "signal", "sharpe", 1.0)], "config string, type string, metric string, value double")
+    daily = spark.createDataFrame([("c", "signal", DAY(0), 0.1)], "config string, type string, date date, ret double")
+    more = spark.createDataFrame([("cap", "LargeCap", "sharpe", 1.0)], "byvar string, grp string, metric string, value double")
+    for i in (1, 2, 3):
+        tables.write_run(path, f"r{i}", f"2024-01-0{i}", {"signal": "s"}, metrics, daily, breakdowns=more if i < 3 else None)
+    got = {r.run_id: r.status for r in tables.delete_runs(spark, path, ["r1", "r9", "r1", ""]).collect()}
+    assert got == {"r1": "deleted", "r9": "failed", "": "failed"}
+    for part, left in (("runs", {"r2", "r3"}), ("run_metrics", {"r2", "r3"}), ("run_daily", {"r2", "r3"}), ("run_breakdowns", {"r2"})):
+        assert {r.run_id for r in spark.read.parquet(f"{path}/{part}").collect()} == left
+    assert [r.run_id for r in tables.run_history(spark.read.parquet(f"{path}/runs"), 1).collect()] == ["r3"]
+
+
+def test_returns_so_many_trading_days_ahead(spark):
+    df = signal(spark, [(1, DAY(3), DAY(4), 1.0), (1, DAY(4), DAY(5), 2.0)])  # available on Friday and Saturday
+    ret = spark.createDataFrame([(1, DAY(i), float(i)) for i in range(10)], "security_id int, date date, ret double")
+    got = joins.forward_returns(df, ret, 1, dates=calendar(spark)).collect()
+    assert [(r.signal, r.forward_ret) for r in got] == [(1.0, 7.0)]
+    assert sorted(r.forward_ret for r in joins.forward_returns(df, ret, 1).collect()) == [5.0, 6.0]
