@@ -48,5 +48,13 @@ def daily_cost(changes: DataFrame, rate: Column, keys: Sequence[str]) -> DataFra
     return changes.groupBy(*keys, "n").agg(F.sum(rate * F.col("change")).alias("tc"))
 
 
+def daily_trades(changes: DataFrame, rate: Column, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, turnover, tc) in one aggregate; turnover is null in periods without holdings, which have costs all the same."""
+    out = changes.groupBy(*keys, "n").agg(
+        F.max("held").alias("held"), F.sum("change").alias("turnover"), F.sum(rate * F.col("change")).alias("tc")
+    )
+    return out.withColumn("turnover", F.when(F.col("held") == 1, F.col("turnover"))).drop("held")
+
+
 def running(keys: Sequence[str], order: str = "date"):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

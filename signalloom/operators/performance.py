@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.stats import annual, annual_deviation, average_rank, correlation, ratio, share_positive, size_of
@@ -16,9 +16,13 @@ from signalloom.operators.joins import panel_days
 DECIMALS = 12
 
 
+def weighted_sums(columns: Sequence[str] = ("ret", "resret")) -> list[Column]:
+    return [F.round(F.sum(F.col("weight") * F.col(c)), DECIMALS).alias(c) for c in columns]
+
+
 def daily_portfolio(weights: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("ret", "resret")) -> DataFrame:
     """(keys, sums of weight times each column)"""
-    return weights.groupBy(*keys).agg(*(F.round(F.sum(F.col("weight") * F.col(c)), DECIMALS).alias(c) for c in columns))
+    return weights.groupBy(*keys).agg(*weighted_sums(columns))
 
 
 def date_bounds(names: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -86,10 +86,13 @@ def long_only(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.greatest("weight", F.lit(0.0)))
 
 
+def side_counts() -> list[Column]:
+    long, short = (F.count(F.when(c, 1)) for c in (F.col("weight") > 0, F.col("weight") < 0))
+    return [long.alias("n_long"), short.alias("n_short"), F.least(long, short).alias("n_min")]
+
+
 def names_per_side(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
-    out = weights.groupBy(*keys).agg(count(F.col("weight") > 0).alias("n_long"), count(F.col("weight") < 0).alias("n_short"))
-    return out.withColumn("n_min", F.least("n_long", "n_short"))
+    return weights.groupBy(*keys).agg(*side_counts())
 
 
 def enough_names(names: DataFrame, mincos: int, only_long: bool = False) -> DataFrame:

@@ -33,6 +33,7 @@ class Config:
 @dataclass
 class Result:
     weights: DataFrame
+    day: DataFrame
     names: DataFrame
     daily: DataFrame
     summary: DataFrame
@@ -64,9 +65,9 @@ def run(
 ) -> Result:
     """Everything of a backtest as lazy frames.
 
-    Several parts read the weights and the daily series, so keep holds these: it persists them, to memory and disk,
-    until the caller lets go of result.weights and result.daily; pass a function that writes and rereads to keep them
-    otherwise.
+    Several parts read the weights, their sums a day and the daily series, so keep holds these: it persists them, to
+    memory and disk, until the caller lets go of result.weights, result.day and result.daily; pass a function that writes
+    and rereads to keep them otherwise.
     """
     config = config or Config()
     df = positions(prepared(signal, ret, risk, dates, config), config)
@@ -74,8 +75,10 @@ def run(
     if config.long_only:
         weights = portfolio.long_only(weights).where("weight > 0")
     weights = keep(weights.join(F.broadcast(dates.select("date", "n")), "date"))  # a row a day
-    names = portfolio.names_per_side(weights, [*KEYS, "date", "n"])
-    names = portfolio.enough_names(names, config.mincos, config.long_only)
+    columns = ["ret", "resret", *config.factors]
+    held_day = keep(weights.groupBy(*KEYS, "date", "n").agg(*portfolio.side_counts(), *performance.weighted_sums(columns)))
+    day = portfolio.enough_names(held_day, config.mincos, config.long_only)
+    names = day.drop(*columns)
     held = weights.join(names.select(*KEYS, "date"), [*KEYS, "date"], "left_semi")
 
     changes = cost.weight_changes(held, KEYS)
@@ -87,14 +90,12 @@ def run(
         known = risk.select("security_id", "date", "cap")
         rate = cost.naive_cost()
     traded = traded.join(known, ["security_id", "date"], "left")
-    costs = cost.daily_cost(traded, rate, KEYS)
-    turnover = cost.turnover(changes, KEYS)
+    trades = cost.daily_trades(traded, rate, KEYS)
 
-    gains = performance.daily_portfolio(held, [*KEYS, "date"], ["ret", "resret", *config.factors])
     bounds = performance.date_bounds(names, KEYS)
-    daily = performance.on_panel(bounds, dates, KEYS, gains, turnover, costs, names)
+    daily = performance.on_panel(bounds, dates, KEYS, day.drop("date"), trades)
     daily = keep(performance.cumulate(performance.net_returns(daily), KEYS))
-    return Result(weights, names, daily, performance.summary(daily, KEYS, config.factors))
+    return Result(weights, held_day, names, daily, performance.summary(daily, KEYS, config.factors))
 
 
 def results(summary: DataFrame, kind: str = "signal") -> DataFrame:
