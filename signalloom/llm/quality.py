@@ -25,7 +25,7 @@ from signalloom.llm.common import only, small_batches
 
 BITS = 18
 LETTERS, DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[0-9]+")
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 17
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -26,8 +26,8 @@ from signalloom.llm.common import few, materialize, small_batches
 from signalloom.llm.graph import connected_components
 from signalloom.llm.simhash import fingerprint_of, links, shingle_hashes
 
-SKETCH, SHARED = 24, 6
-HOT = 200
+SKETCH, SHARED = 32, 10
+HOT = 1000
 PIVOT_ROUNDS, CROSS_PER_ROW = 4, 8
 
 

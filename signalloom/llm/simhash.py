@@ -31,7 +31,7 @@ from signalloom.llm.graph import connected_components
 SEED = 42
 BITS = 64
 HASHES_AT_ONCE = 1 << 16
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from signalloom.llm import wordhash
 from signalloom.llm.common import materialize, only, small_batches
 
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 ROW = ["doc_id", "key"]
 
 

@@ -39,7 +39,7 @@ class _Powers:
             powers = np.full(n, x)
             powers[0] = 1
             found.append(np.cumprod(powers))
-        if n <= 1 << 22:
+        if n <= 1 << 19:
             self.held = found[0], found[1]
         return found[0], found[1]
 
