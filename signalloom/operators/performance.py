@@ -114,7 +114,7 @@ def coverage(signal: DataFrame, universe: DataFrame) -> DataFrame:
     out = day.agg(F.avg("k").alias("per_day"), F.count("*").alias("days"))
     total = signal.agg(F.countDistinct("security_id").alias("securities"))
     everyone = universe.agg(F.countDistinct("security_id").alias("universe"))
-    out = out.crossJoin(total).crossJoin(everyone)  # one row each
+    out = out.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(everyone))  # one row each
     return out.select("per_day", (ratio("per_day", "universe") * 100).alias("percent"), "days", "securities")
 
 

@@ -31,13 +31,20 @@ def _config(**how) -> bt.Config:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; for local sessions without one, below the temporary folder."""
+    """A new folder below spark.checkpoint.dir; for local sessions without one, below the temporary folder. It goes when
+    the session's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    root = f"{base.rstrip('/')}/plans-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
@@ -930,7 +937,7 @@ def _correlations(s, d):
         P(s, d).signal.join(P(s, d).price_signal.select("security_id", "date_sig", F.col("signal").alias("other")), ["security_id", "date_sig"]),
         ["date_sig"], "signal", "other",
     ).agg(F.avg("ic").alias("signal_corr"))
-    return own.crossJoin(pnl).select(F.lit("price").alias("baseline"), "signal_corr", F.col("corr").alias("pnl_corr"))
+    return own.crossJoin(F.broadcast(pnl)).select(F.lit("price").alias("baseline"), "signal_corr", F.col("corr").alias("pnl_corr"))
 
 
 add("correlation_table", "baseline signal_corr:r pnl_corr:r", _correlations,
