@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import ann, bpe, decontaminate, quality, simhash, substring, tokenfile, toxicity, urlfilter, warc
+from signalloom.llm import ann, bpe, decontaminate, quality, rankbpe, simhash, substring, tokenfile, toxicity, urlfilter, warc
 from signalloom.llm.common import scratch_path, table
 
 URL_RULES = [
@@ -91,6 +91,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return rankbpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_bpe,
         op10_substring_dedup,
+        op13_rank_bpe,
         pipeline,
     )
     return {f.__name__: f for f in own}
