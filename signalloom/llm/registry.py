@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import ann, bpe, decontaminate, quality, rankbpe, simhash, substring, tokenfile, toxicity, urlfilter, warc
+from signalloom.llm import ann, bpe, decontaminate, manifest, quality, rankbpe, simhash, substring, tokenfile, toxicity, urlfilter, warc
 from signalloom.llm.common import scratch_path, table
 
 URL_RULES = [
@@ -91,6 +91,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.try_add(F.col("n_chars"), F.lit(1))
+    tampered = manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)
+    docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    found = manifest.build(docs, fields, group="lang", key="doc_id", tampered=tampered)
+    folded = manifest.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return rankbpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -114,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_bpe,
         op10_substring_dedup,
+        op12_merkle_manifest,
         op13_rank_bpe,
         pipeline,
     )

@@ -63,4 +63,51 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRING}
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n, "text"))) + ")"
+
+
+#: CRC-32 of the decimal doc_id, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)))"""
+#: The next level of a list of nodes, and what stands beside a slot in a level.
+PAIRS = "list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"
+BESIDE = "coalesce(CASE WHEN (slot >> level) & 1 = 1 THEN 'L' ELSE 'R' END || nodes[xor(slot >> level, CAST(1 AS BIGINT)) + 1], 'A')"
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('+' || lang, '') AS grp, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS start FROM documents
+), p AS (
+  SELECT doc_id, grp, leaf, start, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot FROM d
+), own AS (
+  SELECT grp, 0 AS level, list(leaf ORDER BY slot) AS nodes FROM p GROUP BY grp
+  UNION ALL SELECT grp, level + 1, {PAIRS} FROM own WHERE len(nodes) > 1
+), sub AS (
+  SELECT grp, nodes[1] AS subroot, row_number() OVER (ORDER BY grp) - 1 AS slot FROM own WHERE len(nodes) = 1
+), tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY slot) AS nodes FROM sub
+  UNION ALL SELECT level + 1, {PAIRS} FROM tops WHERE len(nodes) > 1
+), over_ AS (
+  SELECT grp, list({BESIDE} ORDER BY level) FILTER (len(nodes) > 1) AS rest FROM sub, tops GROUP BY grp
+), path AS (
+  SELECT grp, slot, list({BESIDE} ORDER BY level) FILTER (len(nodes) > 1) AS path FROM p JOIN own USING (grp) GROUP BY grp, slot
+), found AS (
+  SELECT doc_id, leaf, start, subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root,
+         list_concat(coalesce(path, []), coalesce(rest, [])) AS path
+  FROM p JOIN path USING (grp, slot) JOIN over_ USING (grp) JOIN (SELECT grp, subroot FROM sub) USING (grp)
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, array_to_string(list_transform(list_filter(path, lambda x: x <> 'A'), lambda x: x[2:]), '') AS siblings,
+         list_reduce(list_prepend(start, path),
+           lambda x, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || x) WHEN 'R' THEN sha256(x || s[2:]) ELSE sha256(x) END) AS folded_root
+  FROM found
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRING, "op12_merkle_manifest": MANIFEST}
