@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import ann, bpe, decontaminate, manifest, quality, rankbpe, simhash, substring, tokenfile, toxicity, urlfilter, warc
+from signalloom.llm import ann, bpe, decontaminate, hardneg, manifest, quality, rankbpe, simhash, substring, tokenfile, toxicity, urlfilter, warc
 from signalloom.llm.common import scratch_path, table
 
 URL_RULES = [
@@ -91,6 +91,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select("vec_id", relabelled.alias("label"), hardneg.whole_numbers(F.col("embedding")).alias("vec"))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.try_add(F.col("n_chars"), F.lit(1))
     tampered = manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))
@@ -125,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_bpe,
         op10_substring_dedup,
+        op11_hard_negatives,
         op12_merkle_manifest,
         op13_rank_bpe,
         pipeline,
