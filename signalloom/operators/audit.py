@@ -12,19 +12,35 @@ def _digest(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts)), 256), 1, 16)
 
 
-def fingerprint(df: DataFrame, keys: Sequence[str] = (), day: str = "date") -> DataFrame:
-    """(keys, fingerprint): a digest of the schema, the row count, the day range and all values."""
+def states(df: DataFrame, keys: Sequence[str] = (), day: str = "date") -> DataFrame:
+    """(keys, layout, rows, total, mixed, low, high): what a fingerprint is made of, by keys; states merge to those of unions."""
     columns = sorted(c for c in df.columns if c not in keys)
     kinds = dict(df.dtypes)
     h = F.xxhash64(*(F.col(f"`{c}`") for c in columns))
-    days = [F.min(day), F.max(day)] if day in columns else []
-    schema = F.lit(",".join(f"{c}:{kinds[c]}" for c in columns))
-    out = df.groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.sum(h.cast("decimal(38,0)")).alias("__s"), F.bit_xor(h).alias("__x"),
-        *(d.alias(f"__d{i}") for i, d in enumerate(days)),
+    low, high = (F.min(day), F.max(day)) if day in columns else (F.lit(None).cast("date"),) * 2
+    layout = F.lit(",".join(f"{c}:{kinds[c]}" for c in columns))
+    total = F.sum(h.cast("decimal(38,0)"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("rows"), total.alias("total"), F.bit_xor(h).alias("mixed"), low.alias("low"), high.alias("high"))
+    return out.select(*keys, layout.alias("layout"), "rows", "total", "mixed", "low", "high")
+
+
+def merged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The states of the unions of the parts that share keys; parts of different layouts do not merge."""
+    total, mixed = F.sum("total").cast("decimal(38,0)"), F.bit_xor("mixed")
+    return df.groupBy(*keys, "layout").agg(
+        F.sum("rows").alias("rows"), total.alias("total"), mixed.alias("mixed"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    parts = [schema, F.col("__n"), F.col("__s"), F.col("__x"), *(F.col(f"__d{i}") for i in range(len(days)))]
-    return out.select(*keys, F.col("__n").alias("rows"), _digest(*parts).alias("fingerprint"))
+
+
+def digest_of(days: bool = True) -> Column:
+    """The fingerprint of a state; days says whether the table has a day."""
+    return _digest(*map(F.col, ["layout", "rows", "total", "mixed", *(["low", "high"] if days else [])]))
+
+
+def fingerprint(df: DataFrame, keys: Sequence[str] = (), day: str = "date") -> DataFrame:
+    """(keys, fingerprint): a digest of the schema, the row count, the day range and all values."""
+    found = states(df, keys, day)
+    return found.select(*keys, "rows", digest_of(day in df.columns and day not in keys).alias("fingerprint"))
 
 
 def fingerprints(**components: DataFrame) -> DataFrame:

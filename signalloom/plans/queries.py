@@ -16,7 +16,7 @@ from signalloom.plans import sql as Q
 from signalloom.plans.fixtures import DailyPanel, WeeklyPanel
 from signalloom.plans.held import hold
 from signalloom.registry import add
-from signalloom.sources import tables
+from signalloom.sources import snapshots, tables
 
 P, E = WeeklyPanel, DailyPanel
 G = bt.KEYS
@@ -101,12 +101,38 @@ add(
 
 def _snapshot(spark, d):
     p = P(spark, d)
-    return tables.build_snapshot(p.ret, p.risk, p.dates, scratch(spark, "snapshot"))
+    return snapshots.build(p.ret, p.risk, p.dates, scratch(spark, "snapshot"))
 
 
+def _updated(spark, d):
+    """A snapshot to 2000, brought up to date by returns that are new in 2001 and others in 1997: its path, what was done."""
+    p, path = P(spark, d), scratch(spark, "snapshot")
+    snapshots.build(p.ret.where("year(date) < 2001"), p.risk, p.dates, path)
+    new = p.ret.withColumn("ret", F.when(F.year("date") == 1997, F.col("ret") + 1).otherwise(F.col("ret")))
+    return path, snapshots.update(spark, path, ret=new)
+
+
+def _by_year(spark, path, name):
+    df = snapshots.component(spark, path, name)
+    return df.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("rows"), F.sum("ret").alias("total"))
 
 
 def _update(spark, d):
+    path, done = _updated(spark, d)
+    return _by_year(spark, path, "ret").join(done.where("component = 'ret'"), "year")
+
+
+def _rebuilt(spark, d):
+    path, done = _updated(spark, d)
+    return _by_year(spark, path, "master").join(done.where("component = 'master'"), "year")
+
+
+def _verified(spark, d):
+    path, _ = _updated(spark, d)
+    return snapshots.verify(spark, path).join(spark.read.parquet(f"{path}/manifest"), "component")
+
+
+def _update_yearly(spark, d):
     ret, path = P(spark, d).ret.select("security_id", "date", "ret"), scratch(spark, "ret")
     tables.write_yearly(ret.where("year(date) < 2001"), path)
     new = ret.withColumn("ret", F.when(F.year("date") == 1997, F.col("ret") + 1).otherwise(F.col("ret")))
@@ -115,12 +141,17 @@ def _update(spark, d):
     return now.join(done, "year")
 
 
+UPDATED = """SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS rows, sum(CASE WHEN year(date) = 1997 THEN ret + 1 ELSE ret END) AS total,
+   CASE year(date) WHEN 1997 THEN 'changed' WHEN 2001 THEN 'added' ELSE 'same' END AS status FROM ret GROUP BY 1, 4"""
+add("incremental_update", "year rows total:r status", _update, UPDATED)
+add("yearly_update", "year rows total:r status", _update_yearly, UPDATED)
 add(
-    "incremental_update",
+    "update_rebuilds_master",
     "year rows total:r status",
-    _update,
+    _rebuilt,
     """SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS rows, sum(CASE WHEN year(date) = 1997 THEN ret + 1 ELSE ret END) AS total,
-       CASE year(date) WHEN 1997 THEN 'changed' WHEN 2001 THEN 'added' ELSE 'same' END AS status FROM ret GROUP BY 1, 4""",
+       CASE WHEN year(date) IN (1997, 2001) THEN 'rebuilt' ELSE 'kept' END AS status
+       FROM ret JOIN (SELECT security_id, date FROM risk) USING (security_id, date) GROUP BY 1, 4""",
 )
 MANIFEST = "count(*) AS rows, count(DISTINCT security_id) AS securities, min(date) AS first_day, max(date) AS last_day"
 add(
@@ -129,14 +160,23 @@ add(
     lambda s, d: tables.manifest(ret=P(s, d).ret, risk=P(s, d).risk),
     f"SELECT 'ret' AS component, {MANIFEST} FROM ret UNION ALL SELECT 'risk', {MANIFEST} FROM risk",
 )
+SNAPSHOT_PARTS = (("ret", "ret"), ("risk", "risk"), ("master", "ret JOIN (SELECT security_id, date FROM risk) USING (security_id, date)"), ("factors", "risk"))
 #: The manifest's fingerprints are of a hash that only Spark has, so its twin has the other columns.
 add(
     "build_snapshot",
     "component rows securities first_day last_day",
     _snapshot,
-    " UNION ALL ".join(f"SELECT '{name}' AS component, {MANIFEST} FROM {table}" for name, table in (("ret", "ret"), ("risk", "risk"), ("master", "ret JOIN (SELECT security_id, date FROM risk) USING (security_id, date)"), ("factors", "risk"))),
+    " UNION ALL ".join(f"SELECT '{name}' AS component, {MANIFEST} FROM {table}" for name, table in SNAPSHOT_PARTS),
+)
+
+add(
+    "update_verifies",
+    "component status rows securities first_day last_day",
+    _verified,
+    " UNION ALL ".join(f"SELECT '{name}' AS component, 'ok' AS status, {MANIFEST} FROM {table}" for name, table in SNAPSHOT_PARTS),
 )
 
+
 def _runs(spark, d) -> str:
     """A run for each region, of its yearly and weekly returns, started on the day of its first return."""
     p, path = P(spark, d), scratch(spark, "runs")

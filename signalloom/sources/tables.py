@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.operators import audit, clean, joins
+from signalloom.operators import audit, clean
 
 SIGNAL_SCHEMA = "security_id int, date_sig date, date_avail date, signal double"
 
@@ -51,22 +51,6 @@ def manifest(**components: DataFrame) -> DataFrame:
     return out
 
 
-def build_snapshot(ret: DataFrame, risk: DataFrame, dates: DataFrame, path: str) -> DataFrame:
-    """Write normalised panels, master, factors and calendar under path; returns the manifest with fingerprints."""
-    spark = ret.sparkSession
-    write_yearly(clean.normalize_panel(ret), f"{path}/ret")
-    write_yearly(clean.normalize_panel(risk), f"{path}/risk")
-    clean.normalize_calendar(dates).write.mode("overwrite").parquet(f"{path}/dates")
-    parts = {name: read_yearly(spark, f"{path}/{name}").drop("year") for name in ("ret", "risk")}
-    write_yearly(joins.build_master(parts["ret"], parts["risk"]), f"{path}/master")
-    write_yearly(clean.factors_of(parts["risk"]), f"{path}/factors")
-    parts |= {name: read_yearly(spark, f"{path}/{name}").drop("year") for name in ("master", "factors")}
-    marks = audit.fingerprints(**parts)
-    out = manifest(**parts).join(marks, "component")
-    out.write.mode("overwrite").parquet(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/manifest")
-
-
 def changed_years(old: DataFrame, new: DataFrame) -> DataFrame:
     """(year, status) of years in new: added, changed or same, by content."""
     a = audit.fingerprint(old, ["year"]).select("year", F.col("fingerprint").alias("was"))
