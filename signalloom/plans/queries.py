@@ -61,6 +61,30 @@ def _scan_signal(spark, d):
 
 
 add("scan_signal", SIG, _scan_signal, "FROM signal")
+
+
+def _signal_csv(spark, d) -> str:
+    """The columns in another order, among others, and every fifth security's lines with a day that is none."""
+    path, signal = f"{scratch(spark, 'signal')}.csv", P(spark, d).signal
+    day = F.date_format("date_sig", "yyyy-MM-dd")
+    lines = signal.select(
+        F.when(F.col("security_id") % 5 == 0, F.concat(F.lit("on "), day)).otherwise(day).alias("date_sig"),
+        F.lit("a, b").alias("note"),
+        "signal",
+        F.col("security_id").cast("double").alias("security_id"),
+        F.date_format("date_avail", "yyyy-MM-dd HH:mm:ss").alias("date_avail"),
+    )
+    lines.write.csv(path, header=True)
+    return path
+
+
+add("scan_signal_csv", SIG, lambda s, d: tables.scan_signal(s, _signal_csv(s, d), "drop"), "SELECT * FROM signal WHERE security_id % 5 <> 0")
+add(
+    "signal_rejects",
+    "columns security_id lines",
+    lambda s, d: tables.signal_rejects(s, _signal_csv(s, d)).groupBy("columns", F.col("security_id").cast("double").cast("int").alias("security_id")).agg(F.count("*").alias("lines")),
+    "SELECT 'date_sig' AS columns, security_id, count(*) AS lines FROM signal WHERE security_id % 5 = 0 GROUP BY security_id",
+)
 add("scan_panel", f"{KEY} ret:r resret:r vol:r adv:r close_adj:r", lambda s, d: P(s, d).ret, "FROM ret")
 
 
@@ -177,7 +201,7 @@ add(
 )
 
 
-def _runs(spark, d) -> str:
+def _runs(spark, d, again: bool = False) -> str:
     """A run for each region, of its yearly and weekly returns, started on the day of its first return."""
     p, path = P(spark, d), scratch(spark, "runs")
     by_region = p.base.join(p.suppliers, "security_id").join(F.broadcast(p.nations), "s_nationkey")  # 25 nations
@@ -192,6 +216,10 @@ def _runs(spark, d) -> str:
     correlations = daily.join(p.market, "date").groupBy("run_id", F.lit("market").alias("baseline"))
     correlations = correlations.agg(F.corr("ret", "market_ret").alias("signal_corr"), F.corr("ret", "market_ret").alias("pnl_corr"))
     runs = daily.groupBy("run_id").agg(F.min("date").cast("string").alias("start_time"), F.create_map(F.lit("days"), F.count("*").cast("string")).alias("tags"))
+    if again:  # a first attempt with other values, and one that ends after its first part
+        less = metrics.withColumn("value", F.col("value") - 1)
+        tables.write_runs(path, runs.withColumn("start_time", F.lit("1990-01-01")), less, daily.limit(1), baselines_, correlations, breakdowns)
+        less.withColumn("attempt", F.lit("000000002-lost")).write.mode("append").partitionBy("run_id", "attempt").parquet(f"{path}/run_metrics")
     tables.write_runs(path, runs, metrics, daily, baselines_, correlations, breakdowns)
     return path
 
@@ -201,28 +229,28 @@ R_DAILY = f"SELECT run_id, date, sum(dsc) / (sum(k) * 100) - 0.05e0 AS ret FROM
 R_RUNS = f"SELECT run_id, CAST(min(date) AS VARCHAR) AS start_time, count(*) AS days FROM ({R_DAILY}) GROUP BY ALL"
 
 
-def _stored_runs(s, d):
-    path = _runs(s, d)
-    read = lambda t: s.read.parquet(f"{path}/{t}")
-    out = read("runs").select("run_id", "start_time")
+def _stored_runs(s, d, again: bool = False):
+    path = _runs(s, d, again)
+    read = lambda t: tables.run_part(s, path, t)
+    out = tables.published(s, path).select("run_id", "start_time")
     for t, n in (("run_metrics", "metrics"), ("run_daily", "days"), ("run_breakdowns", "breakdowns")):
         out = out.join(read(t).groupBy("run_id").agg(F.count("*").alias(n)), "run_id")
     return out.join(read("run_baselines"), "run_id").join(read("run_correlations").select("run_id", "pnl_corr"), "run_id")
 
 
-add(
-    "write_run",
-    "run_id start_time metrics days breakdowns sharpe:r pnl_corr:r",
-    _stored_runs,
-    f"""SELECT r.run_id, r.start_time, m.metrics, r.days, m.breakdowns, m.sharpe, c.pnl_corr FROM ({R_RUNS}) r
+STORED_RUNS = f"""SELECT r.run_id, r.start_time, m.metrics, r.days, m.breakdowns, m.sharpe, c.pnl_corr FROM ({R_RUNS}) r
         JOIN (SELECT run_id, count(DISTINCT year(date)) AS metrics, count(DISTINCT s_nationkey) AS breakdowns, sum(tx) / sum(k) AS sharpe
               FROM {R_SUP} GROUP BY 1) m USING (run_id)
-        JOIN (SELECT run_id, corr(ret, market_ret) AS pnl_corr FROM ({R_DAILY}) JOIN market USING (date) GROUP BY 1) c USING (run_id)""",
-)
+        JOIN (SELECT run_id, corr(ret, market_ret) AS pnl_corr FROM ({R_DAILY}) JOIN market USING (date) GROUP BY 1) c USING (run_id)"""
+RUN_COLUMNS = "run_id start_time metrics days breakdowns sharpe:r pnl_corr:r"
+add("write_run", RUN_COLUMNS, _stored_runs, STORED_RUNS)
+add("rewrite_run", RUN_COLUMNS, lambda s, d: _stored_runs(s, d, again=True), STORED_RUNS)
+YEARLY = f"SELECT 'y' || year(date) AS metric, sum(dsc) / (sum(k) * 100) - 0.05e0 AS value FROM {R_SUP} WHERE run_id = 'run2' GROUP BY 1"
+add("reread_run", "metric value:r", lambda s, d: tables.read_run(s, _runs(s, d, again=True), "run2")[1], YEARLY)
 add(
     "run_history",
     "run_id start_time",
-    lambda s, d: tables.run_history(s.read.parquet(f"{_runs(s, d)}/runs"), 3),
+    lambda s, d: tables.run_history(tables.published(s, _runs(s, d)), 3),
     f"SELECT run_id, start_time FROM ({R_RUNS}) ORDER BY start_time DESC, run_id LIMIT 3",
 )
 
@@ -230,10 +258,10 @@ add(
 def _delete(spark, d):
     """The runs with the most and the fewest days go, and one that is not there."""
     path = _runs(spark, d)
-    runs = spark.read.parquet(f"{path}/runs").withColumn("days", F.col("tags")["days"].cast("int"))
+    runs = tables.published(spark, path).withColumn("days", F.col("tags")["days"].cast("int"))
     ends = runs.agg(F.max_by("run_id", F.struct("days", "run_id")).alias("a"), F.min_by("run_id", F.struct("days", "run_id")).alias("b")).first()
     status = tables.delete_runs(spark, path, [ends["a"], ends["b"], "none"])
-    return status.unionByName(spark.read.parquet(f"{path}/runs").select("run_id", F.lit("kept").alias("status")))
+    return status.unionByName(tables.published(spark, path).select("run_id", F.lit("kept").alias("status")))
 
 
 add(
@@ -248,7 +276,7 @@ add(
     "read_run",
     "metric value:r",
     lambda s, d: tables.read_run(s, _runs(s, d), "run2")[1],
-    f"SELECT 'y' || year(date) AS metric, sum(dsc) / (sum(k) * 100) - 0.05e0 AS value FROM {R_SUP} WHERE run_id = 'run2' GROUP BY 1",
+    YEARLY,
 )
 REVERSAL = """SELECT 'reversal_5d' AS signal_name, security_id, date AS date_sig, CAST(date + 1 AS DATE) AS date_avail, -r AS signal FROM (
   SELECT security_id, date, CASE WHEN count(ret) OVER w = 5 THEN product(1 + ret) OVER w - 1 END AS r FROM ret

@@ -283,7 +283,7 @@ def test_runs_are_removed_with_all_their_parts(spark, tmp_path):
     assert got == {"r1": "deleted", "r9": "failed", "": "failed"}
     for part, left in (("runs", {"r2", "r3"}), ("run_metrics", {"r2", "r3"}), ("run_daily", {"r2", "r3"}), ("run_breakdowns", {"r2"})):
         assert {r.run_id for r in spark.read.parquet(f"{path}/{part}").collect()} == left
-    assert [r.run_id for r in tables.run_history(spark.read.parquet(f"{path}/runs"), 1).collect()] == ["r3"]
+    assert [r.run_id for r in tables.run_history(tables.published(spark, path), 1).collect()] == ["r3"]
 
 
 def test_returns_so_many_trading_days_ahead(spark):
