@@ -46,6 +46,42 @@ def asof_backward(
     return both.select("__left.*", *(F.when(fresh, F.col(f"__right.{c}")).alias(c) for c in columns))
 
 
+def asof_bucketed(
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_day: str,
+    right_day: str,
+    columns: Sequence[str],
+    tolerance: int | None = None,
+    days: int = 64,
+) -> DataFrame:
+    """asof_backward for keys of long histories: the same result, by (key, bucket of so many days) instead of by key.
+
+    Within a bucket the last right row is carried forward as before. What a bucket begins with is the last right row of the
+    buckets before it: each bucket's own last row comes from one aggregate, and is carried over buckets that have none by a
+    second pass over (key, bucket), which has a row for each bucket and no others. So a key that holds all rows is as many
+    tasks' work as it has buckets.
+    """
+    bucket = lambda day: F.floor(F.unix_date(F.to_date(day)) / days).alias("__bucket")
+    packed = F.struct(F.col(right_day).alias("__day"), *(F.col(c).alias(c) for c in columns))
+    kind = F.struct(*(F.col(c) for c in left.columns))
+    a = left.select(*by, bucket(left_day), F.col(left_day).alias("__at"), F.lit(1).alias("__side"), kind.alias("__left"))
+    b = right.select(*by, bucket(right_day), F.col(right_day).alias("__at"), F.lit(0).alias("__side"), packed.alias("__right"))
+    both = a.unionByName(b, allowMissingColumns=True)
+
+    ends = b.groupBy(*by, "__bucket").agg(F.max_by("__right", "__at").alias("__end"))
+    ends = a.select(*by, "__bucket").distinct().join(ends, [*by, "__bucket"], "full_outer")
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "__bucket", F.last("__end", ignorenulls=True).over(before).alias("__begin"))
+
+    w = Window.partitionBy(*by, "__bucket").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
+    both = both.join(ends, [*by, "__bucket"], "left").withColumn("__right", F.coalesce("__right", "__begin"))
+    fresh = F.lit(True) if tolerance is None else F.datediff("__at", "__right.__day") <= tolerance
+    return both.select("__left.*", *(F.when(fresh, F.col(f"__right.{c}")).alias(c) for c in columns))
+
+
 def panel_days(bounds: DataFrame, dates: DataFrame) -> DataFrame:
     """Calendar days between each group's low and high date; the calendar has a row a day and is broadcast."""
     days = F.broadcast(dates.select("date", "n"))

@@ -64,6 +64,23 @@ def winsorized(column: str, keys: Sequence[str], upper: float = 95.0) -> Column:
     return F.least(F.greatest(F.col(column), low), high)
 
 
+def winsorize(df: DataFrame, column: str, keys: Sequence[str], upper: float = 95.0, accuracy: int | None = None) -> DataFrame:
+    """df with column clipped to its quantiles within keys.
+
+    Exact and interpolated without an accuracy: a group's distinct values are then in memory at once. With one, the quantiles
+    are values of the group whose rank is off by its size / accuracy at most; the sketches merge before the shuffle and are as
+    large as the accuracy, however large a group is. Groups whose column is null throughout keep their nulls.
+    """
+    if accuracy is None:
+        return df.withColumn(column, winsorized(column, keys, upper))
+    q = F.array(F.lit((100 - upper) / 100), F.lit(upper / 100))
+    ends = df.groupBy(*keys).agg(F.percentile_approx(column, q, F.lit(accuracy)).alias("__ends"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = df.alias("a").join(ends.alias("b"), same).select("a.*", F.col("b.__ends").alias("__ends"))
+    clipped = F.least(F.greatest(F.col(column), F.get("__ends", F.lit(0))), F.get("__ends", F.lit(1)))
+    return both.withColumn(column, F.when(F.col(column).isNotNull(), clipped)).drop("__ends")
+
+
 def weigh(df: DataFrame, keys: Sequence[str], how: str = "equal", upper: float = 95.0) -> DataFrame:
     """Adds weight to rows with a position; each side of a cross-section sums to 1 or -1.
 

@@ -11,8 +11,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,27 +151,99 @@ def factors_in(model: str | Sequence[str], library: DataFrame) -> list[str]:
     return FACTOR_SETS[model]
 
 
-def factor_model(daily: DataFrame, factors: DataFrame, model: str | Sequence[str], days: int = 252) -> tuple[DataFrame, DataFrame]:
-    """(coefficient table, daily alphas) of annualised returns on annualised factors, a named model or a list of them.
+def _normal_equations(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    """(keys, n, __m, __r, __g): rows, means of xs and y, and the centred sums of products of xs with y and with each other, one row
+    for each pair of xs from the first on. One aggregate, whose parts merge before the shuffle."""
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.array(*(F.avg(c) for c in [*xs, y])).alias("__m"),
+        F.array(*(F.covar_pop(x, y) for x in [*xs, y])).alias("__r"),
+        F.array(*(F.covar_pop(xs[i], xs[j]) for i, j in pairs)).alias("__g"),
+    )
+
+
+def _least_squares(n: np.ndarray, m: np.ndarray, r: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and standard errors, the intercept's last, of many regressions; NaN where the factors are collinear.
+
+    m, r and g are as _normal_equations has them, as averages over the rows.
+    """
+    k = m.shape[1] - 1
+    gram = np.zeros((len(n), k, k))
+    i, j = np.triu_indices(k)
+    gram[:, i, j] = gram[:, j, i] = g
+    scale = np.sqrt(np.einsum("nii->ni", gram))
+    with np.errstate(all="ignore"):
+        unit = gram / scale[:, :, None] / scale[:, None, :]
+        good = np.isfinite(unit).all(axis=(1, 2)) & (n > k)
+        unit[~good] = np.eye(k)
+        least = np.linalg.eigvalsh(unit)[:, 0] if k else np.ones(len(n))
+        good &= least > 1e-12
+        unit[~good] = np.eye(k)
+        inverse = np.linalg.inv(unit) / scale[:, :, None] / scale[:, None, :]
+        beta = np.einsum("nij,nj->ni", inverse, r[:, :k])
+        rest = np.maximum(r[:, k] - (beta * r[:, :k]).sum(axis=1), 0)
+        s2 = rest * n / np.where(n > k + 1, n - k - 1, np.nan)  # of single rows
+        intercept = m[:, k] - (beta * m[:, :k]).sum(axis=1)
+        of_mean = 1 / n + np.einsum("ni,nij,nj->n", m[:, :k], inverse, m[:, :k]) / n
+        error = np.sqrt(s2[:, None] * np.c_[np.einsum("nii->ni", inverse) / n[:, None], of_mean])
+        found = np.c_[beta, intercept]
+        found[~good], error[~good] = np.nan, np.nan
+    return found, error
+
+
+def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    """(keys, n, coef array, std_err array) of y on xs and an intercept, which comes last, a row for each group.
+
+    Rows with nulls take no part. A group has no coefficients where its factors are collinear or no more than its rows, and no
+    errors where no row is left over. All groups are one aggregate and are solved in batches.
+    """
+    kinds = dict(df.dtypes)
+
+    def solve(frames):
+        for pdf in frames:
+            n, m, r, g = (pdf["n"].to_numpy(float), *(np.array(pdf[c].tolist(), float).reshape(len(pdf), -1) for c in ("__m", "__r", "__g")))
+            coef, error = _least_squares(n, m, r, g)
+            yield pdf[[*keys, "n"]].assign(coef=list(coef), std_err=list(error))
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, coef array<double>, std_err array<double>"])
+    equations = _normal_equations(df.where(_whole(y, *xs)), keys, y, xs).where("n > 0")
+    no_nan = lambda c: F.transform(c, lambda x: F.when(~F.isnan(x), x)).alias(c)
+    return equations.mapInPandas(solve, schema).select(*keys, "n", no_nan("coef"), no_nan("std_err"))
+
 
-    The fit is Spark ML's normal equations; std_err = coef / t where t is known.
+def factor_models(
+    daily: DataFrame, factors: DataFrame, model: str | Sequence[str], keys: Sequence[str] = (), days: int = 252
+) -> tuple[DataFrame, DataFrame]:
+    """(coefficient table, daily alphas) of the annualised returns of each group of keys on annualised factors.
+
+    The model is a named one or a list of factors, which are joined by date. The table has (keys, name, coef, std_err, t, p), a
+    row a factor and one called alpha; the alphas (keys, date, alpha, cum_alpha). See ols for groups without coefficients:
+    they have rows of nulls.
     """
-    names = factors_in(model, factors)
-    spark = daily.sparkSession
-    df = daily.join(factors, "date").dropna(subset=["ret", *names])
-    scaled = df.select("date", "ret", *(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)))
-    inputs = [f"f{i}" for i in range(len(names))]
-    scaled = scaled.withColumns({c: F.col(c) * days for c in ["ret", *inputs]})
-    schema = "name string, coef double, std_err double, t double, p double"
-    if scaled.isEmpty():
-        return spark.createDataFrame([], schema), scaled.select("date", F.col("ret").alias("alpha"), F.col("ret").alias("cum_alpha"))
-    ready = VectorAssembler(inputCols=inputs, outputCol="x").transform(scaled)
-    model = LinearRegression(featuresCol="x", labelCol="ret", solver="normal", regParam=0.0).fit(ready)
-    s = model.summary
-    coef = [*map(float, model.coefficients), float(model.intercept)]
-    t, p = list(map(float, s.tValues)), list(map(float, s.pValues))
-    rows = [(n, c, c / tv if tv else None, tv, pv) for n, c, tv, pv in zip([*names, "alpha"], coef, t, p, strict=True)]
-    table = spark.createDataFrame(rows, schema)
-    fit = sum((F.lit(b) * F.col(c) for b, c in zip(coef, inputs, strict=False)), F.lit(0.0))
-    alphas = scaled.select("date", ((F.col("ret") - fit) / days).alias("alpha"))
-    return table, alphas.withColumn("cum_alpha", F.sum("alpha").over(running([F.lit(0)])))  # a row a day
+    names, keys = factors_in(model, factors), list(keys)
+    inputs = [f"__f{i}" for i in range(len(names))]
+    known = factors.select("date", *((F.col(f"`{c}`") * days).alias(f) for c, f in zip(names, inputs, strict=True)))
+    rows = daily.join(known, "date").select(*keys, "date", (F.col("ret") * days).alias("__y"), *inputs)
+    rows = rows.dropna(subset=["__y", *inputs])
+    fits = ols(rows, keys, "__y", inputs)
+    each = F.posexplode(F.arrays_zip("coef", "std_err")).alias("at", "x")
+    table = fits.select(*keys, "n", each).select(
+        *keys,
+        "n",
+        F.get(F.array(*map(F.lit, [*names, "alpha"])), F.col("at")).alias("name"),
+        "x.coef",
+        "x.std_err",
+        F.try_divide("x.coef", "x.std_err").alias("t"),
+    )
+    table = table.withColumn("p", two_sided_p(F.col("t"), F.col("n") - len(names) - 1)).drop("n")
+    beta = [F.get("coef", F.lit(i)) for i in range(len(names))]
+    fit = sum((b * F.col(f) for b, f in zip(beta, inputs, strict=True)), F.lit(0.0))
+    fitted = rows.join(fits.select(*keys, "coef"), keys) if keys else rows.crossJoin(F.broadcast(fits.select("coef")))  # one row
+    alphas = fitted.select(*keys, "date", ((F.col("__y") - fit) / days).alias("alpha"))
+    return table, alphas.withColumn("cum_alpha", F.sum("alpha").over(running(keys or [F.lit(0)])))  # a group's days
+
+
+def factor_model(daily: DataFrame, factors: DataFrame, model: str | Sequence[str], days: int = 252) -> tuple[DataFrame, DataFrame]:
+    """factor_models of one series."""
+    return factor_models(daily, factors, model, (), days)

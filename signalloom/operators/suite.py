@@ -212,6 +212,8 @@ def pnl_correlation(a: DataFrame, b: DataFrame, least: int = 10) -> DataFrame:
 
 def factor_correlation(df: DataFrame, factors: list[str], least: int = 100) -> DataFrame:
     """Pooled correlation of signal with each factor over complete pairs, the strongest first."""
-    long = df.unpivot(["signal"], factors, "factor", "x").where("signal is not null and x is not null")
-    out = long.groupBy("factor").agg(correlation("signal", "x").alias("corr"), F.count("*").alias("pairs"))
+    whole = lambda c: F.count(F.when(F.col("signal").isNotNull() & F.col(c).isNotNull(), 1))
+    sums = (F.struct(F.lit(c).alias("factor"), correlation("signal", F.col(c)).alias("corr"), whole(c).alias("pairs")) for c in factors)
+    one = df.agg(F.array(*sums).alias("all"))  # one pass, with columns for each factor; the rows are not multiplied
+    out = one.select(F.explode("all").alias("x")).select("x.*")
     return out.where(F.col("pairs") >= least).orderBy(F.abs("corr").desc())

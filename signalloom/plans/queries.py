@@ -521,6 +521,51 @@ for _name, _days in (("asof_backward_tolerance", 10), ("asof_backward_no_toleran
         ),
         asof(str(_days or 1_000_000)),
     )
+for _name, _days in (("asof_bucketed", 10), ("asof_bucketed_no_tolerance", None)):
+    add(
+        _name,
+        ASOF,
+        lambda s, d, t=_days: joins.asof_bucketed(
+            P(s, d).signal, _late_risk(s, d), ["security_id"], "date_sig", "date_risk", ["value", "cap"], t, 28
+        ),
+        asof(str(_days or 1_000_000)),
+    )
+#: All securities are one key here, and its rows are told apart by their days and securities: the worst case of an as-of join.
+add(
+    "asof_bucketed_one_key",
+    "security_id date_sig close:r",
+    lambda s, d: joins.asof_bucketed(
+        P(s, d).signal.withColumn("key", F.lit(1)),
+        _close(s, d).where("month(date) % 3 = 0").select(F.lit(1).alias("key"), F.date_add("date", 2).alias("day"), "close"),
+        ["key"], "date_sig", "day", ["close"], None, 28,
+    ),
+    f"""SELECT s.security_id, s.date_sig, k.close FROM signal s
+        ASOF LEFT JOIN (SELECT CAST(date + 2 AS DATE) AS day, close FROM ({CLOSE}) WHERE month(date) % 3 = 0) k ON s.date_sig >= k.day""",
+)
+
+
+def _bucketed(s, d):
+    """ret and risk, each dealt once by security and date."""
+    found = []
+    for name, df in (("ret", P(s, d).ret), ("risk", P(s, d).risk)):
+        table = f"signalloom_{name}_{uuid.uuid4().hex}"
+        found.append(tables.write_bucketed(df, table, scratch(s, table), buckets=16))
+    return found
+
+
+add(
+    "build_master_bucketed",
+    f"{KEY} ret:r resret:r vol:r adv:r close_adj:r industry_id cap mcap:r value:r",
+    lambda s, d: joins.build_master(*_bucketed(s, d)),
+    "SELECT * FROM ret JOIN (SELECT * EXCLUDE (adv) FROM risk) USING (security_id, date)",
+)
+add(
+    "join_returns_bucketed",
+    f"{KEY} date_sig signal:r ret:r resret:r",
+    lambda s, d: joins.returns_on(_aligned(s, d), _bucketed(s, d)[0]),
+    "SELECT * FROM prepared",
+    Q.prepared(),
+)
 add(
     "semi_join_universe",
     f"{KEY} ret:r",
@@ -733,6 +778,16 @@ add(
     lambda s, d: _sized(s, d).where("position <> 0").withColumn("clipped", portfolio.winsorized("mcap", [*DAY, "position"])),
     f"SELECT *, {clipped('mcap')} AS clipped FROM ({SIZED})",
 )
+#: An accuracy beyond the size of the groups makes the sketch exact: the values at the quantiles' ranks, not between them.
+add(
+    "winsorize_sketch",
+    f"{S} position clipped:r",
+    lambda s, d: portfolio.winsorize(
+        _sized(s, d).where("position <> 0").withColumn("clipped", F.col("mcap")), "clipped", [*DAY, "position"], accuracy=1_000_000
+    ),
+    f"""SELECT *, least(greatest(mcap, quantile_disc(mcap, 0.05) OVER (PARTITION BY {D}, position)),
+        quantile_disc(mcap, 0.95) OVER (PARTITION BY {D}, position)) AS clipped FROM ({SIZED})""",
+)
 for _how, _col in (("value", "mcap"), ("volume", "adv")):
     add(
         f"weight_{_how}",
@@ -932,6 +987,32 @@ def three_factors() -> str:
 FM = f"{BT}, {three_factors()}"
 add("factor_model_alpha", "name coef:r std_err:r t:r", lambda s, d: _factor_model(s, d)[0], "SELECT *, coef / std_err AS t FROM fm", FM)
 add("factor_model_pvalues", "name p:r", lambda s, d: _factor_model(s, d)[0])
+
+
+def _factor_models(s, d):
+    return regress.factor_models(_run(s, d, YEARS).daily.select(*G, "date", "ret"), _factor_tables(s, d), ["smb", "hml"], G)
+
+
+#: Normal equations of ret on two centred factors, for each group.
+GROUPED = f"""fg_rows AS (
+  SELECT {Q.G}, date, ret * 252 AS y, smb * 252 AS x0, hml * 252 AS x1 FROM daily JOIN ({FACTOR_SQL}) USING (date)
+), fg_sums AS (
+  SELECT {Q.G}, count(*) AS n, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1, covar_pop(x0, x0) * count(*) AS g00, covar_pop(x0, x1) * count(*) AS g01,
+         covar_pop(x1, x1) * count(*) AS g11, covar_pop(x0, y) * count(*) AS r0, covar_pop(x1, y) * count(*) AS r1, covar_pop(y, y) * count(*) AS yy
+  FROM fg_rows GROUP BY ALL
+), fg_beta AS (
+  SELECT *, (g11 * r0 - g01 * r1) / (g00 * g11 - g01 * g01) AS b0, (g00 * r1 - g01 * r0) / (g00 * g11 - g01 * g01) AS b1 FROM fg_sums
+), fg_fit AS (
+  SELECT *, my - b0 * m0 - b1 * m1 AS a, (yy - b0 * r0 - b1 * r1) / (n - 3) AS s2, g00 * g11 - g01 * g01 AS det FROM fg_beta
+), fg AS (
+  SELECT {Q.G}, 'smb' AS name, b0 AS coef, sqrt(s2 * g11 / det) AS std_err FROM fg_fit UNION ALL SELECT {Q.G}, 'hml', b1, sqrt(s2 * g00 / det) FROM fg_fit
+  UNION ALL SELECT {Q.G}, 'alpha', a, sqrt(s2 * (1.0e0 / n + (m0 * m0 * g11 - 2 * m0 * m1 * g01 + m1 * m1 * g00) / det)) FROM fg_fit
+)"""
+FG = f"{BT_YEARS}, {GROUPED}"
+add("factor_models_grouped", f"{GK} name coef:r std_err:r t:r", lambda s, d: _factor_models(s, d)[0], "SELECT *, coef / std_err AS t FROM fg", FG)
+add("daily_alphas_grouped", f"{GK} date alpha:r cum_alpha:r", lambda s, d: _factor_models(s, d)[1],
+    f"""SELECT *, sum(alpha) OVER (PARTITION BY {Q.G} ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum_alpha FROM (
+        SELECT {Q.G}, date, (y - b0 * x0 - b1 * x1) / 252 AS alpha FROM fg_rows JOIN fg_fit USING ({Q.G}))""", FG)
 add("daily_alpha_series", "date alpha:r cum_alpha:r", lambda s, d: _factor_model(s, d)[1],
     """SELECT date, alpha, sum(alpha) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum_alpha FROM (
        SELECT date, (y - b0 * x0 - b1 * x1 - b2 * x2) / 252 AS alpha FROM fm_rows, fm_fit)""", FM)

@@ -84,6 +84,17 @@ def read_yearly(spark: SparkSession, path: str, years: Sequence[int] = ()) -> Da
     return df.where(F.col("year").isin(*years)) if years else df
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str] = ("security_id", "date"), buckets: int = 64) -> DataFrame:
+    """Write df as an external table under path, dealt by keys into so many buckets and sorted in each; the table.
+
+    Tables of the same keys and number of buckets are joined by these keys where they lie: no side is shuffled. A table
+    that is not bucketed is dealt alike and meets them, so only that side is shuffled.
+    """
+    dealt = df.repartition(buckets, *keys)  # a file a bucket
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def manifest(**components: DataFrame) -> DataFrame:
     """(component, rows, securities, first_day, last_day), a row a component."""
     out = None
