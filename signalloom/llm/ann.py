@@ -8,7 +8,8 @@ is within a ratio of the nearest one's, always enough of them to hold k candidat
 queries is compared with all rows, and the smallest ratio with which they find the wanted share of their true neighbours
 is that of all queries. Vectors in clusters need few lists; vectors without any structure need a large part of them.
 
-Equal vectors are searched once and expanded at the end, where only the k + 1 smallest ids of each can matter. Lists
+Equal vectors are searched once and expanded at the end, where only the k + 1 smallest ids of each can matter. Neighbouring
+lists make a shard: a query is sent there once, with the lists that it reads, and has k + 1 rows from there. Crowded shards
 and their queries are cut into blocks of bounded size, so no task holds a whole crowded list.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialize, only
+from signalloom.llm.common import materialize, only, shards, shuffle_partitions
 
 BATCH = 2048
 DISTANCES_AT_ONCE = 1 << 22
@@ -168,7 +169,7 @@ def nearest(
     list_rows: int = 256,
     replicas: int = 8,
     replica_ratio: float = 1.01,
-    block_rows: int = 4096,
+    block_rows: int = 16_384,
     recall: float = 0.9,
     trial_queries: int = 256,
 ) -> DataFrame:
@@ -245,6 +246,9 @@ def nearest(
             trial *= np.sqrt(top / (trial**2).sum(axis=1))[:, None]
             ratio, width = _ratio_needed(graph, np.c_[trial, np.zeros(len(trial))], places, recall)
 
+    shard, blocks = shards(size, block_rows)
+    shard = np.array(shard)
+
     def lists_of(q: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows of q, their lists): all lists within the ratio, and as many as hold k others than the query."""
         ids, d = graph.search(q, width)
@@ -267,10 +271,12 @@ def nearest(
                 q = _stack(part["vec"])
                 q *= np.sqrt(top / (q**2).sum(axis=1))[:, None]
                 for which, lists in lists_of(np.c_[q, np.zeros(len(q))], width):
-                    rep, vec = part["rep"].to_numpy()[which], part["vec"].to_numpy()[which]
-                    for cut in range(0, len(which), 1 << 16):
-                        own = slice(cut, cut + (1 << 16))
-                        yield pd.DataFrame({"list": lists[own], "rep": rep[own], "vec": vec[own]})
+                    pairs = pd.DataFrame({"which": which, "shard": shard[lists], "list": lists})
+                    pairs = pairs.groupby(["which", "shard"])["list"].agg(list).reset_index()
+                    for cut in range(0, len(pairs), 1 << 14):
+                        own = pairs.iloc[cut : cut + (1 << 14)]
+                        rows_ = part.iloc[own["which"]]
+                        yield pd.DataFrame({"shard": own["shard"].to_numpy(), "lists": own["list"].to_numpy(), "rep": rows_["rep"].to_numpy(), "vec": rows_["vec"].to_numpy()})
 
     # vec -> rep: the smallest id among the rows; queries that are not among the rows stand for themselves
     found = asked.join(reps.withColumnRenamed("rep", "known"), "vec", "left")
@@ -278,27 +284,42 @@ def nearest(
     found = found.withColumn("group", F.xxhash64("vec", "rep"))
     found = materialize(found, "queries")
     distinct = found.groupBy("vec").agg(F.min("group").alias("rep"))
-    probed = materialize(distinct.mapInPandas(probe, f"list int, rep long, vec array<{kind}>"), "probes")
-    blocks = np.maximum(np.ceil(size / block_rows), 1).astype(int)
-    asks = {x[0]: max(1, -(-x[1] // block_rows)) for x in probed.groupBy("list").count().collect()}
-    plan = [(i, int(blocks[i]), int(asks.get(i, 0))) for i in range(len(blocks))]
-    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "list int, blocks int, asks int"))
+    spread = distinct.repartition(shuffle_partitions(rows.sparkSession), "rep")  # few bytes, but much work
+    probed = materialize(spread.mapInPandas(probe, f"shard int, lists array<int>, rep long, vec array<{kind}>"), "probes")
+    asks = {x[0]: -(-x[1] // block_rows) for x in probed.groupBy("shard").count().collect()}  # a row a shard
+    plan = [(i, blocks[i], asks[i]) for i in range(len(blocks)) if i in asks]
+    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "shard int, blocks int, asks int"))
+    lists = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(shard.tolist())), "list int, shard int"))
 
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    left = postings.join(plan, "list").where("asks > 0")
-    left = left.select("list", deal("blocks").alias("block"), each("asks").alias("ask"), "rep", "vec")
-    right = probed.join(plan, "list")
-    right = right.select("list", deal("asks").alias("ask"), each("blocks").alias("block"), "rep", "vec")
-    key = ["list", "block", "ask"]
+    left = postings.join(lists, "list").join(plan, "shard")
+    left = left.select("shard", deal("blocks").alias("block"), each("asks").alias("ask"), "list", "rep", "vec")
+    right = probed.join(plan, "shard")
+    right = right.select("shard", deal("asks").alias("ask"), each("blocks").alias("block"), "lists", "rep", "vec")
+    key = ["shard", "block", "ask"]
 
     def compare(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "rep": [], "score": []}
         if len(held) and len(asking):
-            v, reps_here = _stack(held["vec"]), held["rep"].to_numpy()
-            most = min(k + 1, len(v))
-            for at in range(0, len(asking), 256):
-                q = _stack(asking["vec"].iloc[at : at + 256])
+            held = held.sort_values("list", kind="stable")
+            at_list, asked_list = held["list"].to_numpy(), np.concatenate(asking["lists"].to_numpy())
+            row = np.repeat(np.arange(len(asking)), asking["lists"].map(len))
+            all_v, all_q = _stack(held["vec"]), _stack(asking["vec"])
+            all_reps, queries_here = held["rep"].to_numpy(), asking["rep"].to_numpy()
+            for one in np.unique(at_list):
+                own = slice(np.searchsorted(at_list, one), np.searchsorted(at_list, one, "right"))
+                add_best(out, all_v[own], all_reps[own], all_q, queries_here, row[asked_list == one])
+        found = pd.DataFrame({c: np.concatenate(x) if x else np.empty(0) for c, x in out.items()})
+        found = found.sort_values(["score", "rep"], ascending=[False, True], kind="stable").drop_duplicates(["query", "rep"])
+        return found.groupby("query", sort=False).head(k + 1)
+
+    def add_best(out: dict, v: np.ndarray, reps_here: np.ndarray, all_q: np.ndarray, queries_here: np.ndarray, rows_: np.ndarray) -> None:
+        """The k + 1 best of one list for each of its queries."""
+        most = min(k + 1, len(v))
+        if most:
+            for at in range(0, len(rows_), 256):
+                q = all_q[rows_[at : at + 256]]
                 rough = q @ v.T
                 floor = -np.partition(-rough, most - 1, axis=1)[:, most - 1]
                 slack = 1e-9 * (1 + np.abs(floor))
@@ -309,10 +330,9 @@ def nearest(
                 start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
                 nth = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
                 top_k = nth < most
-                out["query"].append(asking["rep"].to_numpy()[at + i[top_k]])
+                out["query"].append(queries_here[rows_[at + i[top_k]]])
                 out["rep"].append(reps_here[j[top_k]])
                 out["score"].append(score[top_k])
-        return pd.DataFrame({c: np.concatenate(x) if x else np.empty(0) for c, x in out.items()})
 
     hits = right.groupBy(key).cogroup(left.groupBy(key)).applyInPandas(
         lambda a, b: compare(b, a), "query long, rep long, score double"

@@ -52,6 +52,22 @@ def few(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def shards(sizes: Iterable[int], rows: int) -> tuple[list[int], list[int]]:
+    """(the shard of each list, the blocks of each shard): neighbours share a shard up to so many rows; a longer list has one
+    of its own, in several blocks."""
+    shard: list[int] = []
+    blocks: list[int] = []
+    filled = 0
+    for size in map(int, sizes):
+        if not shard or filled + size > rows:
+            blocks.append(1)
+            filled = 0
+        filled += size
+        shard.append(len(blocks) - 1)
+        blocks[-1] = max(1, -(-filled // rows))
+    return shard, blocks
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Send texts to Python workers at most so many at a time; ten thousand, as Spark's setting has it, may be a GB."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -69,6 +85,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, __packed, so that no name that a user has given meets one of ours."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None)).alias("__packed"))
+
+
+def packed(column: str) -> Column:
+    return F.col(column) if column in ("doc_id", "text") else F.col(f"__packed.`{column}`")
+
+
+def unpack(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that were packed, in their order; some of them anew."""
+    return docs.select(*(new.get(c, packed(c)).alias(c) for c in columns))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; other columns, whatever their names, play no part."""
     return df.select(*(F.col(f"`{n}`") for n in names))

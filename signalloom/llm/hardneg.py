@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialize, only
+from signalloom.llm.common import materialize, only, shards
 
 BATCH = 1024
 EXACT = float(1 << 53)
@@ -200,15 +200,7 @@ class Index:
         self.placed = materialize(rows.select("vec_id", "label", "vec").mapInPandas(place, schema), "placed")
         self._measure()
         sizes = dict(self.placed.groupBy("leaf").count().collect())  # a row a leaf
-        self.shard, self.blocks, filled = [], [], 0
-        for leaf in range(tree.leaves):
-            size = sizes.get(leaf, 0)
-            if not self.shard or filled + size > shard_rows:
-                self.blocks.append(1)
-                filled = 0
-            self.shard.append(len(self.blocks) - 1)
-            filled += size
-            self.blocks[-1] = max(1, -(-filled // shard_rows))
+        self.shard, self.blocks = shards([sizes.get(leaf, 0) for leaf in range(tree.leaves)], shard_rows)
 
     def _measure(self) -> None:
         """Fill in the ranges: the least and greatest distance of each split point to each child's vectors."""
