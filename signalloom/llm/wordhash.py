@@ -1,73 +1,69 @@
 """128-bit hashes of words and of runs of words, computed on whole batches of texts.
 
-A hash is a polynomial over the integers modulo 2**64 with random coefficients for its letters, so that all words of a
-batch come from one running sum, and all runs of words from another. Two independent ones make 128 bits.
+A word's hash is its XXH3 of 128 bits, taken as two of 64, the families. A run's is built by doubling: the hashes of all runs of
+one, two, four words and so on, each of two halves, mixed by multiplications and shifts that do not commute; a run of any
+length is put together of such runs, the longest first, and its length. Nothing in it is linear, as a polynomial modulo a power
+of two would be, which has equal hashes for pairs of long patterned texts whatever its base.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 FAMILIES = 2
-
-
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, (FAMILIES, 256), np.uint64)
-
-
-#: Odd, and 3 modulo 8, so that few powers of them are near each other.
-BASES = ((0x9E3779B97F4A7C15 & ~7) + 3, (0xD6E8FEB86659FD93 & ~7) + 3)
-
-
-class _Powers:
-    """The powers of a base and of its inverse, as many as were ever asked for at once, within a bound."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.held = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.held[0]) >= n:
-            return self.held
-        found = []
-        for x in (self.base, self.inverse):
-            powers = np.full(n, x)
-            powers[0] = 1
-            found.append(np.cumprod(powers))
-        if n <= 1 << 19:
-            self.held = found[0], found[1]
-        return found[0], found[1]
-
-
-_POWERS = [_Powers(b) for b in BASES]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+#: Odd numbers without a pattern, of which each family has its own: for the left half, the right half, and the two mixing steps.
+FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (FAMILIES, 4), np.uint64) * np.uint64(2) + np.uint64(1)
+TURN, BACK, HALF = np.uint64(23), np.uint64(41), np.uint64(32)
 
 
 class Sums:
     """Hashes of any runs of a sequence of 64-bit values."""
 
     def __init__(self, values: np.ndarray, family: int):
-        powers, self.inverse = _POWERS[family].upto(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers[: len(values)], out=self.sums[1:])
+        self.factors, self.levels = FACTORS[family], [np.ascontiguousarray(values, np.uint64)]
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        a, b, c, d = self.factors
+        h = left * a
+        h ^= (right << TURN) | (right >> BACK)
+        h *= b
+        h ^= h >> HALF
+        h += right * c
+        h ^= h >> HALF
+        h *= d
+        h ^= h >> HALF
+        return h
+
+    def _level(self, bit: int) -> np.ndarray:
+        """The hashes of all runs of 2**bit values."""
+        while len(self.levels) <= bit:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            size = max(len(last) - half, 0)
+            self.levels.append(self._join(last[:size], last[half : half + size]))
+        return self.levels[bit]
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hashes of values[start:end] for each pair."""
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        at, n = np.array(start, np.int64), np.asarray(end, np.int64) - start
+        found = n.astype(np.uint64)
+        for bit in reversed(range(int(n.max(initial=0)).bit_length())):
+            level = self._level(bit)
+            if (n >> bit & 1).all():
+                found = self._join(found, level[at])
+                at += 1 << bit
+            else:
+                which = np.flatnonzero(n >> bit & 1)
+                found[which] = self._join(found[which], level[at[which]])
+                at[which] += 1 << bit
+        return found
 
     def every(self, n: int) -> np.ndarray:
         """The hashes of all runs of n values."""
-        size = len(self.sums) - n
-        return mix((self.sums[n:] - self.sums[:size]) * self.inverse[:size] + np.uint64(n))
+        start = np.arange(len(self.levels[0]) - n + 1)
+        return self.runs(start, start + n)
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -81,15 +77,14 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def hashes(words: pa.Array) -> list[np.ndarray]:
-    """The hashes of words, an array for each family."""
+    """The hashes of words, an array for each family; a word that a batch repeats is hashed once."""
     if not len(words):
         return [np.empty(0, np.uint64)] * FAMILIES
-    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
-    _, where, data = words.buffers()
-    bounds = np.frombuffer(where, kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    letters = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
-    bounds -= bounds[0]
-    return [Sums(_letters()[f][letters], f).runs(bounds[:-1], bounds[1:]) for f in range(FAMILIES)]
+    coded, digest = words.dictionary_encode(), xxhash.xxh3_128_digest
+    said = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_pylist()
+    both = np.frombuffer(b"".join([digest(w) for w in said]), np.uint64).reshape(-1, FAMILIES)
+    which = coded.indices.to_numpy()
+    return [np.ascontiguousarray(both[:, f])[which] for f in range(FAMILIES)]
 
 
 def sliding_first_least(values: np.ndarray, n: int) -> np.ndarray:
