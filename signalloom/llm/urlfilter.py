@@ -1,7 +1,8 @@
 """URL filtering by association rules.
 
-A URL is a set of tokens: the suffixes of its host, the parts of its path and the names of its query. FP-growth mines
-the token combinations that go with a label, and rules are kept by their support and by their confidence among all URLs,
+A URL is a set of tokens: the suffixes of its host, the parts of its path and the names of its query. Tokens that occur in
+exactly the same URLs, such as most suffixes of one long host, are one item: all their combinations say the same, and there
+are two to the power of their number. FP-growth mines the combinations of items that go with a label, and rules are kept by their support and by their confidence among all URLs,
 those without a label included, where it must be beyond the base rate. A general rule makes its special cases with no
 higher confidence superfluous. Rules are applied by an inverted index: a rule is filed under
 one of its tokens, the rarest, so a URL meets only rules that share it, and fires if the URL has all others too.
@@ -13,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import ASCII_UPPER, materialize, only
+from signalloom.llm.common import ASCII_UPPER, few, materialize, only
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -91,6 +92,21 @@ def _filed(rules: DataFrame, urls: DataFrame) -> DataFrame:
     return met.where(F.size(F.array_except("antecedent", "has")) == 0).select("url", "has", "antecedent")
 
 
+def _items(rows: DataFrame, least_rows: float) -> DataFrame:
+    """(item, tokens): the classes of tokens that occur in the same rows(id, known, has), the item their least token.
+
+    Only tokens that occur in so many known rows count; their number is below the tokens of all known rows / least_rows.
+    """
+    said = rows.select("id", "known", F.explode("has").alias("token"))
+    often = said.where("known").groupBy("token").count().where(F.col("count") >= least_rows).select("token")
+    h = F.xxhash64("id")
+    marks = said.join(few(materialize(often, "often")), "token").groupBy("token").agg(
+        F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("mix")
+    )
+    same = marks.groupBy("rows", "sum", "mix").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    return materialize(same.select("item", "tokens"), "items")
+
+
 def mine(
     labelled: DataFrame,
     support: float = 0.01,
@@ -103,24 +119,34 @@ def mine(
 
     A combination must occur in a share ``support`` of the labelled rows, and in ``least_rows`` at least, and be
     blocked in a share ``confidence`` of its rows. The counts of combinations come from FP-growth over all labelled
-    rows; tokens rarer than the support drop out first, which bounds their number. The rows of ``background(url)`` have
+    rows; tokens rarer than the support drop out first, which bounds their number. Tokens that no row of either table tells
+    apart stand and fall together in an antecedent. The rows of ``background(url)`` have
     no label and count as not blocked: the confidence is that among both tables, and its lower bound (Wilson, with
     ``sigmas``) must lie above the share of blocked rows in both. An empty table gives no rules.
     """
     spark = labelled.sparkSession
-    marked = labelled.select(F.array_append(tokens(F.col("url")), F.concat(F.lit("label:"), "label")).alias("items"))
-    marked = materialize(marked, "baskets")
-    n = marked.count()
+    known = labelled.select(F.lit(True).alias("known"), tokens(F.col("url")).alias("has"), "label")
+    if background is not None:
+        also = background.select(F.lit(False).alias("known"), tokens(F.col("url")).alias("has"), F.lit(None).cast("string").alias("label"))
+        known = known.unionByName(also)
+    rows = materialize(known.withColumn("id", F.monotonically_increasing_id()), "urls")
+    n = rows.where("known").count()
     if not n:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    items = _items(rows, max(support * n, least_rows))
+    said = rows.select("id", F.explode("has").alias("item")).join(few(items.select("item")), "item")
+    said = said.groupBy("id").agg(F.collect_list("item").alias("has"))
+    rows = rows.drop("has").join(said, "id", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
+    rows = materialize(rows, "baskets")
+    marked = rows.where("known").select(F.array_append("has", F.concat(F.lit("label:"), "label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_rows / n)), minConfidence=confidence).fit(marked)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(f"label:{BLOCK}")))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("label:")))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = materialize(rules, "rules")
     if background is not None:
-        base = labelled.where(F.col("label") == BLOCK).count() / (n + background.count())
-        urls = background.select("url", tokens(F.col("url")).alias("has"))
+        base = rows.where(F.col("label") == BLOCK).count() / rows.count()
+        urls = rows.where("not known").select(F.col("id").alias("url"), "has")
         also = _filed(rules, urls).groupBy("antecedent").agg(F.count("*").alias("also"))
         blocked = F.round(F.col("support") * n)
         every = F.round(blocked / F.col("confidence")) + F.coalesce("also", F.lit(0))
@@ -137,7 +163,10 @@ def mine(
     ).select(F.col("antecedent").alias("whole"), "confidence", F.array_remove("antecedent", F.col("without")).alias("part"))
     general = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
     implied = parts.join(general, "part").where("as_sure >= confidence").select(F.col("whole").alias("antecedent")).distinct()
-    return materialize(rules.join(implied, "antecedent", "left_anti"), "rules")
+    kept = materialize(rules.join(implied, "antecedent", "left_anti").withColumn("nth", F.monotonically_increasing_id()), "rules")
+    whole = kept.select("nth", F.explode("antecedent").alias("item")).join(items, "item")
+    whole = whole.groupBy("nth").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("antecedent"))
+    return materialize(kept.drop("antecedent").join(whole, "nth").select("antecedent", "confidence", "support"), "rules")
 
 
 def apply_rules(pages: DataFrame, rules: DataFrame, confidence: float = 0.9) -> DataFrame:
