@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import ascii_lower, few, materialize, only
+from signalloom.llm.common import ascii_lower, few, materialize, only, pack, unpack
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -139,4 +139,4 @@ def drop_contaminated(
     bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"), one_in)).select("doc_id", "key").distinct()
     bad = materialize(bad.select(F.col("doc_id").alias("__of"), F.col("key").alias("__key")), "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.xxhash64("text") == F.col("__key"))
-    return docs.join(few(bad), same, "left_anti")
+    return unpack(pack(docs).join(few(bad), same, "left_anti"), docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import few, materialize, small_batches
+from signalloom.llm.common import few, materialize, pack, small_batches, unpack
 from signalloom.llm.graph import connected_components
 from signalloom.llm.simhash import fingerprint_of, links, shingle_hashes
 
@@ -176,12 +176,12 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int =
 
     Each row is judged by its own text, whatever rows share its doc_id. An empty table stays empty.
     """
-    search = _Search(docs, shingle_words, radius, least)
+    search = _Search(pack(docs), shingle_words, radius, least)
     rows = search.prints.select("__row", "doc_id", F.col("__node").alias("node")).join(search.groups(), "node")
     rows = materialize(rows.select("root", "__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("order")), "members")
     first = rows.groupBy("root").agg(F.min_by("__row", "order").alias("first"))
     gone = materialize(rows.join(first, "root").where(F.col("__row") != F.col("first")).select("__row"), "gone")
-    return search.prints.join(few(gone), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpack(search.prints.join(few(gone), "__row", "left_anti"), docs.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], shingle_words: int, least: float) -> tuple[dict[int, int], int]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm import wordhash
-from signalloom.llm.common import materialize, only, small_batches
+from signalloom.llm.common import materialize, only, pack, packed, small_batches, unpack
 
 BYTES_AT_ONCE = 1 << 18
 ROW = ["doc_id", "key"]
@@ -218,12 +218,12 @@ def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         found = zip(texts, starts, ends, strict=True)
         return pd.Series([t if a is None else b" ".join(kept_words(split_words(t), a, b)).decode() for t, a, b in found], dtype=object)
 
-    out = _with_spans(docs, window).withColumn("__cut", cut("text", "__starts", "__ends"))
+    out = _with_spans(pack(docs), window).withColumn("__cut", cut("text", "__starts", "__ends"))
     own = {"text": F.col("__cut")}
     if "n_chars" in docs.columns:
         new = F.char_length("__cut").cast(docs.schema["n_chars"].dataType)
-        own["n_chars"] = F.when(F.col("__starts").isNull(), F.col("n_chars")).otherwise(new)
-    return out.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        own["n_chars"] = F.when(F.col("__starts").isNull(), packed("n_chars")).otherwise(new)
+    return unpack(out, docs.columns, **own)
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int) -> dict[int, list[bytes]]:
