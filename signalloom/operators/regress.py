@@ -37,49 +37,81 @@ def resid_industry(df: DataFrame, day: Sequence[str], y: str = "signal", industr
     return demean(df, [*day, industry], [y]).withColumn(y, F.round(y, DECIMALS))
 
 
-def ols_residual(df: DataFrame, day: Sequence[str], y: str, xs: Sequence[str], ridge: float = 1e-10) -> DataFrame:
-    """y less its least-squares fit on xs within day; the columns are taken as centred. Null where it is singular."""
-    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
-    sums = [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"__g{i}_{j}") for i, j in pairs]
-    sums += [F.sum(F.col(x) * F.col(y)).alias(f"__r{i}") for i, x in enumerate(xs)]
+def _fits(df: DataFrame, day: Sequence[str], ys: Sequence[str], xs: Sequence[Sequence[str]], ridge: float) -> DataFrame:
+    """(day, __b0, __b1, ...): the coefficients of each y on its own xs within day, in that order, null where it is singular.
+
+    The sums of products of all regressions are one aggregate, and a batch of days is solved at once.
+    """
+    k = len(xs[0])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = []
+    for at, (y, own) in enumerate(zip(ys, xs, strict=True)):
+        sums += [F.sum(F.col(own[i]) * F.col(own[j])).alias(f"__g{at}_{i}_{j}") for i, j in pairs]
+        sums += [F.sum(F.col(x) * F.col(y)).alias(f"__r{at}_{i}") for i, x in enumerate(own)]
     gram = df.groupBy(*day).agg(*sums)
-    betas = [f"__b{i}" for i in range(len(xs))]
+    betas = [f"__b{at}_{i}" for at in range(len(ys)) for i in range(k)]
 
     def solve(frames):
         for pdf in frames:
-            g, r = np.zeros((len(pdf), len(xs), len(xs))), np.zeros((len(pdf), len(xs), 1))
-            for i, j in pairs:
-                g[:, i, j] = g[:, j, i] = pdf[f"__g{i}_{j}"].to_numpy(float)
-            for i in range(len(xs)):
-                r[:, i, 0] = pdf[f"__r{i}"].to_numpy(float)
-            g += ridge * np.eye(len(xs))
-            try:
-                beta = np.linalg.solve(g, r)
-            except np.linalg.LinAlgError:  # some day is singular: that one has no fit
-                beta = np.stack([np.linalg.solve(a, b) if np.linalg.det(a) else np.full_like(b, np.nan) for a, b in zip(g, r, strict=True)])
-            yield pdf[list(day)].assign(**{b: beta[:, i, 0] for i, b in enumerate(betas)})
+            out = pdf[list(day)].copy()
+            for at in range(len(ys)):
+                g, r = np.zeros((len(pdf), k, k)), np.zeros((len(pdf), k, 1))
+                for i, j in pairs:
+                    g[:, i, j] = g[:, j, i] = pdf[f"__g{at}_{i}_{j}"].to_numpy(float)
+                for i in range(k):
+                    r[:, i, 0] = pdf[f"__r{at}_{i}"].to_numpy(float)
+                g += ridge * np.eye(k)
+                try:
+                    beta = np.linalg.solve(g, r)
+                except np.linalg.LinAlgError:  # some day is singular: that one has no fit
+                    beta = np.stack([np.linalg.solve(a, b) if np.linalg.det(a) else np.full_like(b, np.nan) for a, b in zip(g, r, strict=True)])
+                out = out.assign(**{f"__b{at}_{i}": beta[:, i, 0] for i in range(k)})
+            yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in day), *(f"{b} double" for b in betas)])
-    solved = gram.mapInPandas(solve, schema).select(*day, *(F.when(~F.isnan(b), F.col(b)).alias(b) for b in betas))
-    fit = sum((F.col(b) * F.col(x) for b, x in zip(betas, xs, strict=True)), F.lit(0.0))
-    return df.join(solved, list(day)).withColumn(y, F.round(F.col(y) - fit, DECIMALS)).drop(*betas)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in day), *(f"{b} double" for b in betas)])
+    return gram.mapInPandas(solve, schema).select(*day, *(F.when(~F.isnan(b), F.col(b)).alias(b) for b in betas))
 
 
-def _regressed(df: DataFrame, day: Sequence[str], within: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
-    own, whole = [f"__{x}" for x in xs], _whole(y, *within, *xs)
-    df = df.withColumns({f"__{x}": F.when(whole, F.col(x)) for x in xs} | {y: F.when(whole, F.col(y))})
-    return ols_residual(demean(df, [*day, *within], [y, *own]), day, y, own).drop(*own)
+def ols_residual(df: DataFrame, day: Sequence[str], y: str, xs: Sequence[str], ridge: float = 1e-10) -> DataFrame:
+    """y less its least-squares fit on xs within day; the columns are taken as centred. Null where it is singular."""
+    fits = _fits(df, day, [y], [xs], ridge)
+    fit = sum((F.col(f"__b0_{i}") * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+    return df.join(fits, list(day)).withColumn(y, F.round(F.col(y) - fit, DECIMALS)).drop(*(c for c in fits.columns if c not in day))
+
+
+def ols_residuals(df: DataFrame, day: Sequence[str], within: dict[str, Sequence[str]], xs: Sequence[str], ridge: float = 1e-10) -> DataFrame:
+    """Each column of within less its least-squares fit on xs, by day, column and factors being centred by day and the
+    columns that within names for it. Rows with nulls in what a regression needs, and singular days, have null there.
+
+    The regressions share one aggregate and one join, so what df takes to compute is computed twice, however many they are.
+    """
+    if not within:
+        return df
+    ys, centred = list(within), {}
+    for at, (y, more) in enumerate(within.items()):
+        w, whole = Window.partitionBy(*day, *more), _whole(y, *more, *xs)
+        for name, c in ((f"__y{at}", y), *((f"__x{at}_{i}", x) for i, x in enumerate(xs))):
+            value = F.when(whole, F.col(c))
+            centred[name] = value - F.avg(value).over(w)
+    df = df.withColumns(centred)
+    own = [[f"__x{at}_{i}" for i in range(len(xs))] for at in range(len(ys))]
+    fits = _fits(df, day, [f"__y{at}" for at in range(len(ys))], own, ridge)
+    df = df.join(fits, list(day))
+    for at, y in enumerate(ys):
+        fit = sum((F.col(f"__b{at}_{i}") * F.col(f"__x{at}_{i}") for i in range(len(xs))), F.lit(0.0))
+        df = df.withColumn(y, F.round(F.col(f"__y{at}") - fit, DECIMALS))
+    return df.drop(*centred, *(c for c in fits.columns if c not in day))
 
 
 def resid_factor(df: DataFrame, day: Sequence[str], xs: Sequence[str], y: str = "signal") -> DataFrame:
     """Residual on factors and an intercept; the factors keep their values. Rows with nulls take no part."""
-    return _regressed(df, day, [], xs, y)
+    return ols_residuals(df, day, {y: []}, xs)
 
 
 def resid_all(df: DataFrame, day: Sequence[str], xs: Sequence[str], y: str = "signal", industry: str = "industry_id") -> DataFrame:
     """Residual on factors and industry dummies: all are demeaned by industry, then regressed without intercept."""
-    return _regressed(df, day, [industry], xs, y)
+    return ols_residuals(df, day, {y: [industry]}, xs)
 
 
 def residualize(df: DataFrame, day: Sequence[str], styles: Sequence[str], xs: Sequence[str]) -> DataFrame:
@@ -87,17 +119,13 @@ def residualize(df: DataFrame, day: Sequence[str], styles: Sequence[str], xs: Se
 
     The residuals are columns of one pass over df; the rows are multiplied after that.
     """
-    how = {
-        "industry": lambda df, y: resid_industry(df, day, y),
-        "factor": lambda df, y: resid_factor(df, day, xs, y),
-        "all": lambda df, y: resid_all(df, day, xs, y),
-    }
     value = {style: "signal" if style == "off" else f"__of_{style}" for style in styles}
     whole = _whole("signal", "industry_id", *xs)
     df = df.withColumns({c: F.when(whole, F.col("signal")) for s, c in value.items() if s != "off"})
-    for style, column in value.items():
-        if style != "off":
-            df = how[style](df, column)
+    if "industry" in value:
+        df = resid_industry(df, day, value["industry"])
+    within = {"factor": [], "all": ["industry_id"]}
+    df = ols_residuals(df, day, {value[s]: how for s, how in within.items() if s in value}, xs)
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("resid"), F.col(c).alias("signal")) for s, c in value.items())))
     rest = [c for c in df.columns if c not in ("signal", "resid", *value.values())]
     df = df.select(*rest, each.alias("__each")).select(*rest, "__each.*")

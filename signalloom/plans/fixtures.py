@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalloom.plans.held import hold_once
+from signalloom.plans.held import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,14 @@ def cents(column: str):
 
 
 class WeeklyPanel:
-    """Suppliers by week: ret, risk, dates, signal and market, all from integer sums and one division each."""
+    """Suppliers by week: ret, risk, dates, signal and market, all from integer sums and one division each.
+
+    The panels are written once an application, as a user has them, and read by every query.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.base = hold_once((spark.sparkContext.applicationId, sf_dir, "weekly"), self._base)
+        self.base = stored(spark, (sf_dir, "weekly"), self._base)
         self.suppliers = table(spark, sf_dir, "supplier").select(
             F.col("s_suppkey").cast("int").alias("security_id"), "s_nationkey", "s_acctbal"
         )
@@ -41,6 +44,13 @@ class WeeklyPanel:
 
     @property
     def risk(self) -> DataFrame:
+        return stored(self.spark, (self.dir, "risk"), self._risk)
+
+    @property
+    def ret(self) -> DataFrame:
+        return stored(self.spark, (self.dir, "ret"), self._ret)
+
+    def _risk(self) -> DataFrame:
         kk = F.col("k")
         base = self.base.join(self.suppliers, "security_id").join(F.broadcast(self.nations), "s_nationkey")  # 25 nations
         return base.select(
@@ -61,8 +71,7 @@ class WeeklyPanel:
             (F.col("security_id") % 4 != 0).cast("int").alias("universe_flag"),
         )
 
-    @property
-    def ret(self) -> DataFrame:
+    def _ret(self) -> DataFrame:
         kk = F.col("k")
         df = self.base.join(self.suppliers, "security_id")
         df = df.withColumns(
@@ -117,7 +126,7 @@ class DailyPanel:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.base = hold_once((spark.sparkContext.applicationId, sf_dir, "daily"), self._base)
+        self.base = stored(spark, (sf_dir, "daily"), self._base)
 
     def _base(self) -> DataFrame:
         events = table(self.spark, self.dir, "events")

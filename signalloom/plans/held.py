@@ -1,13 +1,16 @@
-"""Frames that several parts of a query read: persisted while it runs, released when the next query starts."""
+"""Frames that several parts of a query read: persisted while it runs, released when the next query starts; and tables that are
+written once."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _HELD: list[DataFrame] = []
-_NAMED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -16,15 +19,40 @@ def hold(df: DataFrame) -> DataFrame:
     return _HELD[-1]
 
 
-def hold_once(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The frame held under key, made when it is first asked for."""
-    if key not in _NAMED:
-        _NAMED[key] = hold(make())
-    return _NAMED[key]
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; for local sessions without one, below the temporary folder. It goes when
+    the session's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    root = f"{base.rstrip('/')}/plans-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table that was written is still there."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table under key, written to the scratch folder when this application first asks for it, and read from then on."""
+    own = (spark.sparkContext.applicationId, *key)
+    if own not in _STORED or not _complete(spark, _STORED[own]):
+        path = scratch(spark, str(key[-1]))
+        make().write.parquet(path)
+        _STORED[own] = path
+    return spark.read.parquet(_STORED[own])
 
 
 def release() -> None:
-    _NAMED.clear()
     while _HELD:
         df = _HELD.pop()
         if df.sparkSession.sparkContext._jsc is not None:  # a stopped session has let go already

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.functions.stats import max_rank
@@ -14,7 +13,7 @@ from signalloom.operators import trading_calendar as tc
 from signalloom.plans import backtest as bt
 from signalloom.plans import sql as Q
 from signalloom.plans.fixtures import DailyPanel, WeeklyPanel
-from signalloom.plans.held import hold
+from signalloom.plans.held import hold, scratch
 from signalloom.registry import add
 from signalloom.sources import snapshots, tables
 
@@ -30,23 +29,6 @@ def _config(**how) -> bt.Config:
     return bt.Config(**{"mincos": 1} | how)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; for local sessions without one, below the temporary folder. It goes when
-    the session's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/plans-{spark.sparkContext.applicationId}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(folder)
-    fs.deleteOnExit(folder)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks -------------------------------------------------------------------------------------------
 
 
