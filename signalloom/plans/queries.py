@@ -1115,6 +1115,8 @@ SUITE = "SELECT * FROM results WHERE byvar = 'overall'"
 BEST = f"SELECT * FROM ({SUITE}) QUALIFY row_number() OVER (PARTITION BY signal_name ORDER BY sharpe DESC NULLS LAST, config) = 1"
 add("run_backtest", f"{GK} {STATS} turnover:r", lambda s, d: _run(s, d, _config(byvars=("overall", "year", "cap"))).summary, "FROM summary",
     Q.backtest(byvars=("overall", "year", "cap")))
+STYLES = _config(resid=("off", "industry", "factor", "all"), byvars=("overall", "cap"), factors=["value"])
+add("run_backtest_residuals", f"{GK} {STATS} turnover:r", lambda s, d: _run(s, d, STYLES).summary, "FROM summary", Q.backtest(resid=STYLES.resid, byvars=STYLES.byvars))
 add("run_grid", f"{GK} {HEAD}", _grid, "FROM results", BT_GRID)
 add("suite_summary", f"signal_name config type {HEAD}", _summary, SUITE, BT_GRID)
 add("best_config", f"signal_name config {HEAD}", lambda s, d: suite.best_config(_summary(s, d)), BEST, BT_GRID)

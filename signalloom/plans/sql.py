@@ -97,14 +97,24 @@ GROUP_OF = {
 POSITION = "CASE WHEN p <= 20 THEN -1 WHEN p > 80 THEN 1 ELSE 0 END"
 
 
+def _one_factor(style: str, within: str) -> str:
+    """Residuals on one factor, value, both centred by day and within; other columns as they are."""
+    day = "PARTITION BY signal_name, lag, date"
+    centred = ", ".join(f"{c} - avg({c}) OVER ({day}{within}) AS {n}" for c, n in (("sig", "y"), ("value", "x")))
+    fit = f"y - (sum(x * y) OVER ({day})) / (sum(x * x) OVER ({day}) + 1e-10) * x"
+    return f"SELECT * EXCLUDE (y, x), 'lag' || lag || '_resid{style}' AS config, round({fit}, 9) AS signal FROM (SELECT *, {centred} FROM attributed)"
+
+
 def prepared(lags: Sequence[int] = (0,), resid: Sequence[str] = ("off",), signal: str = "signal") -> str:
     values = ", ".join(f"({x})" for x in lags)
     parts = [
         "SELECT *, 'lag' || lag || '_residoff' AS config, sig AS signal FROM attributed",
         "SELECT *, 'lag' || lag || '_residindustry' AS config, "
         "round(sig - avg(sig) OVER (PARTITION BY signal_name, lag, date, industry_id), 9) AS signal FROM attributed",
+        _one_factor("factor", ""),
+        _one_factor("all", ", industry_id"),
     ]
-    chosen = " UNION ALL ".join(p for p, name in zip(parts, ("off", "industry"), strict=True) if name in resid)
+    chosen = " UNION ALL ".join(p for p, name in zip(parts, ("off", "industry", "factor", "all"), strict=True) if name in resid)
     return f"""
 aligned AS (
   SELECT s.signal_name, s.security_id, s.date_sig, s.date_avail, s.signal AS sig, l.lag, o.date AS date_openret, r.date AS date_ret
