@@ -1,22 +1,24 @@
-"""Frames that several parts of a query read: persisted while it runs, released when the next query starts; and tables that are
-written once."""
+"""Frames that several parts of a query read, persisted while its result is in use; and tables that are written once."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HELD: list[DataFrame] = []
+#: Frames held by the query that is being built, and those of queries that were built, with their results.
+_OPEN: list[DataFrame] = []
+_HELD: list[tuple[weakref.ref, list[DataFrame]]] = []
 _STORED: dict[tuple, str] = {}
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """df, persisted to memory and disk until release."""
-    _HELD.append(df.persist())
-    return _HELD[-1]
+    """df, persisted to memory and disk until the result of the query being built is no longer in use."""
+    _OPEN.append(df.persist())
+    return _OPEN[-1]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,8 +54,20 @@ def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(_STORED[own])
 
 
+def owned(result: DataFrame) -> DataFrame:
+    """result, which what was held since the last one belongs to."""
+    _HELD.append((weakref.ref(result), _OPEN.copy()))
+    _OPEN.clear()
+    return result
+
+
 def release() -> None:
-    while _HELD:
-        df = _HELD.pop()
+    """Let go of what belongs to results that nobody has any more, and of what a broken query has left."""
+    gone = _OPEN.copy()
+    _OPEN.clear()
+    for entry in [x for x in _HELD if x[0]() is None]:
+        _HELD.remove(entry)
+        gone += entry[1]
+    for df in gone:
         if df.sparkSession.sparkContext._jsc is not None:  # a stopped session has let go already
             df.unpersist()

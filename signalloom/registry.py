@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.plans import sql as Q
-from signalloom.plans.held import release
+from signalloom.plans.held import owned, release
 
 FLAGSHIP = "summary_stats"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,9 +28,9 @@ def add(name: str, columns: str, of: Callable[[SparkSession, str], DataFrame], b
     wanted = _split(columns)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        release()  # what the query before this one held
+        release()  # what queries held whose results are gone
         df = of(spark, sf_dir)
-        return df.select(*((F.floor(F.col(f"`{c}`") * 1e6 + 0.499) / 1e6).alias(c) if r else F.col(f"`{c}`") for c, r in wanted))
+        return owned(df.select(*((F.floor(F.col(f"`{c}`") * 1e6 + 0.499) / 1e6).alias(c) if r else F.col(f"`{c}`") for c, r in wanted)))
 
     _QUERIES[name] = run
     if body is not None:

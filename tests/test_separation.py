@@ -29,3 +29,22 @@ def test_nothing_else_imports_the_corpus_operators():
             if name.endswith(".py") and "signalloom.llm" in open(os.path.join(folder, name), encoding="utf-8").read():
                 found.append(name)
     assert found == []
+
+
+def test_results_that_are_in_use_keep_what_they_hold(spark):
+    from pyspark.sql import DataFrame
+
+    from signalloom.plans import held
+
+    def query() -> DataFrame:
+        held.release()
+        return held.owned(held.hold(spark.range(5).selectExpr("id * 2 AS x")).select("x"))
+
+    cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    held.release()
+    before = cached()
+    a, b = query(), query()
+    assert (a.count(), b.count()) == (5, 5) and cached() == before + 1  # equal plans share what is persisted
+    del a, b
+    held.release()
+    assert cached() == before
