@@ -25,10 +25,15 @@ class WeeklyPanel:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.base = stored(spark, (sf_dir, "weekly"), self._base)
-        self.suppliers = table(spark, sf_dir, "supplier").select(
-            F.col("s_suppkey").cast("int").alias("security_id"), "s_nationkey", "s_acctbal"
-        )
-        self.nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+
+    @property
+    def suppliers(self) -> DataFrame:
+        supplier = table(self.spark, self.dir, "supplier")
+        return supplier.select(F.col("s_suppkey").cast("int").alias("security_id"), "s_nationkey", "s_acctbal")
+
+    @property
+    def nations(self) -> DataFrame:
+        return table(self.spark, self.dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
 
     def _base(self) -> DataFrame:
         items = table(self.spark, self.dir, "lineitem")

@@ -8,11 +8,12 @@ import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Frames held by the query that is being built, and those of queries that were built, with their results.
 _OPEN: list[DataFrame] = []
 _HELD: list[tuple[weakref.ref, list[DataFrame]]] = []
-_STORED: dict[tuple, str] = {}
+_STORED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -47,11 +48,12 @@ def _complete(spark: SparkSession, path: str) -> bool:
 def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table under key, written to the scratch folder when this application first asks for it, and read from then on."""
     own = (spark.sparkContext.applicationId, *key)
-    if own not in _STORED or not _complete(spark, _STORED[own]):
-        path = scratch(spark, str(key[-1]))
-        make().write.parquet(path)
-        _STORED[own] = path
-    return spark.read.parquet(_STORED[own])
+    if own not in _STORED or not _complete(spark, _STORED[own][0]):
+        path, df = scratch(spark, str(key[-1])), make()
+        df.write.parquet(path)
+        _STORED[own] = path, df.schema
+    path, schema = _STORED[own]
+    return spark.read.schema(schema).parquet(path)
 
 
 def owned(result: DataFrame) -> DataFrame:

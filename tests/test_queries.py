@@ -10,7 +10,8 @@ SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 NAMES = [
     "summary_stats", "turnover", "position_double_sort", "asof_backward_tolerance", "fractile_profile", "resid_all", "ic_daily",
-    "run_grid", "verdict", "align_calendar_days", "weight_value", "compare_runs", "incremental_update",
+    "run_grid", "verdict", "align_calendar_days", "weight_value", "compare_runs", "incremental_update", "update_verifies",
+    "rewrite_run", "factor_models_grouped", "winsorize_sketch", "asof_bucketed_one_key", "scan_signal_csv",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the given tables are not here")
