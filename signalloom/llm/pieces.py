@@ -56,6 +56,25 @@ class PieceIds:
             out.append(self.ids[np.repeat(start, count) + np.arange(count.sum())])
         return out
 
+    def find(self, pieces: list[str], learn: Callable[[list[str]], Sequence[Sequence[int]]]) -> np.ndarray:
+        """The places of distinct pieces; learn encodes those that are new."""
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(self.place) + np.count_nonzero(at < 0) > self.limit:
+            self._reset()
+            at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh, first = [pieces[i] for i in new.tolist()], len(self.place)
+            self._add(fresh, learn(fresh))
+            at[new] = np.arange(first, first + len(new))
+        return at
+
+    def ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places, end to end, and how many each has."""
+        count = self.count[at]
+        start = self.first[at] - np.cumsum(count) + count
+        return self.ids[np.repeat(start, count) + np.arange(count.sum())], count
+
     def _places(self, texts: Sequence[list[str]]) -> list[np.ndarray]:
         """The place of each piece, -1 where it is new."""
         return [np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces)) for pieces in texts]

@@ -5,31 +5,37 @@ skip what it does not want, and reading metadata never touches the ids. Ids are
 is small and with delta encoding beyond it (format version 2); row groups and pages have set sizes and page indexes.
 
 A tokenizer of the known kind splits normalised text into pieces and encodes each on its own. Workers split plain texts
-(printable characters up to U+024F, which the normalisation only lower-cases) themselves and keep the ids of words and of
-their pieces; new pieces go to the library's BPE model, and all other texts, or those for another kind of tokenizer, to the whole library.
+(printable characters up to U+017F, which the normalisation only lower-cases) themselves, a batch at once in Arrow, and look each
+distinct word of a batch up once among those whose ids they keep; new words' pieces go to the library's BPE model, and all other
+texts, or those for another kind of tokenizer, to the whole library.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from signalloom.llm.bpe import LETTERS, NUMBERS, PLAIN, byte_names
-from signalloom.llm.common import by_size, materialize, only, shuffle_partitions, small_batches
+from signalloom.llm import wordhash
+from signalloom.llm.bpe import LETTERS, NUMBERS, byte_names
+from signalloom.llm.common import materialize, only, shuffle_partitions, small_batches
 from signalloom.llm.pieces import PieceIds
 
-CACHED_WORDS, CACHED_PIECES = 600_000, 400_000
-BATCH_CHARS = 1 << 20
+CACHED_WORDS, CACHED_PIECES = 600_000, 300_000
+BATCH_BYTES = 4 << 20
+#: Texts of printable characters up to U+017F, but for the letter whose lower case is two characters.
+PLAIN = r"\A[\t\n\r -~¡-įı-ſ]*\z"
 FILE_BYTES = 128 << 20
 BLOCK_ROWS = 8192
 
@@ -60,31 +66,53 @@ class PieceTokenizer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["model"]["type"] == "BPE"
-        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"\Z.").search
+        self.special = [x["content"] for x in spec["added_tokens"]]
         self.names = {b: c for c, b in byte_names().items()}
         self.model = self.tokenizer.model
         self.words, self.pieces = PieceIds(CACHED_WORDS), {}
 
-    def _ids(self, piece: str) -> list[int]:
+    def _ids(self, piece: str) -> tuple[int, ...]:
         said = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-        return [t.id for t in self.model.tokenize(said)]
+        return tuple([t.id for t in self.model.tokenize(said)])
 
-    def _learn(self, words: list[str]) -> list[list[int]]:
+    def _learn(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of new words, piece by piece; pieces that other words have too are encoded once."""
-        split = [PIECES(w) for w in words]
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces = {}
-        known = self.pieces
-        known |= {p: self._ids(p) for p in set().union(*split) - known.keys()}
-        return [known[x[0]] if len(x) == 1 else [i for p in x for i in known[p]] for x in split]
-
-    def encode_batch(self, texts: Iterable[str | None], end: int) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        plain = [self.known and PLAIN(t) is not None and self.special(t) is None for t in texts]
-        mine = iter(self.words.gather([t.lower().split() for t, p in zip(texts, plain, strict=True) if p], self._learn))
-        others = [t for t, p in zip(texts, plain, strict=True) if not p]
-        theirs = (np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        return [np.append(next(mine if p else theirs), np.uint32(end)) for p in plain]
+        gc.disable()  # very many objects, none of which is part of a cycle
+        try:
+            if len(self.pieces) > CACHED_PIECES:
+                self.pieces = {}
+            known, ids, out = self.pieces, self._ids, []
+            for word in words:
+                found = ()
+                for piece in PIECES(word):
+                    own = known.get(piece)
+                    if own is None:
+                        own = known[piece] = ids(piece)
+                    found += own
+                out.append(found)
+            return out
+        finally:
+            gc.enable()
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        plain = pc.match_substring_regex(texts, PLAIN)
+        for special in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, special))
+        return plain.to_numpy(zero_copy_only=False).astype(bool) & self.known
+
+    def encode_batch(self, texts: Iterable[str | None] | pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of each text, null being empty, ended by end."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        plain = self._plain(texts)
+        words, bounds = wordhash.split(pc.utf8_lower(texts.filter(pa.array(plain))))
+        coded = words.dictionary_encode()
+        place = self.words.find(coded.dictionary.to_pylist(), self._learn)
+        ids, count = self.words.ids_at(place[coded.indices.to_numpy()])
+        cuts = np.concatenate([[0], np.cumsum(count)])[bounds]
+        mine = iter(np.split(np.insert(ids, cuts[1:], np.uint32(end)), cuts[1:-1] + np.arange(1, len(cuts) - 1)))
+        others = self.tokenizer.encode_batch_fast(texts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+        theirs = (np.append(np.array(x.ids, "<u4"), np.uint32(end)) for x in others)
+        return [next(mine if p else theirs) for p in plain]
 
 
 @lru_cache(maxsize=2)
@@ -98,15 +126,18 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
 
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
-        return pd.Series(
-            [x.view("<i4") for part in by_size(texts, BATCH_CHARS) for x in tokenizer.encode_batch(part, end_id)]
-        )
+        for batch in batches:
+            for a, b in wordhash.slices(batch.column(1), BATCH_BYTES):
+                found = tokenizer.encode_batch(batch.column(1).slice(a, b - a), end_id)
+                n = np.array([len(x) for x in found], np.int64)
+                ids = pa.array(np.concatenate(found).view("<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(n)], ["doc_id", "token_ids", "n_tokens"])
 
-    coded = only(docs, "doc_id", "text").select("doc_id", of("text").alias("token_ids"))
-    return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return only(docs, "doc_id", "text").mapInArrow(of, f"doc_id {kind}, token_ids array<int>, n_tokens long")
 
 
 def in_ranges(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -151,13 +182,18 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     table has no rows.
     """
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.ascontiguousarray(x, dtype="<u4").tobytes()) for x in ids], dtype="int64")
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("token_ids")
+            ids = np.ascontiguousarray(lists.flatten().to_numpy(), "<i4").view(np.uint8)
+            ends = 4 * np.cumsum(pc.list_value_length(lists).to_numpy())
+            found = [zlib.crc32(ids[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+            yield batch.drop_columns(["token_ids"]).append_column("ids_crc32", pa.array(found, pa.int64()))
 
     files = spark.read.schema("doc_id long, token_ids array<int>, n_tokens long").parquet(path)
     place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")]
-    rows = files.select("doc_id", "n_tokens", crc("token_ids").alias("ids_crc32"), *place)
+    rows = files.select("doc_id", "n_tokens", "token_ids", *place)
+    rows = rows.mapInArrow(crc, "doc_id long, n_tokens long, file string, at long, ids_crc32 long")
     rows = rows.withColumn("block", F.floor(F.col("at") / BLOCK_ROWS))
     rows = materialize(rows.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")), "tokens")
 

@@ -98,3 +98,31 @@ def test_columns_of_any_name_come_through_the_stages(spark):
         got = out.collect()
         assert {r.doc_id for r in got} == ids and {tuple(r)[3:] for r in got} == {rest}
     assert {r.doc_id: len(r.text) == r.n_chars for r in cut.collect()} == dict.fromkeys(range(5), True)
+
+
+def test_letters_whose_lower_case_is_far_away_and_selective_reads(spark, word_bpe, tmp_path):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from signalloom.llm import tokenfile
+
+    texts = [f"A{chr(i)}b {chr(i)} 1{chr(i)}" for i in range(1, 0x260)] + [None, "", "İ", "<|endoftext|> x", "a\x1cb", "漢字 é", "x" * 300_000]
+    reference = Tokenizer.from_file(word_bpe)
+    reference.no_truncation()
+    docs = spark.createDataFrame([(i, t, 5, "f") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, file string")
+    coded = tokenfile.encode_tokens(tokenfile.in_ranges(docs), word_bpe, 2)
+    got = {r.doc_id: list(r.token_ids) for r in coded.collect()}
+    assert got == {i: [*reference.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    path = f"file://{tmp_path}/tokens"
+    tokenfile.write_tokens(coded, path)
+    some = spark.read.parquet(path).where("doc_id between 10 and 12").select("doc_id", "n_tokens")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,10)" in plan and "token_ids" not in plan.split("ReadSchema")[1]
+    assert {r.doc_id: r.n_tokens for r in some.collect()} == {i: len(got[i]) for i in (10, 11, 12)}
+    import glob
+
+    import pyarrow.parquet as pq
+
+    meta = [pq.ParquetFile(f).metadata.row_group(0).column(0) for f in glob.glob(f"{tmp_path}/tokens/*.parquet") if pq.ParquetFile(f).metadata.num_row_groups]
+    assert meta and all(c.has_column_index and c.has_offset_index for c in meta)
+    assert tokenfile.read_tokens(spark, path).agg(F.max("start")).first()[0] == sum(len(x) for i, x in got.items() if i < len(texts) - 1)
