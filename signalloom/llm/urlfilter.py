@@ -136,7 +136,8 @@ def mine(
     items = _items(rows, max(support * n, least_rows))
     said = rows.select("id", F.explode("has").alias("item")).join(few(items.select("item")), "item")
     said = said.groupBy("id").agg(F.collect_list("item").alias("has"))
-    rows = rows.drop("has").join(said, "id", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
+    # sides with a row a URL compress to a fraction of what they are in memory, by which Spark would broadcast them
+    rows = rows.drop("has").join(said.hint("merge"), "id", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
     rows = materialize(rows, "baskets")
     marked = rows.where("known").select(F.array_append("has", F.concat(F.lit("label:"), "label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_rows / n)), minConfidence=confidence).fit(marked)
@@ -193,6 +194,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], support: float = 0.01,
     open_ = listed.where("verdict is null")
     mined = mine(known, support, confidence, background=open_)
     blocked = apply_rules(open_, mined, confidence)
-    rest = open_.drop("verdict").join(blocked, "url", "left")
+    rest = open_.drop("verdict").join(blocked.hint("merge"), "url", "left")
     rest = rest.withColumn("verdict", F.coalesce("mined", F.lit(ALLOW))).drop("mined")
     return listed.where("verdict is not null").unionByName(rest).drop("url")
