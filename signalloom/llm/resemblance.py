@@ -125,17 +125,23 @@ class _Search:
 
     def edges(self) -> DataFrame:
         """(a, b): links between nodes that join every group."""
-        edges = self.similar(self.simhash_pairs())
+        edges = self.nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         held = materialize(self.buckets(), "buckets")
         rows = held.count()
 
+        def joined(more: DataFrame) -> DataFrame:
+            """(a, b): every node that has an edge, and the smallest of its component, with more edges than before."""
+            roots = connected_components(edges.unionByName(more))
+            return materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+
         def mixed() -> DataFrame:
             """The rows of buckets that several components share, with the components."""
-            roots = connected_components(edges)
+            roots = edges.toDF("node", "root")
             out = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             ends = out.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
             return materialize(out.join(ends, "h"), "mixed")
 
+        edges = joined(self.similar(self.simhash_pairs()))  # stars from here on, to which each turn adds
         for turn in range(PIVOT_ROUNDS + 1):
             now = mixed()
             parts = now.groupBy("h", "root").count().groupBy("h")
@@ -145,7 +151,9 @@ class _Search:
             order = F.xxhash64("node", F.lit(turn))
             pivot = now.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), order).alias("p"))
             tried = now.join(pivot, "h").where((F.col("root") != F.col("p.root")) & self.close("n", "p.n"))
-            edges = edges.unionByName(self.similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b"))))
+            found = self.similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
+            if not found.isEmpty():
+                edges = joined(found)
 
         side = lambda e: now.select("h", F.col("root").alias(f"r{e}"), F.col("node").alias(e), F.col("n").alias(f"n{e}"))
         across = side("a").join(side("b"), "h").where("ra < rb").where(self.close("na", "nb"))
