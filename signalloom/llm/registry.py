@@ -14,8 +14,8 @@ from signalloom.llm.common import scratch_path, table
 URL_RULES = [
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
-    ("allow", "example.net/de/8"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
 END_ID = 2
