@@ -60,3 +60,13 @@ def test_costs_use_the_tier_on_the_day_of_the_trade(spark):
     w = spark.createDataFrame(rows, "k string, security_id int, n int, weight double, now_cap int, then_cap int")
     got = {(r.security_id, r.n): (r.change, r.held, r.cap) for r in cost.weight_changes(w, ["k"], ["cap"]).collect()}
     assert got == {(1, 1): (0, 1, 1), (2, 1): (0, 1, 2), (1, 2): (0.5, 1, 3), (2, 2): (1.0, 0, None), (1, 3): (0.5, 0, 1)}
+
+
+def test_profiles_rank_the_rows_once(spark):
+    from signalloom.operators import performance, portfolio
+
+    rows = spark.range(60).select((F.col("id") % 3).alias("day"), "id", F.col("id").cast("double").alias("ret"), F.lit(0.0).alias("resret"))
+    df = portfolio.fractiles(rows.withColumn("s", F.lit("s")), ["s", "day"], 4, "ret")
+    out = performance.fractile_profile(df, ["s", "day"], mincos=1)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {r.fractile: r.numcos for r in out.collect()} == {1: 5, 2: 5, 3: 5, 4: 5}
