@@ -70,3 +70,24 @@ def test_profiles_rank_the_rows_once(spark):
     out = performance.fractile_profile(df, ["s", "day"], mincos=1)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     assert {r.fractile: r.numcos for r in out.collect()} == {1: 5, 2: 5, 3: 5, 4: 5}
+
+
+def test_turnover_sorts_numbers_and_is_dealt_by_rows(spark):
+    """Holdings are shuffled with a number for their group, not its names, to as many tasks as their rows need."""
+    rows = [(c, g, i, n, 0.5, 1, 1) for c in ("lag0", "lag1") for g in ("x", "y") for i in (1, 2) for n in (1, 2)]
+    w = spark.createDataFrame(rows, "config string, grp string, security_id int, n int, weight double, now_cap int, then_cap int")
+    changes = cost.weight_changes(w, ["config", "grp"], ["cap"], tasks=7)
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    dealt = re.findall(r"RepartitionByExpression \[([^\]]*)\], (\d+)", plan)
+    assert [(re.sub(r"#\d+", "", k), n) for k, n in dealt] == [("security_id, __grp", "7")]
+    assert changes.where("change <> 0").count() == 8 and changes.columns[:4] == ["security_id", "config", "grp", "n"]
+
+
+def test_sides_are_counted_in_the_order_of_the_ranks(spark):
+    from signalloom.operators import portfolio
+
+    df = spark.createDataFrame([("d", float(i), -1 if i < 2 else 1 if i > 4 else 0) for i in range(9)], "day string, signal double, position int")
+    out = portfolio.weigh(portfolio.percentile(df, ["day"]), ["day"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[", plan)) == 1
+    assert {r.weight for r in out.collect()} == {-0.5, 0.25}
