@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where the tables lie that were written and are still in use.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,7 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to scratch and read it back: computed once, lineage cut, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: all that was made of them is written itself."""
+    for df in tables:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(df))
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def few(df: DataFrame, most: int = 500_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialize
+from signalloom.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     seen = mark(edges)
     while seen[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(last)
         now = mark(edges)
         if now == seen:
             break

@@ -11,24 +11,28 @@ partners meets them in other buckets. The other nodes, the heavy ones, meet each
 from the rarest shingle among them to the most frequent, two such sets share one of their first n - ceil(least * n) + 1.
 
 Pairs that are linked already need no comparison. A few rounds compare each node of a bucket with one pivot of the bucket
-before the pairs across components are compared, so a large group of near copies costs its size and not its square.
+before the pairs across components are compared, until these are not more than the nodes, so a large group of near copies costs
+its size and not its square.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import few, materialize, pack, small_batches, unpack
+from signalloom.llm.common import discard, few, materialize, pack, small_batches, unpack
 from signalloom.llm.graph import connected_components
 from signalloom.llm.simhash import fingerprint_of, links, shingle_hashes
 
 SKETCH, SHARED = 32, 10
 HOT = 1000
-PIVOT_ROUNDS, CROSS_PER_ROW = 4, 8
+#: Pairs across components are compared when there are at most so many for each row of nodes, or after so many rounds.
+PIVOT_ROUNDS, CROSS_PER_ROW = 4, 1
 
 
 def _said(shingle_words: int):
@@ -72,11 +76,15 @@ class _Search:
             F.min(F.struct(*(F.col(f"__{c}").alias(c) for c in ("row", "n", "fp", "sketch")))).alias("one")
         )
         self.nodes = materialize(one.select("node", "one.*"), "nodes")
+        self.spare: list[DataFrame] = []  # what only the buckets are made of
 
     def sets(self, named: DataFrame) -> DataFrame:
         """(node, said) of the nodes in named(node): the whole shingle sets, each computed once from one row's text."""
         rows = materialize(self.nodes.join(named, "node", "left_semi").select("node", F.col("row").alias("__row")), "rows")
-        return self.prints.select("__row", "text").join(few(rows), "__row").select("node", self.said("text").alias("said"))
+        out = self.prints.select("__row", "text").join(few(rows), "__row").select("node", self.said("text").alias("said"))
+        out = materialize(out, "sets")
+        discard(rows)
+        return out
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The distinct pairs (a, b) of nodes whose sets are as similar as ``least``."""
@@ -86,12 +94,14 @@ class _Search:
         shared = F.size(F.array_intersect("sa", "sb"))
         pairs = met.where(shared >= _least_shared(F.greatest(F.size("sa"), F.size("sb")), self.least)).select("a", "b")
         pairs = materialize(pairs, "pairs")
-        sets = materialize(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         of = lambda e, s: sets.select(F.col("node").alias(e), F.col("said").alias(s))
         both = F.size(F.array_intersect("x", "y"))
         alike = both / (F.size("x") + F.size("y") - both) >= self.least
         empty = F.size("x") + F.size("y") == 0
-        return materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(alike | empty).select("a", "b"), "alike")
+        out = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(alike | empty).select("a", "b"), "alike")
+        discard(pairs, sets)
+        return out
 
     def close(self, x: str, y: str) -> Column:
         return F.least(x, y) >= F.lit(self.least) * F.greatest(x, y) - 1e-9
@@ -108,12 +118,15 @@ class _Search:
         held = self.nodes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("h"))
         sizes = held.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
         held = materialize(held.join(sizes, "h"), "held")
+        self.spare.append(held)
         cool = held.where(F.col("k") <= HOT).select("h", "node", "n")
         heavy = held.where(F.col("k") > HOT).groupBy("node", "n", "m").count()
         heavy = materialize(heavy.where(F.col("count") >= _least_shared(F.col("m"), self.least)).select("node", "n"), "heavy")
+        self.spare.append(heavy)
         if heavy.isEmpty():
             return cool
-        words = materialize(self.sets(heavy.select("node")).select("node", F.explode("said").alias("h")), "words")
+        self.spare.append(self.sets(heavy.select("node")))
+        words = self.spare[-1].select("node", F.explode("said").alias("h"))
         often = words.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
         ranked = words.join(often, "h", "left").groupBy("node").agg(
             F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "h"))).alias("said")
@@ -125,14 +138,16 @@ class _Search:
 
     def edges(self) -> DataFrame:
         """(a, b): links between nodes that join every group."""
-        edges = self.nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         held = materialize(self.buckets(), "buckets")
-        rows = held.count()
+        discard(*self.spare)
+        rows = self.nodes.count()
 
-        def joined(more: DataFrame) -> DataFrame:
-            """(a, b): every node that has an edge, and the smallest of its component, with more edges than before."""
-            roots = connected_components(edges.unionByName(more))
-            return materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+        def joined(*parts: DataFrame) -> DataFrame:
+            """(a, b): every node that has an edge, and the smallest of its component; the parts, all edges so far, go."""
+            roots = connected_components(reduce(DataFrame.unionByName, parts))
+            out = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+            discard(*parts)
+            return out
 
         def mixed() -> DataFrame:
             """The rows of buckets that several components share, with the components."""
@@ -152,12 +167,14 @@ class _Search:
             pivot = now.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), order).alias("p"))
             tried = now.join(pivot, "h").where((F.col("root") != F.col("p.root")) & self.close("n", "p.n"))
             found = self.similar(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
-            if not found.isEmpty():
-                edges = joined(found)
+            discard(now)
+            edges = joined(edges, found)
 
         side = lambda e: now.select("h", F.col("root").alias(f"r{e}"), F.col("node").alias(e), F.col("n").alias(f"n{e}"))
         across = side("a").join(side("b"), "h").where("ra < rb").where(self.close("na", "nb"))
-        return edges.unionByName(self.similar(across.select("a", "b")))
+        out = edges.unionByName(self.similar(across.select("a", "b")))
+        discard(now, held)
+        return out
 
     def groups(self) -> DataFrame:
         """(node, root) of every node."""
@@ -185,10 +202,12 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, radius: int =
     Each row is judged by its own text, whatever rows share its doc_id. An empty table stays empty.
     """
     search = _Search(pack(docs), shingle_words, radius, least)
-    rows = search.prints.select("__row", "doc_id", F.col("__node").alias("node")).join(search.groups(), "node")
+    groups = search.groups()
+    rows = search.prints.select("__row", "doc_id", F.col("__node").alias("node")).join(groups, "node")
     rows = materialize(rows.select("root", "__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("order")), "members")
     first = rows.groupBy("root").agg(F.min_by("__row", "order").alias("first"))
     gone = materialize(rows.join(first, "root").where(F.col("__row") != F.col("first")).select("__row"), "gone")
+    discard(search.nodes, groups, rows)
     return unpack(search.prints.join(few(gone), "__row", "left_anti"), docs.columns)
 
 

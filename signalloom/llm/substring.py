@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm import wordhash
-from signalloom.llm.common import materialize, only, pack, packed, small_batches, unpack
+from signalloom.llm.common import discard, materialize, only, pack, packed, small_batches, unpack
 
 BYTES_AT_ONCE = 1 << 18
 ROW = ["doc_id", "key"]
@@ -143,6 +143,7 @@ def spans(docs: DataFrame, window: int = 13) -> DataFrame:
     often = _seeds(docs, window).groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
     often = materialize(often, "often")
     alive = materialize(_runs(docs, window).join(often, "seed"), "seeds")
+    discard(often)
 
     first = materialize(alive.groupBy("seed", "run").agg(F.min("doc_id").alias("low")), "runs")
     placed = alive.join(first, ["seed", "run"])
@@ -153,13 +154,16 @@ def spans(docs: DataFrame, window: int = 13) -> DataFrame:
     differ = materialize(differ, "differ")
     held = placed.where(F.col("doc_id") == F.col("low")).join(differ, "seed").groupBy(*ROW).agg(F.collect_set("start").alias("open"))
     single = materialize(_single(docs.join(held, ROW), window), "windows")
+    discard(alive, first, differ)
     low = single.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     low = materialize(low.drop("high"), "again")
     again = single.join(low, ["a", "b"]).where(F.col("doc_id") > F.col("low"))
     again = again.select(*ROW, "start", (F.col("start") + window).alias("end"))
 
     found = later.unionByName(again).groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return materialize(found, "spans")
+    found = materialize(found, "spans")
+    discard(later, single, low)
+    return found
 
 
 def kept_words(words: list[bytes], starts: list[int], ends: list[int]) -> list[bytes]:

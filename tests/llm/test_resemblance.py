@@ -56,3 +56,43 @@ def test_each_row_is_judged_by_its_own_text(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone " * 9), (3, y), (5, x)]
     assert resemblance.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_small_groups_of_near_copies_cost_their_size(spark, monkeypatch):
+    rng, rows, pairs, write = random.Random(5), [], [], resemblance.materialize
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(14):
+            copy = list(base)
+            copy[rng.randrange(120)] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+
+    def counted(df, name):
+        out = write(df, name)
+        pairs.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(resemblance, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs, radius=0).collect()}
+    assert got == {i: i - i % 14 for i in range(len(rows))}
+    assert sum(pairs) < 3 * len(rows)  # all pairs are 6.5 a row
+
+
+def test_only_what_a_result_reads_stays_on_disk(spark):
+    import os
+    import re
+
+    from signalloom.llm import common, substring
+
+    def left(make):
+        root = common.scratch_root(spark).removeprefix("file://")
+        before = set(os.listdir(root))
+        out = make(spark.createDataFrame(near_copies(), "doc_id long, text string"))
+        return {re.sub(r"-[0-9a-f]{32}$", "", x) for x in set(os.listdir(root)) - before}, out
+
+    names, kept = left(resemblance.drop_near_duplicates)
+    assert {"signatures", "gone"} <= names and not names & {"nodes", "sets", "pairs", "held", "mixed", "members", "groups"}
+    assert kept.count() > 0
+    names, cut = left(substring.cut_repeats)
+    assert names == {"spans"} and cut.count() == len(near_copies())
