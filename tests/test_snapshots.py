@@ -90,3 +90,22 @@ def test_years_added_emptied_and_unknown(spark, tmp_path):
         snapshots.update(spark, path, master=ret)
     with pytest.raises(ValueError):
         snapshots.update(spark, path, ret=ret.withColumn("more", F.lit(1)))
+
+
+def test_panels_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    """A panel is shuffled once to be normalised or joined, not again for its folders."""
+    from signalloom.sources import tables
+
+    plans, make = [], tables.by_year
+
+    def seen(*args):
+        out = make(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(tables, "by_year", seen)
+    path = str(tmp_path / "s")
+    snapshots.build(*panels(spark), path)
+    assert len(plans) == 4 and not any("Rebalance" in p for p in plans)
+    assert "Rebalance" in make(panels(spark)[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert verified(spark, path) == OK
