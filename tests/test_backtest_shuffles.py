@@ -91,3 +91,24 @@ def test_sides_are_counted_in_the_order_of_the_ranks(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Sort \[", plan)) == 1
     assert {r.weight for r in out.collect()} == {-0.5, 0.25}
+
+
+def test_first_periods_are_not_looked_for_in_all_holdings(spark):
+    """The first periods of groups come from the sums a day, which are kept."""
+    result = bt.run(*panels(spark), bt.Config(mincos=1), keep=lambda x: x.limit(10**9))
+    plan = result.traded._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"Aggregate \[[^\]]*\], \[[^\]]*min\(n#\d+\) AS __first", plan) and "AS first#" in plan
+
+
+def test_correlations_with_several_columns_rank_the_signal_once(spark):
+    from signalloom.operators import performance
+
+    rows = [(d, float(i * 7 % 5), None if i % 4 == d else float(i * i % 11), None if i % 3 == 0 else float(i % 6)) for d in (0, 1) for i in range(24)]
+    df = spark.createDataFrame([*rows, (2, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0)], "day int, s double, a double, b double")
+    out = performance.several_coefficients(df, ["day"], "s", ["a", "b"])
+    assert len(re.findall(r"Sort \[", out._jdf.queryExecution().executedPlan().toString())) == 3
+    got = {r.day: (r.a, r.b) for r in out.collect()}
+    one = lambda c: {r.day: r.ic for r in performance.information_coefficients(df, ["day"], "s", c).collect()}
+    a, b = one("a"), one("b")
+    assert got.keys() == a.keys() == b.keys() == {0, 1}
+    assert all(got[d] == (pytest.approx(a[d], abs=1e-12), pytest.approx(b[d], abs=1e-12)) for d in got)
