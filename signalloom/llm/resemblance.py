@@ -30,7 +30,9 @@ from signalloom.llm.graph import connected_components
 from signalloom.llm.simhash import fingerprint_of, links, shingle_hashes
 
 SKETCH, SHARED = 32, 10
-HOT = 1000
+#: Texts of one template share many sketched shingles and are not alike: beyond so many, the pairs of a bucket cost more than the
+#: exact filter on whole sets.
+HOT = 50
 #: Pairs across components are compared when there are at most so many for each row of nodes, or after so many rounds.
 PIVOT_ROUNDS, CROSS_PER_ROW = 4, 1
 

@@ -96,3 +96,23 @@ def test_only_what_a_result_reads_stays_on_disk(spark):
     assert kept.count() > 0
     names, cut = left(substring.cut_repeats)
     assert names == {"spans"} and cut.count() == len(near_copies())
+
+
+def test_texts_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
+    """They share many sketched shingles and none of their rarest ones, so their pairs do not go with the square."""
+    rng, rows, pairs, write = random.Random(8), [], [], resemblance.materialize
+    form = [f"t{i}" for i in range(90)]
+    for i in range(160):
+        rows.append((i, " ".join(form + [f"own{rng.randrange(10**6)}" for _ in range(60)])))
+    rows.append((160, rows[7][1] + " more"))
+
+    def counted(df, name):
+        out = write(df, name)
+        pairs.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(resemblance, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs, radius=0).collect()}
+    assert got == {i: 7 if i == 160 else i for i in range(161)}
+    assert sum(pairs) < 10 * len(rows)  # all pairs are 80 a row
