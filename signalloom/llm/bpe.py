@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -162,7 +162,7 @@ class TrieBPE:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> TrieBPE:
-    """One encoder for each worker process."""
+    """One encoder for each task of a worker process."""
     return TrieBPE(path)
 
 
@@ -178,8 +178,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     ids_type = "token_ids array<int>, " if with_ids else ""
     schema = f"struct<{ids_type}n_tokens long, ids_sha256 string, decoded_sha256 string>"
 
-    @F.pandas_udf(schema)
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def coded(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = load(path), []
         for part in by_size(texts, BATCH_CHARS):
             for ids in bpe.encode_batch(part):
@@ -189,4 +188,11 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         names = [*(["token_ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
         return pd.DataFrame(rows, columns=names)
 
+    @F.pandas_udf(schema)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from map(coded, batches)
+        finally:  # a worker outlives its tasks, and what it has kept would stay beside the work of later stages
+            load.cache_clear()
+
     return only(docs, "doc_id", "text").select("doc_id", of("text").alias("code")).select("doc_id", "code.*")
