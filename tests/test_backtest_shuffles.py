@@ -112,3 +112,45 @@ def test_correlations_with_several_columns_rank_the_signal_once(spark):
     a, b = one("a"), one("b")
     assert got.keys() == a.keys() == b.keys() == {0, 1}
     assert all(got[d] == (pytest.approx(a[d], abs=1e-12), pytest.approx(b[d], abs=1e-12)) for d in got)
+
+
+def test_days_and_summaries_move_rows_twice(spark):
+    """The stack by security and cross-sections by blocks of days; holdings are not moved again, and nothing is held but sums."""
+    config = bt.Config(lags=(0, 1, 2), resid=("off", "industry"), byvars=("overall", "year", "cap"), mincos=1)
+    kept = []
+    with_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = bt.run(*panels(spark), config, keep=lambda x: kept.append(x) or x)
+        keys = [re.sub(r"#\d+", "", x).rsplit(",", 1)[0] for x in moved(kept[0])]
+        sums = ", ".join([*bt.KEYS, "n"])
+        assert sorted(keys) == sorted(["security_id", "signal_name, lag, __block", sums]) and len(kept) == len(result.kept) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_broadcast)
+
+
+BLOCKS = [(2, {}), (3, {"long_only": True, "mincos": 2}), (16, {"weight": "value", "resid": ("off", "all"), "factors": ["value"]})]
+
+
+@pytest.mark.parametrize(("days", "how"), BLOCKS)
+def test_blocks_of_days_equal_single_holdings(spark, monkeypatch, days, how):
+    """Turnover, costs and sums of a day are those of the holdings and trades one by one, in whichever block they are."""
+    monkeypatch.setattr(bt, "BLOCK_DAYS", (days, days))
+    signal, ret, risk, dates = over_new_year(spark)
+    signal = signal.unionByName(signal.where("security_id = 3").withColumn("signal", -F.col("signal")))  # a security twice a day
+    signal = signal.where("(security_id + dayofyear(date_sig)) % 5 <> 0")
+    risk = risk.withColumns({"mcap": F.col("security_id") * 1.5 + 1, "value": F.col("security_id") * F.col("security_id") % 7 * 1.0})
+    result = bt.run(signal, ret, risk, dates, bt.Config(**{"lags": (0, 2), "byvars": ("overall", "cap"), "mincos": 1, "tolerance": None} | how))
+    key = lambda r: (r.config, r.byvar, r.grp, r.n)
+    day = {key(r): (r.ret, r.resret, r.n_long, r.n_short) for r in result.day.collect()}
+    held = result.held.withColumns({c: F.col("weight") * F.col(c) for c in ("ret", "resret")}).groupBy(*bt.KEYS, "n")
+    long, short = (F.count(F.when(c, 1)).alias(x) for c, x in ((F.col("weight") > 0, "a"), (F.col("weight") < 0, "b")))
+    want = {key(r): (r.ret, r.resret, r.a, r.b) for r in held.agg(F.sum("ret").alias("ret"), F.sum("resret").alias("resret"), long, short).collect()}
+    assert len(want) > 10 and day.keys() == want.keys() and all(day[k] == pytest.approx(want[k], abs=1e-11) for k in want)
+    trades = cost.daily_trades(result.traded, cost.naive_cost(), [*bt.KEYS]).collect()
+    first = {k[:3]: min(x[3] for x in want if x[:3] == k[:3]) for k in want}
+    want = {key(r): (r.turnover or 0, r.tc) for r in trades if r.n > first[key(r)[:3]]}
+    got = {key(r): (r.turnover, r.tc) for r in result.daily.collect() if key(r) in want}
+    assert len(got) > 10 and any(x for x, _ in got.values()) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+    for df in result.kept:
+        df.unpersist()
