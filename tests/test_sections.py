@@ -68,3 +68,14 @@ def test_residuals_that_a_sum_would_split_stay_ties():
     value, section = np.array([0.1, 0.2, 0.3, 0.7, 0.8, 1e300]), np.array([0, 0, 0, 1, 1, 2])
     got = sections.less_mean(section, value)
     assert got.tolist() == [-0.1, 0.0, 0.1, -0.05, 0.05, 0.0]
+
+
+def test_the_limit_of_bytes_comes_back_with_the_next_query(spark):
+    """It is checked after every row, which takes longer than the rows do; texts of other queries need it."""
+    import __spark_entry__ as entry
+
+    before = spark.conf.get(sections.BATCH_BYTES)
+    bt.run(*over_new_year(spark), bt.Config(mincos=1), keep=lambda x: x)
+    assert spark.conf.get(sections.BATCH_BYTES) == sections.NO_LIMIT != before
+    entry.queries()["byvar_name_guard"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(sections.BATCH_BYTES) == before
