@@ -74,8 +74,20 @@ def test_the_limit_of_bytes_comes_back_with_the_next_query(spark):
     """It is checked after every row, which takes longer than the rows do; texts of other queries need it."""
     import __spark_entry__ as entry
 
+    sections.restore_limit(spark)
     before = spark.conf.get(sections.BATCH_BYTES)
     bt.run(*over_new_year(spark), bt.Config(mincos=1), keep=lambda x: x)
     assert spark.conf.get(sections.BATCH_BYTES) == sections.NO_LIMIT != before
     entry.queries()["byvar_name_guard"](spark, "/root/testdata/sf0.001")
     assert spark.conf.get(sections.BATCH_BYTES) == before
+
+
+def test_tasks_without_holdings_give_back_nothing(spark):
+    """Also beside slices of the task that have some: too few names, or none."""
+    signal, ret, risk, dates = over_new_year(spark)
+    risk = risk.withColumn("cap", F.when(F.col("security_id") > 2, 1).otherwise(2))
+    one = signal.where("security_id <= 3").withColumn("signal_name", F.lit("few"))
+    config = bt.Config(byvars=("overall", "cap"), mincos=2, tolerance=None)
+    result = bt.run(signal.unionByName(one), ret, risk, dates, config, keep=lambda x: x, rows=1)
+    found = {(r.signal_name, r.grp) for r in result.day.select("signal_name", "grp").distinct().collect()}
+    assert found and "few" not in {x for x, _ in found}
