@@ -58,10 +58,11 @@ def test_rows_are_not_multiplied_by_residuals_and_slices(spark):
 def test_sides_of_ties_and_odd_values():
     value = np.array([np.nan, 1.0, -0.0, 0.0, np.inf, np.nan, 2.0, 2.0, -np.inf, 3.0, 5.0])
     section = np.array([0] * 10 + [2])
+    sides = lambda s, v, low, high: sections.sides(s, v, np.argsort(v), 3, low, high).tolist()
     # ranks 9.5, 4, 2.5, 2.5, 8, 9.5, 5.5, 5.5, 1, 7 of 10
-    assert sections.sides(section, value, 3, 20, 80).tolist() == [1, 0, 0, 0, 0, 1, 0, 0, -1, 0, 1]
-    assert sections.sides(section, value, 3, 25, 54).tolist() == [1, 0, -1, -1, 1, 1, 1, 1, -1, 1, 1]
-    assert sections.sides(section[:0], value[:0], 3, 20, 80).tolist() == []
+    assert sides(section, value, 20, 80) == [1, 0, 0, 0, 0, 1, 0, 0, -1, 0, 1]
+    assert sides(section, value, 25, 54) == [1, 0, -1, -1, 1, 1, 1, 1, -1, 1, 1]
+    assert sides(section[:0], value[:0], 20, 80) == []
 
 
 def test_residuals_that_a_sum_would_split_stay_ties():
